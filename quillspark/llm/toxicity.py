@@ -1,7 +1,8 @@
 """Toxicity: a counterfactually regularised linear classifier over sentences.
 
-Every sentence (cut at ``. ! ?`` and line ends) is the set of its words, a word is hashed
-features of itself and its leading characters, and a sentence's logit is their summed weights.
+Every sentence (cut at ``. ! ?`` and line ends) is the set of its words, a word is
+features of itself and its leading characters (those whose share of documents differs between
+the classes beyond chance and several-fold), and a sentence's logit is their summed weights.
 Sentences inherit their document's label; then each toxic document keeps as positives only the
 sentences that the model finds toxic (its best one at least), and the model is fitted again.
 
@@ -20,18 +21,18 @@ ids and extra columns change nothing, and an empty table gives no rows.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.labelled import held_out, sample
 
 PER_CLASS, TRAIN_CHARS = 2500, 200_000
-BUCKETS, MIN_DOCS, ROUNDS, STEPS = 1 << 18, 4, 2, 60
+MIN_DOCS, MIN_Z, MIN_ODDS, ROUNDS, STEPS = 4, 4.0, 4.0, 2, 120
 L2, SWAP_PENALTY = 2e-6, 1.0
 CACHE_WORDS = 300_000
 
@@ -59,7 +60,7 @@ def word_features(raw: str) -> list[int]:
     found = []
     for word in WORD.findall(raw.lower()):
         keys = [word] + [f"^{word[:n]}" for n in (4, 5, 6) if len(word) >= n]
-        found += [zlib.crc32(k.encode()) % BUCKETS for k in keys]
+        found += [xxhash.xxh64_intdigest(k.encode()) for k in keys]
     return found
 
 
@@ -70,37 +71,40 @@ def sentences_of(text: str | None) -> list[set[str]]:
 class _Weights(dict):
     """Words' summed weights, computed once each; emptied when it has grown too large."""
 
-    def __init__(self, weights: np.ndarray) -> None:
+    def __init__(self, weights: dict[int, float]) -> None:
         super().__init__()
         self.weights = weights
 
     def __missing__(self, raw: str) -> float:
         if len(self) > CACHE_WORDS:
             self.clear()
-        self[raw] = value = float(self.weights[word_features(raw)].sum())
+        self[raw] = value = sum(self.weights.get(f, 0.0) for f in word_features(raw))
         return value
 
 
 class Rows:
-    """Sentences as rows of hashed features."""
+    """Sentences as rows of the features that are known to ``places``."""
 
-    def __init__(self, sentences: list[set[str]]) -> None:
+    def __init__(self, sentences: list[set[str]], places: dict[int, int]) -> None:
         known: dict[str, list[int]] = {}
         lists = []
         for words in sentences:
             row: list[int] = []
             for w in words:
-                row += known.get(w) or known.setdefault(w, word_features(w))
-            lists.append(row or [BUCKETS])
-        self.sizes = np.array([len(r) for r in lists])
-        self.index = np.fromiter((i for r in lists for i in r), dtype=np.int32, count=int(self.sizes.sum()))
-        self.starts = np.cumsum(self.sizes) - self.sizes
+                if w not in known:
+                    known[w] = [places[f] for f in word_features(w) if f in places]
+                row += known[w]
+            lists.append(row)
+        self.width = len(places)
+        self.row = np.repeat(np.arange(len(lists)), [len(r) for r in lists]).astype(np.int64)
+        self.index = np.fromiter((i for r in lists for i in r), dtype=np.int64, count=len(self.row))
+        self.n = len(lists)
 
     def logits(self, weights: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(weights[self.index], self.starts) if len(self.sizes) else np.zeros(0)
+        return np.bincount(self.row, weights=weights[self.index], minlength=self.n)
 
     def gradient(self, error: np.ndarray) -> np.ndarray:
-        return np.bincount(self.index, weights=np.repeat(error, self.sizes), minlength=BUCKETS + 1)
+        return np.bincount(self.index, weights=error[self.row], minlength=self.width)
 
 
 def _swapped(words: set[str]) -> set[str] | None:
@@ -113,57 +117,87 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _fit_rows(rows: Rows, labels: np.ndarray, share: np.ndarray, pair: tuple[Rows, Rows] | None, usable: np.ndarray) -> tuple[np.ndarray, float]:
+def _fit_rows(rows: Rows, labels: np.ndarray, share: np.ndarray, pair: tuple[Rows, Rows] | None) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the mean log loss plus L2 and the penalty on swapped pairs."""
-    weights, bias = np.zeros(BUCKETS + 1), float(np.log((labels @ share + 1e-3) / ((1 - labels) @ share + 1e-3)))
+    weights, bias = np.zeros(rows.width), float(np.log((labels @ share + 1e-3) / ((1 - labels) @ share + 1e-3)))
     m, v = np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, STEPS + 1):
         error = (_sigmoid(rows.logits(weights) + bias) - labels) * share
         gradient = rows.gradient(error) + L2 * weights
         if pair is not None:
-            change = (pair[0].logits(weights) - pair[1].logits(weights)) * (2 * SWAP_PENALTY / len(pair[0].sizes))
+            change = (pair[0].logits(weights) - pair[1].logits(weights)) * (2 * SWAP_PENALTY / pair[0].n)
             gradient += pair[0].gradient(change) - pair[1].gradient(change)
-        gradient *= usable
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         weights -= 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         bias -= 0.2 * float(error.sum())
-    return weights * usable, bias
-
-
-def fit(texts: list[str], labels: list[int]) -> dict:
-    """Model of labelled documents: word weights, bias, and the document-level calibration."""
+    return weights, bias
+
+
+def _telling(docs: list[list[set[str]]], labels: np.ndarray) -> dict[int, int]:
+    """Places of the features whose share of documents differs between the classes beyond chance."""
+    of_docs = []
+    for d in docs:
+        words = set().union(*d) if d else set()
+        of_docs.append(np.unique(np.array([f for w in words for f in word_features(w)], dtype=np.uint64)))
+    doc = np.repeat(np.arange(len(docs)), [len(f) for f in of_docs])
+    feature, at = np.unique(np.concatenate(of_docs), return_inverse=True)
+    ones, zeros = max(labels.sum(), 1), max((1 - labels).sum(), 1)
+    a, both = np.bincount(at, weights=labels[doc], minlength=len(feature)), np.bincount(at, minlength=len(feature))
+    pooled = both / (ones + zeros)
+    spread = np.sqrt(np.maximum(pooled * (1 - pooled) * (1 / ones + 1 / zeros), 1e-12))
+    telling = (both >= MIN_DOCS) & (np.abs(a / ones - (both - a) / zeros) >= MIN_Z * spread)
+    in_ones, in_zeros = (a + 0.5) / (ones + 1), (both - a + 0.5) / (zeros + 1)
+    odds = in_ones / (1 - np.minimum(in_ones, 0.999)) / (in_zeros / (1 - np.minimum(in_zeros, 0.999)))
+    telling &= (odds >= MIN_ODDS) | (odds <= 1 / MIN_ODDS)
+    return {int(f): i for i, f in enumerate(feature[telling])}
+
+
+def fit(texts: list[str], labels: list[int], share: float) -> dict:
+    """Model of labelled documents: feature weights, bias, and the document-level calibration.
+
+    ``share`` is the share of toxic rows among all labelled rows, of which the sample holds as
+    many of either class; the calibration weighs the classes accordingly.
+    """
     y = np.array(labels, dtype=float)
-    share = float(y.mean()) if len(y) else 0.0
-    if not 0 < share < 1:
-        return {"weights": np.zeros(BUCKETS + 1, dtype=np.float32), "bias": 0.0, "top": np.array([np.log((share + 1e-6) / (1 - share + 1e-6)), 0.0, 0.0])}
+    if not 0 < share < 1 or not 0 < y.sum() < len(y):
+        return {"weights": {}, "bias": 0.0, "top": np.array([np.log((share + 1e-6) / (1 - share + 1e-6)), 0.0, 0.0])}
+    # Copies would make their rare words look telling: of documents with the same longest
+    # sentence the first is used.
     docs = [sentences_of(t) for t in texts]
+    seen: dict[tuple, int] = {}
+    for i, d in enumerate(docs):
+        seen.setdefault((tuple(sorted(max(d, key=len))) if d else (), int(y[i])), i)
+    kept = sorted(seen.values())
+    docs, y = [docs[i] for i in kept], y[kept]
     calibrating = np.arange(len(docs)) % 4 == 3
     sentences = [s for d, c in zip(docs, calibrating) if not c for s in d]
     of = np.array([i for i, (d, c) in enumerate(zip(docs, calibrating)) if not c for _ in d], dtype=np.int64)
-    rows, target = Rows(sentences), y[of]
-    pairs = np.unique(np.stack([np.repeat(of, rows.sizes), rows.index.astype(np.int64)], axis=1) @ np.array([BUCKETS + 1, 1]))
-    usable = (np.bincount(pairs % (BUCKETS + 1), minlength=BUCKETS + 1) >= MIN_DOCS).astype(float)
-    usable[BUCKETS] = 0
+    places = _telling([d for d, c in zip(docs, calibrating) if not c], y[~calibrating])
+    rows, target = Rows(sentences, places), y[of]
     swaps = [(s, other) for s in sentences if (other := _swapped(s)) is not None]
-    pair = (Rows([a for a, _ in swaps]), Rows([b for _, b in swaps])) if swaps else None
-    kept = np.ones(len(target), dtype=bool)
-    for n in range(ROUNDS):
-        part = rows if kept.all() else Rows([s for s, k in zip(sentences, kept) if k])
-        goal = target[kept]
+    pair = (Rows([a for a, _ in swaps], places), Rows([b for _, b in swaps], places)) if swaps else None
+    positive = target == 1
+    for _ in range(ROUNDS):
+        used = (target == 0) | positive
+        part = Rows([s for s, k in zip(sentences, used) if k], places)
+        goal = target[used]
         weight = np.where(goal == 1, 0.5 / max(goal.sum(), 1), 0.5 / max((1 - goal).sum(), 1))
-        weights, bias = _fit_rows(part, goal, weight, pair, usable)
+        weights, bias = _fit_rows(part, goal, weight, pair)
         logits = rows.logits(weights) + bias
         best = np.full(len(docs), -np.inf)
         np.maximum.at(best, of, logits)
-        kept = (target == 0) | (logits >= np.minimum(best[of], 0.0)) & ((logits > 0) | (logits == best[of]))
-    x = np.array([_summary([float(weights[Rows([s]).index].sum()) for s in d], bias) for d in docs])
+        positive = (target == 1) & ((logits > 0) | (logits == best[of]))
+    table = {f: float(weights[i]) for f, i in places.items()}
+    known = _Weights(table)
+    x = np.array([_summary([sum(map(known.__getitem__, s)) for s in d], bias) for d in docs])
     use = calibrating if 0 < y[calibrating].sum() < calibrating.sum() else ~calibrating
     a, goal, top = np.column_stack([np.ones(int(use.sum())), x[use]]), y[use], np.zeros(3)
+    count = np.where(goal == 1, share / max(goal.mean(), 1e-9), (1 - share) / max(1 - goal.mean(), 1e-9))
     for _ in range(30):
         p = _sigmoid(a @ top)
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + 1e-2 * np.eye(3), a.T @ (goal - p) - 1e-2 * top)
+        step = np.linalg.solve(a.T @ (a * (count * p * (1 - p))[:, None]) + 1e-2 * np.eye(3), a.T @ (count * (goal - p)) - 1e-2 * top)
         top += np.clip(step, -2, 2)
-    return {"weights": weights.astype(np.float32), "bias": bias, "top": top}
+    return {"weights": table, "bias": bias, "top": top}
 
 
 def _summary(logits: list[float], bias: float) -> tuple[float, float]:
@@ -172,8 +206,10 @@ def _summary(logits: list[float], bias: float) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     rows = sample(docs, labels, "toxic", PER_CLASS).where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS)
+    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
+    share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     found = sorted((r["doc_id"], r["text"] or "", r["label"]) for r in rows.collect())
-    return fit([t for _, t, _ in found], [y for _, _, y in found])
+    return fit([t for _, t, _ in found], [y for _, _, y in found], share)
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -183,7 +219,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
-        known = _Weights(model["weights"].astype(float))
+        known = _Weights(model["weights"])
         look, top, bias = known.__getitem__, model["top"], model["bias"]
         for batch in batches:
             summaries = [_summary([sum(map(look, words)) for words in sentences_of(t.as_py())], bias) for t in batch.column(at)]
