@@ -11,7 +11,8 @@ words' ids one after the other.
 3. Join: a chunk's ids are joined to the positions.
 
 Decoding joins ids to the tokenizer's pieces, a table as large as the vocabulary and no larger,
-which is broadcast. Only packed distinct words and positions are shuffled, never texts; frequent
+which is broadcast. Only packed distinct words and their ids are shuffled; positions
+lie in a table bucketed by chunk, so that they don't move, and texts aren't kept; frequent
 words travel once a chunk, so they make no hot key, and no bucket's or chunk's rows grow beyond
 its share. Null texts count as empty and have no ids; null or repeated ids (doc_id) are kept row
 by row; extra columns are ignored; an empty table gives no rows.
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import durable
+from quillspark.llm.common import durable_bucketed
 
 CHUNK_CHARS = 16_000_000
 #: Rows of a batch that goes back to Spark.
@@ -117,9 +118,9 @@ def _encode_words(json):
                     known[w] = np.array(e.ids, dtype="<u4").tobytes()
                 found = [known[w] for w in words]
                 lengths = np.fromiter((len(x) // 4 for x in found), dtype=np.uint32, count=len(found))
-                out.append(("ids", chunk, b, pickle.dumps((_squeeze(lengths), _squeeze(np.frombuffer(b"".join(found), dtype="<u4"))))))
+                out.append((chunk, b, pickle.dumps((_squeeze(lengths), _squeeze(np.frombuffer(b"".join(found), dtype="<u4"))))))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int32(), pa.binary()))], names=["kind", "chunk", "bucket", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], names=["of", "bucket", "payload"])
 
     return run
 
@@ -130,11 +131,13 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def _join_positions(group: pa.Table) -> pa.Table:
-    kinds, buckets, payloads = (group.column(c).to_pylist() for c in ("kind", "bucket", "payload"))
-    ids, counts, at, bucket = pickle.loads(payloads[kinds.index("positions")])
+def _join_positions(positions: pa.Table, encoded: pa.Table) -> pa.Table:
+    if not positions.num_rows:
+        return pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
+    ids, counts, at, bucket = pickle.loads(positions.column("payload")[0].as_py())
     counts, at, bucket = _unsqueeze(counts).astype(np.int64), _unsqueeze(at), _unsqueeze(bucket)
-    back = sorted((b, *pickle.loads(p)) for k, b, p in zip(kinds, buckets, payloads) if k == "ids")
+    pairs = zip(encoded.column("bucket").to_pylist(), encoded.column("payload").to_pylist())
+    back = [(b, *pickle.loads(p)) for b, p in sorted(pairs, key=lambda x: x[0])]
     sorted_lengths = np.concatenate([_unsqueeze(x[1]) for x in back]).astype(np.int64) if back else np.zeros(0, dtype=np.int64)
     flat = np.concatenate([_unsqueeze(x[2]) for x in back]) if back else np.zeros(0, dtype=np.uint32)
     order = np.argsort(bucket, kind="stable")
@@ -153,11 +156,11 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     spark = docs.sparkSession
     json = spark.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
     n_buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = durable(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_split(n_buckets), "kind string, chunk long, bucket int, payload binary"), "bpe-words", "kind")
+    packed = durable_bucketed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_split(n_buckets), "kind string, chunk long, bucket int, payload binary"), "bpe-words", "chunk", "kind")
     words = packed.where("kind = 'words'").select("chunk", "bucket", "payload")
-    ids = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(json), "kind string, chunk long, bucket int, payload binary")
-    positions = packed.where("kind = 'positions'").select("kind", "chunk", "bucket", "payload")
-    return positions.unionByName(ids).groupBy("chunk").applyInArrow(_join_positions, "doc_id long, ids binary")
+    ids = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(json), "of long, bucket int, payload binary")
+    positions = packed.where("kind = 'positions'").select("chunk", "payload")
+    return positions.groupBy("chunk").cogroup(ids.groupBy("of")).applyInArrow(_join_positions, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
