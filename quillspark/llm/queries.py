@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, quality, sharding, simhash, suffix_dedup, topk, toxicity, url_filter
+from quillspark.llm import bpe, decontaminate, quality, sharding, simhash, suffix_dedup, topk, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shingles", "n_shared", F.round(F.col("n_shared") / F.col("n_shingles"), 6).alias("containment"))
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
+    "op5_decontamination": op5_decontamination,
     "op6_bpe": op6_bpe,
     "op7_url_filter": op7_url_filter,
     "op8_sharding": op8_sharding,
@@ -81,6 +87,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op5_decontamination": """
+        WITH w AS (
+          SELECT 'd' AS kind, doc_id AS id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w FROM documents
+          UNION ALL
+          SELECT 'i', item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') FROM benchmark
+        ), s AS (
+          SELECT DISTINCT kind, id, unnest(list_transform(generate_series(1, greatest(1, len(w) - 4)), lambda i: array_to_string(w[i:i + 4], ' '))) AS shingle
+          FROM w WHERE len(w) > 0
+        ), sizes AS (SELECT id, count(*) AS n FROM s WHERE kind = 'i' GROUP BY id)
+        SELECT d.id AS doc_id, i.id AS item_id, any_value(z.n) AS n_shingles, count(*) AS n_shared, round(count(*) / any_value(z.n), 6) AS containment
+        FROM s d JOIN s i ON d.kind = 'd' AND i.kind = 'i' AND d.shingle = i.shingle JOIN sizes z ON z.id = i.id
+        GROUP BY d.id, i.id HAVING count(*) >= 0.8 * any_value(z.n)
+    """,
     "op9_topk": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256.0 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
