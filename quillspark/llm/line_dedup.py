@@ -127,23 +127,29 @@ def kept_places(docs: DataFrame, places: Places) -> DataFrame:
     return identity.select("place").join(gone, "place", "left_anti")
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text and others) with arrays: their lines, and the numbers of those removed."""
+    places = Places(docs)
+    kept = kept_places(docs.select("doc_id", "text"), places)
+    step = F.lit(places.step).cast(places.kind)
+    by_document = kept.select(F.expr(f"cast(place div {places.step} as {places.kind})").alias("document_"), F.pmod("place", step).cast("int").alias("at")).groupBy("document_").agg(F.collect_list("at").alias("kept_"))
+    marked = docs.withColumn("document_", places.document().cast(places.kind)).join(by_document, "document_", "left").withColumn("lines_", F.split("text", "\n"))
+    worded = F.filter(F.transform("lines_", lambda x, i: F.when(_has_words(x), i)), lambda i: i.isNotNull())
+    none = F.array().cast("array<int>")
+    return marked.withColumn("removed_", F.coalesce(F.array_except(worded, F.coalesce("kept_", none)), none))
+
+
+def _remaining() -> Column:
+    stay = F.filter(F.transform("lines_", lambda x, i: F.when(~F.array_contains("removed_", i), x)), lambda x: x.isNotNull())
+    return F.when(F.size("removed_") == 0, F.col("text")).otherwise(F.array_join(stay, "\n"))
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text (without the removed lines), n_lines, n_removed and removed (line numbers from 0)."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    places = Places(slim)
-    kept = kept_places(slim, places)
-    step = F.lit(places.step).cast(places.kind)
-    by_document = kept.select(F.expr(f"cast(place div {places.step} as {places.kind})").alias("document"), F.pmod("place", step).cast("int").alias("at")).groupBy("document").agg(F.collect_list("at").alias("kept"))
-    split = F.split("text", "\n")
-    numbered = slim.withColumn("document", places.document().cast(places.kind)).join(by_document, "document", "left")
-    numbered = numbered.withColumn("lines", split).withColumn("kept", F.coalesce("kept", F.array().cast("array<int>")))
-    worded = F.filter(F.transform("lines", lambda x, i: F.when(_has_words(x), i)), lambda i: i.isNotNull())
-    numbered = numbered.withColumn("removed", F.coalesce(F.array_except(worded, "kept"), F.array().cast("array<int>")))
-    stay = F.filter(F.transform("lines", lambda x, i: F.when(~F.array_contains("removed", i), x)), lambda x: x.isNotNull())
-    return numbered.select(
-        "doc_id",
-        F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(stay, "\n")).alias("text"),
-        F.greatest(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
-        F.size("removed").cast("long").alias("n_removed"),
-        "removed",
-    )
+    marked = _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    return marked.select("doc_id", _remaining().alias("text"), F.greatest(F.size("lines_"), F.lit(0)).cast("long").alias("n_lines"), F.size("removed_").cast("long").alias("n_removed"), F.col("removed_").alias("removed"))
+
+
+def without_repeated_lines(docs: DataFrame) -> DataFrame:
+    """All rows and columns of ``docs``, with the removed lines gone from ``text``."""
+    return _marked(docs).withColumn("text", _remaining()).select(*docs.columns)

@@ -128,3 +128,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     firsts = smallest.join(labels, "fp").groupBy("component").agg(F.min("first_id").alias("component_id"))
     of_fp = labels.join(firsts, "component").select("fp", "component_id")
     return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stand for their group: the first row of the smallest doc_id of each.
+
+    Groups that have null ids only keep one of their rows.
+    """
+    found = near_duplicates(docs)
+    stay = durable(found.groupBy("component_id").agg(F.min("fp").alias("any")).select(F.col("component_id").alias("stay_id")), "kept-documents")
+    rows = docs.join(stay, docs["doc_id"].eqNullSafe(stay["stay_id"])).select(*[docs[c] for c in docs.columns])
+    return rows.dropDuplicates(["doc_id"])
