@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import durable_bucketed
 
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 10_000_000
 #: Rows of a batch that goes back to Spark.
 OUT_ROWS = 256
 
