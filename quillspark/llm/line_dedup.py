@@ -34,8 +34,12 @@ NUM, DEN = 4, 5
 RARITY_BUCKETS = 1 << 15
 
 
+def _split(line: Column) -> Column:
+    return F.split(F.lower(F.translate(line, "\t\r\f\x0b", "    ")), " ")
+
+
 def words_of(line: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(F.lower(F.translate(line, "\t\r\f\x0b", "    ")), " "), ""))
+    return F.array_distinct(F.array_remove(_split(line), ""))
 
 
 def _has_words(line: Column) -> Column:
@@ -77,49 +81,55 @@ def rarity_classes(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(classes)), ",").cast("array<long>")
 
 
+def _alike(n: Column, m: Column, bits: Column, other: Column) -> Column:
+    """What similar sets must fulfil: close sizes, and few differing parity bits."""
+    close = F.least(n, m) * DEN >= F.greatest(n, m) * NUM
+    return close & (F.bit_count(bits.bitwiseXOR(other)) * (NUM + DEN) <= (n + m) * (DEN - NUM))
+
+
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs (a, b) of places whose word sets are similar enough."""
-    left = lines.select(F.col("place").alias("a"), F.col("line").alias("line_a"))
-    right = lines.select(F.col("place").alias("b"), F.col("line").alias("line_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", words_of(F.col("line_a")).alias("x"), words_of(F.col("line_b")).alias("y"))
-    both = both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("shared"))
-    return both.where(F.col("shared") * DEN >= (F.col("nx") + F.col("ny") - F.col("shared")) * NUM).select("a", "b")
+    left = lines.select(F.col("place").alias("a"), F.col("n").alias("n_a"), F.col("line").alias("line_a"))
+    right = lines.select(F.col("place").alias("b"), F.col("n").alias("n_b"), F.col("line").alias("line_b"))
+    shared = F.size(F.array_intersect(F.array_remove(_split(F.col("line_a")), ""), _split(F.col("line_b"))))
+    both = pairs.join(left, "a").join(right, "b")
+    return both.where(shared * (NUM + DEN) >= (F.col("n_a") + F.col("n_b")) * NUM).select("a", "b")
+
+
+def _sets(lines: DataFrame, classes: Column) -> DataFrame:
+    """Lines with the size, parity bitmap, least and greatest hash, and prefix of their word sets."""
+    # A generator between two projections keeps the hashes from being computed for each use.
+    hashed = lines.select("place", "line", F.explode(F.array(F.transform(words_of(F.col("line")), _word_hash))).alias("h"))
+    bucket = lambda h: F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int") + 1
+    ranked = lambda h: F.shiftleft(F.element_at(classes, bucket(h)), 54).bitwiseOR(F.shiftrightunsigned(h, 10))
+    parity = F.aggregate("h", F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))))
+    length = F.size("h") - F.expr(f"({NUM} * size(h) + {DEN - 1}) div {DEN}").cast("int") + 1
+    return hashed.select("place", "line", F.size("h").alias("n"), parity.alias("bits"), F.array_min("h").alias("h0"), F.array_max("h").alias("h1"), F.slice(F.sort_array(F.transform("h", ranked)), F.lit(1), length).alias("prefix"))
 
 
 def kept_places(docs: DataFrame, places: Places) -> DataFrame:
     """(place) of the lines that have words and stay."""
     lines = _lines(docs, places)
     identity = lines.groupBy(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2")).agg(F.min("place").alias("place"))
-    firsts = lines.join(identity.select("place"), "place", "left_semi").withColumn("kind", F.lit("line"))
-    distinct = durable_bucketed(firsts, "distinct-lines", "place", "kind").select("place", "line")
-
-    hashed = distinct.select("place", F.transform(words_of(F.col("line")), _word_hash).alias("h"))
-    keys = hashed.select("place", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.array_min("h").alias("key")), F.struct(F.lit(1).alias("side"), F.array_max("h").alias("key")))).alias("k")).select("place", "k.side", "k.key")
-    first = keys.groupBy("side", "key").agg(F.min("place").alias("b"))
-    near = keys.join(first, ["side", "key"]).where("place > b").select(F.col("place").alias("a"), "b").distinct()
-    settled = durable(_verified(near, distinct).select(F.col("a").alias("place")).distinct(), "settled-lines")
-
-    classes = rarity_classes(docs)
-    bucket = lambda h: F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int") + 1
-    ranked = lambda h: F.shiftleft(F.element_at(classes, bucket(h)), 54).bitwiseOR(F.shiftrightunsigned(h, 10))
-    n = F.size("h")
-    parity = F.aggregate("h", F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(h, 17), F.lit(64)).cast("int"))))
-    marked = hashed.join(settled.withColumn("settled", F.lit(True)), "place", "left")
-    prefix = F.slice(F.sort_array(F.transform("h", ranked)), F.lit(1), n - F.expr(f"({NUM} * size(h) + {DEN - 1}) div {DEN}").cast("int") + 1)
-    rows = marked.select("place", F.col("settled").isNull().alias("open"), n.alias("n"), parity.alias("bits"), F.posexplode(prefix).alias("i", "key"))
-    left = rows.alias("l")
-    right = rows.alias("r")
-    col = F.col
-    low, high = F.least("l.n", "r.n"), F.greatest("l.n", "r.n")
-    total = col("l.n") + col("r.n")
-    most = F.least("l.i", "r.i") + 1 + F.least(col("l.n") - col("l.i"), col("r.n") - col("r.i")) - 1
+    firsts = lines.join(identity.select("place"), "place", "left_semi")
+    distinct = durable_bucketed(_sets(firsts, rarity_classes(docs)).withColumn("kind", F.lit("line")), "distinct-lines", "place", "kind")
+
+    ends = F.array(F.struct(F.lit(0).alias("side"), F.col("h0").alias("key")), F.struct(F.lit(1).alias("side"), F.col("h1").alias("key")))
+    keys = distinct.select("place", "n", "bits", F.explode(ends).alias("k")).select("place", "n", "bits", "k.side", "k.key")
+    first = keys.groupBy("side", "key").agg(F.min("place").alias("b"), F.min_by("n", "place").alias("m"), F.min_by("bits", "place").alias("other"))
+    near = keys.join(first, ["side", "key"]).where((F.col("place") > F.col("b")) & _alike(F.col("n"), F.col("m"), F.col("bits"), F.col("other")))
+    settled = durable(_verified(near.select(F.col("place").alias("a"), "b").distinct(), distinct).select(F.col("a").alias("place")).distinct(), "settled-lines")
+
+    marked = distinct.join(settled.withColumn("settled", F.lit(True)), "place", "left")
+    rows = marked.select("place", F.col("settled").isNull().alias("open"), "n", "bits", F.posexplode("prefix").alias("i", "key"))
+    left, right, col = rows.alias("l"), rows.alias("r"), F.col
+    most = F.least("l.i", "r.i") + F.least(col("l.n") - col("l.i"), col("r.n") - col("r.i"))
     met = (
         (col("l.key") == col("r.key"))
         & col("l.open")
         & (col("l.place") > col("r.place"))
-        & (low * DEN >= high * NUM)
-        & (most * (NUM + DEN) >= total * NUM)
-        & (F.bit_count(col("l.bits").bitwiseXOR(col("r.bits"))) * (NUM + DEN) <= total * (DEN - NUM))
+        & (most * (NUM + DEN) >= (col("l.n") + col("r.n")) * NUM)
+        & _alike(col("l.n"), col("r.n"), col("l.bits"), col("r.bits"))
     )
     pairs = left.join(right, met).select(col("l.place").alias("a"), col("r.place").alias("b")).distinct()
     later = _verified(pairs, distinct).select(F.col("a").alias("place"))
