@@ -80,11 +80,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(tops.select("node", F.col("node").alias("component")))
 
 
-def durable_bucketed(df: DataFrame, name: str, key: str, partition_by: str) -> DataFrame:
+def durable_bucketed(df: DataFrame, name: str, key: str, partition_by: str | None = None) -> DataFrame:
     """Like :func:`durable`, in buckets of ``key``, so that later joins and groups by it do not move these rows."""
     spark = df.sparkSession
     table = f"quill_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = df.write.format("parquet").option("compression", "zstd").option("path", new_path(spark, name))
-    writer.partitionBy(partition_by).bucketBy(n, key).saveAsTable(table)
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.bucketBy(n, key).saveAsTable(table)
     return spark.table(table)

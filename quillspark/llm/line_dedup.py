@@ -13,9 +13,11 @@ line removed itself or not. Lines without words stay.
 4. Prefix join: the lines not yet settled meet all earlier lines that share a prefix word, under
    the length filter, the positional filter, and a filter on the parity bitmaps of both sets
    (a differing bit proves a differing word), all inside the join condition.
-5. Both rounds verify the Jaccard similarity of the word sets themselves.
+5. Both rounds verify the Jaccard similarity of the word sets themselves; a line's likeliest
+   partner is verified first, and its others only if that fails.
 
-Distinct lines lie in a table bucketed by place, so verification moves only pairs. Rows that
+Documents lie in a table bucketed by document, so verification and removal move pairs and line
+numbers but no texts. Rows that
 share a doc_id count as one document (a place is then removed if any line at it is), null ids as
 one document after all others; null and empty texts have no lines; extra columns are ignored; an
 empty table gives no rows.
@@ -87,66 +89,84 @@ def _alike(n: Column, m: Column, bits: Column, other: Column) -> Column:
     return close & (F.bit_count(bits.bitwiseXOR(other)) * (NUM + DEN) <= (n + m) * (DEN - NUM))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+def _in_two(place: Column, places: Places) -> tuple[Column, Column]:
+    """(document, line number) of a place."""
+    step = F.lit(places.step).cast(places.kind)
+    return F.floor(place / step).cast(places.kind) if places.kind != "long" else F.call_function("div", place, step), F.pmod(place, step).cast("int")
+
+
+def _verified(pairs: DataFrame, store: DataFrame, places: Places) -> DataFrame:
     """The pairs (a, b) of places whose word sets are similar enough."""
-    left = lines.select(F.col("place").alias("a"), F.col("n").alias("n_a"), F.col("line").alias("line_a"))
-    right = lines.select(F.col("place").alias("b"), F.col("n").alias("n_b"), F.col("line").alias("line_b"))
-    shared = F.size(F.array_intersect(F.array_remove(_split(F.col("line_a")), ""), _split(F.col("line_b"))))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.where(shared * (NUM + DEN) >= (F.col("n_a") + F.col("n_b")) * NUM).select("a", "b")
+    texts = store.select("document_", "text")
+    for side in ("a", "b"):
+        document, at = _in_two(F.col(side), places)
+        there = pairs.withColumn("document_", document).join(texts, "document_")
+        pairs = there.withColumn(f"line_{side}", F.get(F.split("text", "\n"), at)).drop("document_", "text")
+    # A generator between two projections keeps the words from being computed for each use.
+    sets = pairs.select("a", "b", F.explode(F.array(F.struct(words_of(F.col("line_a")).alias("x"), words_of(F.col("line_b")).alias("y")))).alias("w"))
+    shared = F.size(F.array_intersect("w.x", "w.y"))
+    return sets.where(shared * (NUM + DEN) >= (F.size("w.x") + F.size("w.y")) * NUM).select("a", "b")
 
 
 def _sets(lines: DataFrame, classes: Column) -> DataFrame:
     """Lines with the size, parity bitmap, least and greatest hash, and prefix of their word sets."""
     # A generator between two projections keeps the hashes from being computed for each use.
-    hashed = lines.select("place", "line", F.explode(F.array(F.transform(words_of(F.col("line")), _word_hash))).alias("h"))
+    hashed = lines.select("place", F.explode(F.array(F.transform(words_of(F.col("line")), _word_hash))).alias("h"))
     bucket = lambda h: F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int") + 1
     ranked = lambda h: F.shiftleft(F.element_at(classes, bucket(h)), 54).bitwiseOR(F.shiftrightunsigned(h, 10))
     parity = F.aggregate("h", F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))))
     length = F.size("h") - F.expr(f"({NUM} * size(h) + {DEN - 1}) div {DEN}").cast("int") + 1
-    return hashed.select("place", "line", F.size("h").alias("n"), parity.alias("bits"), F.array_min("h").alias("h0"), F.array_max("h").alias("h1"), F.slice(F.sort_array(F.transform("h", ranked)), F.lit(1), length).alias("prefix"))
+    return hashed.select("place", F.size("h").alias("n"), parity.alias("bits"), F.array_min("h").alias("h0"), F.array_max("h").alias("h1"), F.slice(F.sort_array(F.transform("h", ranked)), F.lit(1), length).alias("prefix"))
+
 
+def similar_places(store: DataFrame, classes: Column, places: Places) -> DataFrame:
+    """(place) of the first occurrences of lines that are similar to one before them.
 
-def kept_places(docs: DataFrame, places: Places) -> DataFrame:
-    """(place) of the lines that have words and stay."""
-    lines = _lines(docs, places)
-    identity = lines.groupBy(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2")).agg(F.min("place").alias("place"))
-    firsts = lines.join(identity.select("place"), "place", "left_semi")
-    distinct = durable_bucketed(_sets(firsts, rarity_classes(docs)).withColumn("kind", F.lit("line")), "distinct-lines", "place", "kind")
+    ``store``: document_, text and firsts (line numbers), bucketed by document_.
+    """
+    every = store.select("document_", "firsts_", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.array_contains("firsts_", F.col("at")))
+    step = F.lit(places.step).cast(places.kind)
+    lines = _sets(every.select((F.col("document_") * step + F.col("at")).cast(places.kind).alias("place"), "line"), classes)
 
     ends = F.array(F.struct(F.lit(0).alias("side"), F.col("h0").alias("key")), F.struct(F.lit(1).alias("side"), F.col("h1").alias("key")))
-    keys = distinct.select("place", "n", "bits", F.explode(ends).alias("k")).select("place", "n", "bits", "k.side", "k.key")
+    keys = lines.select("place", "n", "bits", F.explode(ends).alias("k")).select("place", "n", "bits", "k.side", "k.key")
     first = keys.groupBy("side", "key").agg(F.min("place").alias("b"), F.min_by("n", "place").alias("m"), F.min_by("bits", "place").alias("other"))
     near = keys.join(first, ["side", "key"]).where((F.col("place") > F.col("b")) & _alike(F.col("n"), F.col("m"), F.col("bits"), F.col("other")))
-    settled = durable(_verified(near.select(F.col("place").alias("a"), "b").distinct(), distinct).select(F.col("a").alias("place")).distinct(), "settled-lines")
+    settled = durable(_verified(near.select(F.col("place").alias("a"), "b").distinct(), store, places).select(F.col("a").alias("place")).distinct(), "settled-lines")
 
-    marked = distinct.join(settled.withColumn("settled", F.lit(True)), "place", "left")
+    marked = lines.join(settled.withColumn("settled", F.lit(True)), "place", "left")
     rows = marked.select("place", F.col("settled").isNull().alias("open"), "n", "bits", F.posexplode("prefix").alias("i", "key"))
     left, right, col = rows.alias("l"), rows.alias("r"), F.col
     most = F.least("l.i", "r.i") + F.least(col("l.n") - col("l.i"), col("r.n") - col("r.i"))
     met = (
         (col("l.key") == col("r.key"))
-        & col("l.open")
-        & (col("l.place") > col("r.place"))
+        # One condition over both sides, so that both sides read one exchange.
+        & (F.when(col("l.open"), col("l.place")) > col("r.place"))
         & (most * (NUM + DEN) >= (col("l.n") + col("r.n")) * NUM)
         & _alike(col("l.n"), col("r.n"), col("l.bits"), col("r.bits"))
     )
-    pairs = left.join(right, met).select(col("l.place").alias("a"), col("r.place").alias("b")).distinct()
-    later = _verified(pairs, distinct).select(F.col("a").alias("place"))
-    gone = durable(later.unionByName(settled), "similar-lines")
-    return identity.select("place").join(gone, "place", "left_anti")
+    differing = F.bit_count(col("l.bits").bitwiseXOR(col("r.bits"))).alias("d")
+    pairs = durable(left.join(right, met).select(col("l.place").alias("a"), col("r.place").alias("b"), differing).distinct(), "line-pairs")
+    best = pairs.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
+    found = durable(_verified(best, store, places).select(F.col("a").alias("place")), "similar-lines")
+    rest = pairs.join(found.select(F.col("place").alias("a")), "a", "left_anti").join(best, ["a", "b"], "left_anti").select("a", "b")
+    return settled.unionByName(found).unionByName(_verified(rest, store, places).select(F.col("a").alias("place"))).distinct()
 
 
 def _marked(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text and others) with arrays: their lines, and the numbers of those removed."""
     places = Places(docs)
-    kept = kept_places(docs.select("doc_id", "text"), places)
-    step = F.lit(places.step).cast(places.kind)
-    by_document = kept.select(F.expr(f"cast(place div {places.step} as {places.kind})").alias("document_"), F.pmod("place", step).cast("int").alias("at")).groupBy("document_").agg(F.collect_list("at").alias("kept_"))
-    marked = docs.withColumn("document_", places.document().cast(places.kind)).join(by_document, "document_", "left").withColumn("lines_", F.split("text", "\n"))
-    worded = F.filter(F.transform("lines_", lambda x, i: F.when(_has_words(x), i)), lambda i: i.isNotNull())
+    identity = _lines(docs, places).groupBy(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2")).agg(F.min("place").alias("place"))
+    document, at = _in_two(F.col("place"), places)
+    by_document = lambda rows, name: rows.select(document.alias("document_"), at.alias("at")).groupBy("document_").agg(F.collect_list("at").alias(name))
+    numbered = docs.withColumn("document_", places.document().cast(places.kind))
+    store = durable_bucketed(numbered.join(by_document(identity, "firsts_"), "document_", "left"), "line-store", "document_")
+    gone = durable(similar_places(store, rarity_classes(docs), places), "removed-lines")
     none = F.array().cast("array<int>")
-    return marked.withColumn("removed_", F.coalesce(F.array_except(worded, F.coalesce("kept_", none)), none))
+    marked = store.join(by_document(gone, "gone_"), "document_", "left").withColumn("lines_", F.split("text", "\n"))
+    worded = F.filter(F.transform("lines_", lambda x, i: F.when(_has_words(x), i)), lambda i: i.isNotNull())
+    stay = F.array_except(F.coalesce("firsts_", none), F.coalesce("gone_", none))
+    return marked.withColumn("removed_", F.coalesce(F.array_except(worded, stay), none))
 
 
 def _remaining() -> Column:
