@@ -76,7 +76,7 @@ def qualified_label(scheme: Column, label: Column) -> Column:
 
 def split_authors(text: Column) -> Column:
     """``A; B; C`` to structs of name and position; one author alone is the first."""
-    names = F.filter(F.transform(F.split(text, ";"), F.trim), lambda n: n != "")
+    names = F.filter(F.transform(F.split(text, ";"), lambda n: F.trim(n)), lambda n: n != "")
     place = lambda i, n: F.when(i == 0, "first").when(i == n - 1, "last").otherwise("middle")
     return F.transform(names, lambda n, i: F.struct(n.alias("display_name"), place(i, F.size(names)).alias("position")))
 

@@ -20,7 +20,6 @@ def values_of(column: str) -> Column:
 
 def terms(docs: DataFrame, query: Query, columns: list[str], max_buckets: int = MAX_BUCKETS) -> DataFrame:
     """field, value, n of the most frequent values of each field (ties by value), in one pass."""
-    from quillspark.operators.relational import first_of_each  # noqa: F401
     from pyspark.sql import Window
 
     pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.array_distinct(F.col(c)).alias("vs")) for c in columns])
@@ -84,4 +83,4 @@ def cross(docs: DataFrame, query: Query, row: str, column: str, row_values: list
     hits = docs.where(query.predicate()).select(axis(row, row_values).alias("a"), axis(column, column_values).alias("b"))
     totals = hits.agg(F.count(F.lit(1)).alias("search_total"), F.count_if((F.size("a") > 0) & (F.size("b") > 0)).alias("mapped_total"))
     cells = hits.select(F.explode("a").alias("v0"), "b").select("v0", F.explode("b").alias("v1")).groupBy("v0", "v1").agg(F.count(F.lit(1)).alias("n"))
-    return cells.join(F.broadcast(totals), how="full") if False else cells.crossJoin(F.broadcast(totals))
+    return cells.crossJoin(F.broadcast(totals))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.lineage import cut
+
 #: Predicates of the vocabularies.
 IN_SCHEME = "http://www.w3.org/2004/02/skos/core#inScheme"
 PREF_LABEL = "http://www.w3.org/2004/02/skos/core#prefLabel"
@@ -33,7 +35,7 @@ def closure(edges: DataFrame, most: int = 64) -> DataFrame:
     before, reach = -1, 1
     while reach < 2 * most:
         longer = known.alias("a").join(known.alias("b"), F.col("a.high") == F.col("b.low")).select("a.low", "b.high")
-        known = known.unionByName(longer).distinct().checkpoint()
+        known = cut(known.unionByName(longer).distinct())
         now = known.count()
         if now == before:
             break

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from quillspark.plans.record_queries import ORACLE, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
+
 FLAGSHIP = "a10_cross_facet"

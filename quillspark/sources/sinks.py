@@ -26,13 +26,14 @@ def ris_record(df: DataFrame, exclude: tuple[str, ...] = ("abstract",)) -> Colum
         raise ValueError(f"unknown RIS fields: {sorted(unknown)}")
     kinds = dict(df.dtypes)
     line = lambda tag, v: F.concat(F.lit(f"{tag}  - "), flatten_newlines(demojibake(v)))
+    lines = lambda tag, vs: F.transform(vs, lambda v: line(tag, v))
     parts = [F.array(F.concat(F.lit("TY  - "), F.col("ris_type")))]
     for name, tag in RIS_TAGS:
         if name in exclude or name not in kinds:
             continue
         if kinds[name].startswith("array"):
             kept = F.filter(name, lambda x: x.isNotNull() & (x != ""))
-            parts.append(F.coalesce(F.transform(kept, lambda x, tag=tag: line(tag, x)), F.array().cast("array<string>")))
+            parts.append(F.coalesce(lines(tag, kept), F.array().cast("array<string>")))
         else:
             text = F.date_format(name, "yyyy/MM/dd") if kinds[name] in ("date", "timestamp", "timestamp_ntz") else F.col(name).cast("string")
             parts.append(F.array_compact(F.array(F.when(F.length(text) > 0, line(tag, text)))))
