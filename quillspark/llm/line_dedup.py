@@ -8,8 +8,9 @@ line removed itself or not. Lines without words stay.
 2. Words are ordered by rarity: by the count of their hash bucket over all lines, in octaves of a
    quarter, then by hash. A line's prefix is its n - ceil(t n) + 1 rarest words: similar lines
    share a word of their prefixes.
-3. Copies round: lines that share their least or greatest word hash are compared with the first
-   line of that group only; most near copies are settled here, in as many comparisons as lines.
+3. Copies round: lines that share their rarest two words, or their second and third, are compared
+   with the first line of that group only; most near copies are settled here, in at most two
+   comparisons a line.
 4. Prefix join: the lines not yet settled meet all earlier lines that share a prefix word, under
    the length filter, the positional filter, and a filter on the parity bitmaps of both sets
    (a differing bit proves a differing word), all inside the join condition.
@@ -109,44 +110,51 @@ def _verified(pairs: DataFrame, store: DataFrame, places: Places) -> DataFrame:
 
 
 def _sets(lines: DataFrame, classes: Column) -> DataFrame:
-    """Lines with the size, parity bitmap, least and greatest hash, and prefix of their word sets."""
-    # A generator between two projections keeps the hashes from being computed for each use.
-    hashed = lines.select("place", F.explode(F.array(F.transform(words_of(F.col("line")), _word_hash))).alias("h"))
+    """Lines with the size and parity bitmap of their word sets, two keys of their rarest words, and their prefix."""
     bucket = lambda h: F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int") + 1
     ranked = lambda h: F.shiftleft(F.element_at(classes, bucket(h)), 54).bitwiseOR(F.shiftrightunsigned(h, 10))
-    parity = F.aggregate("h", F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))))
-    length = F.size("h") - F.expr(f"({NUM} * size(h) + {DEN - 1}) div {DEN}").cast("int") + 1
-    return hashed.select("place", F.size("h").alias("n"), parity.alias("bits"), F.array_min("h").alias("h0"), F.array_max("h").alias("h1"), F.slice(F.sort_array(F.transform("h", ranked)), F.lit(1), length).alias("prefix"))
+    # A generator between two projections keeps the ranks from being computed for each use.
+    rows = lines.select("place", F.explode(F.array(F.sort_array(F.transform(words_of(F.col("line")), lambda w: ranked(_word_hash(w)))))).alias("r"))
+    bit = lambda r: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(r, 48).bitwiseAND(F.lit(63)).cast("int"))
+    parity = F.aggregate("r", F.lit(0).cast("long"), lambda bits, r: bits.bitwiseXOR(bit(r)))
+    length = F.size("r") - F.expr(f"({NUM} * size(r) + {DEN - 1}) div {DEN}").cast("int") + 1
+    at = lambda i: F.get("r", F.lit(i))
+    prefix = F.transform(F.slice("r", F.lit(1), length), lambda r: F.hash(r))
+    return rows.select("place", F.size("r").alias("n"), parity.alias("bits"), F.xxhash64(at(0), at(1)).alias("k0"), F.xxhash64(at(1), at(2)).alias("k1"), prefix.alias("prefix"))
 
 
 def similar_places(store: DataFrame, classes: Column, places: Places) -> DataFrame:
     """(place) of the first occurrences of lines that are similar to one before them.
 
-    ``store``: document_, text and firsts (line numbers), bucketed by document_.
+    ``store``: document_, text and firsts_ (line numbers), bucketed by document_.
     """
-    every = store.select("document_", "firsts_", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.array_contains("firsts_", F.col("at")))
+    whole = store.where(F.size("firsts_") > 0).select("document_", F.explode(F.array(F.struct("firsts_", F.split("text", "\n").alias("lines")))).alias("s"))
+    every = whole.select("document_", F.explode(F.transform("s.firsts_", lambda i: F.struct(i.alias("at"), F.get("s.lines", i).alias("line")))).alias("l"))
     step = F.lit(places.step).cast(places.kind)
-    lines = _sets(every.select((F.col("document_") * step + F.col("at")).cast(places.kind).alias("place"), "line"), classes)
+    lines = durable(_sets(every.select((F.col("document_") * step + F.col("l.at")).cast(places.kind).alias("place"), F.col("l.line").alias("line")), classes), "line-sets")
 
-    ends = F.array(F.struct(F.lit(0).alias("side"), F.col("h0").alias("key")), F.struct(F.lit(1).alias("side"), F.col("h1").alias("key")))
-    keys = lines.select("place", "n", "bits", F.explode(ends).alias("k")).select("place", "n", "bits", "k.side", "k.key")
-    first = keys.groupBy("side", "key").agg(F.min("place").alias("b"), F.min_by("n", "place").alias("m"), F.min_by("bits", "place").alias("other"))
-    near = keys.join(first, ["side", "key"]).where((F.col("place") > F.col("b")) & _alike(F.col("n"), F.col("m"), F.col("bits"), F.col("other")))
+    keys = lines.select("place", "n", "bits", F.explode(F.array("k0", "k1")).alias("key"))
+    first = keys.groupBy("key").agg(F.min("place").alias("b"), F.min_by("bits", "place").alias("other"))
+    largest = F.floor(F.col("n") * DEN / NUM).cast("int")
+    near = keys.join(first, "key").where((F.col("place") > F.col("b")) & _alike(F.col("n"), largest, F.col("bits"), F.col("other")))
     settled = durable(_verified(near.select(F.col("place").alias("a"), "b").distinct(), store, places).select(F.col("a").alias("place")).distinct(), "settled-lines")
 
+    # One signed number for place and state, so that both sides of the join read one exchange:
+    # positive for open lines, negative for settled ones.
     marked = lines.join(settled.withColumn("settled", F.lit(True)), "place", "left")
-    rows = marked.select("place", F.col("settled").isNull().alias("open"), "n", "bits", F.posexplode("prefix").alias("i", "key"))
+    code = F.when(F.col("settled").isNull(), F.col("place") + 1).otherwise(-F.col("place") - 1).cast(places.kind)
+    rows = marked.select(code.alias("code"), "n", "bits", F.posexplode("prefix").alias("i", "key"))
     left, right, col = rows.alias("l"), rows.alias("r"), F.col
     most = F.least("l.i", "r.i") + F.least(col("l.n") - col("l.i"), col("r.n") - col("r.i"))
     met = (
         (col("l.key") == col("r.key"))
-        # One condition over both sides, so that both sides read one exchange.
-        & (F.when(col("l.open"), col("l.place")) > col("r.place"))
+        & (col("l.code") > F.abs(col("r.code")))
         & (most * (NUM + DEN) >= (col("l.n") + col("r.n")) * NUM)
         & _alike(col("l.n"), col("r.n"), col("l.bits"), col("r.bits"))
     )
     differing = F.bit_count(col("l.bits").bitwiseXOR(col("r.bits"))).alias("d")
-    pairs = durable(left.join(right, met).select(col("l.place").alias("a"), col("r.place").alias("b"), differing).distinct(), "line-pairs")
+    place = lambda c: (F.abs(col(c)) - 1).cast(places.kind)
+    pairs = durable(left.join(right, met).select(place("l.code").alias("a"), place("r.code").alias("b"), differing).distinct(), "line-pairs")
     best = pairs.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
     found = durable(_verified(best, store, places).select(F.col("a").alias("place")), "similar-lines")
     rest = pairs.join(found.select(F.col("place").alias("a")), "a", "left_anti").join(best, ["a", "b"], "left_anti").select("a", "b")
@@ -170,8 +178,8 @@ def _marked(docs: DataFrame) -> DataFrame:
 
 
 def _remaining() -> Column:
-    stay = F.filter(F.transform("lines_", lambda x, i: F.when(~F.array_contains("removed_", i), x)), lambda x: x.isNotNull())
-    return F.when(F.size("removed_") == 0, F.col("text")).otherwise(F.array_join(stay, "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines_") - 1), F.col("removed_"))
+    return F.when(F.size("removed_") == 0, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines_", i)), "\n"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
