@@ -143,12 +143,15 @@ def similar_places(store: DataFrame, classes: Column, places: Places) -> DataFra
     # positive for open lines, negative for settled ones.
     marked = lines.join(settled.withColumn("settled", F.lit(True)), "place", "left")
     code = F.when(F.col("settled").isNull(), F.col("place") + 1).otherwise(-F.col("place") - 1).cast(places.kind)
-    rows = marked.select(code.alias("code"), "n", "bits", F.posexplode("prefix").alias("i", "key"))
+    entries = F.transform("prefix", lambda key, i: F.struct(i.alias("i"), key.alias("key"), F.when(i > 0, F.get("prefix", i - 1)).alias("prev")))
+    rows = marked.select(code.alias("code"), "n", "bits", F.explode(entries).alias("e")).select("code", "n", "bits", "e.i", "e.key", "e.prev")
     left, right, col = rows.alias("l"), rows.alias("r"), F.col
     most = F.least("l.i", "r.i") + F.least(col("l.n") - col("l.i"), col("r.n") - col("r.i"))
     met = (
         (col("l.key") == col("r.key"))
         & (col("l.code") > F.abs(col("r.code")))
+        # Where the words before are shared too, the pair has met there, under the same bounds.
+        & F.coalesce(col("l.prev") != col("r.prev"), F.lit(True))
         & (most * (NUM + DEN) >= (col("l.n") + col("r.n")) * NUM)
         & _alike(col("l.n"), col("r.n"), col("l.bits"), col("r.bits"))
     )
