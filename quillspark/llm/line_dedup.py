@@ -84,10 +84,14 @@ def rarity_classes(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(classes)), ",").cast("array<long>")
 
 
-def _alike(n: Column, m: Column, bits: Column, other: Column) -> Column:
+def _differing(bits: list[Column], other: list[Column]) -> Column:
+    """The number of differing bits of two parity bitmaps, each in two longs."""
+    return F.bit_count(bits[0].bitwiseXOR(other[0])) + F.bit_count(bits[1].bitwiseXOR(other[1]))
+
+
+def _alike(n: Column, m: Column, differing: Column) -> Column:
     """What similar sets must fulfil: close sizes, and few differing parity bits."""
-    close = F.least(n, m) * DEN >= F.greatest(n, m) * NUM
-    return close & (F.bit_count(bits.bitwiseXOR(other)) * (NUM + DEN) <= (n + m) * (DEN - NUM))
+    return (F.least(n, m) * DEN >= F.greatest(n, m) * NUM) & (differing * (NUM + DEN) <= (n + m) * (DEN - NUM))
 
 
 def _in_two(place: Column, places: Places) -> tuple[Column, Column]:
@@ -110,17 +114,18 @@ def _verified(pairs: DataFrame, store: DataFrame, places: Places) -> DataFrame:
 
 
 def _sets(lines: DataFrame, classes: Column) -> DataFrame:
-    """Lines with the size and parity bitmap of their word sets, two keys of their rarest words, and their prefix."""
+    """Lines with the size and parity bitmap (128 bits in two longs) of their word sets, two keys of their rarest words, and their prefix."""
     bucket = lambda h: F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int") + 1
     ranked = lambda h: F.shiftleft(F.element_at(classes, bucket(h)), 54).bitwiseOR(F.shiftrightunsigned(h, 10))
     # A generator between two projections keeps the ranks from being computed for each use.
     rows = lines.select("place", F.explode(F.array(F.sort_array(F.transform(words_of(F.col("line")), lambda w: ranked(_word_hash(w)))))).alias("r"))
     bit = lambda r: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(r, 48).bitwiseAND(F.lit(63)).cast("int"))
-    parity = F.aggregate("r", F.lit(0).cast("long"), lambda bits, r: bits.bitwiseXOR(bit(r)))
+    half = lambda r: F.shiftrightunsigned(r, 47).bitwiseAND(F.lit(1))
+    parity = lambda h: F.aggregate("r", F.lit(0).cast("long"), lambda bits, r: F.when(half(r) == h, bits.bitwiseXOR(bit(r))).otherwise(bits))
     length = F.size("r") - F.expr(f"({NUM} * size(r) + {DEN - 1}) div {DEN}").cast("int") + 1
     at = lambda i: F.get("r", F.lit(i))
     prefix = F.transform(F.slice("r", F.lit(1), length), lambda r: F.hash(r))
-    return rows.select("place", F.size("r").alias("n"), parity.alias("bits"), F.xxhash64(at(0), at(1)).alias("k0"), F.xxhash64(at(1), at(2)).alias("k1"), prefix.alias("prefix"))
+    return rows.select("place", F.size("r").alias("n"), parity(0).alias("bits0"), parity(1).alias("bits1"), F.xxhash64(at(0), at(1)).alias("k0"), F.xxhash64(at(1), at(2)).alias("k1"), prefix.alias("prefix"))
 
 
 def similar_places(store: DataFrame, classes: Column, places: Places) -> DataFrame:
@@ -133,10 +138,10 @@ def similar_places(store: DataFrame, classes: Column, places: Places) -> DataFra
     step = F.lit(places.step).cast(places.kind)
     lines = durable(_sets(every.select((F.col("document_") * step + F.col("l.at")).cast(places.kind).alias("place"), F.col("l.line").alias("line")), classes), "line-sets")
 
-    keys = lines.select("place", "n", "bits", F.explode(F.array("k0", "k1")).alias("key"))
-    first = keys.groupBy("key").agg(F.min("place").alias("b"), F.min_by("bits", "place").alias("other"))
+    keys = lines.select("place", "n", "bits0", "bits1", F.explode(F.array("k0", "k1")).alias("key"))
+    first = keys.groupBy("key").agg(F.min("place").alias("b"), F.min_by("bits0", "place").alias("other0"), F.min_by("bits1", "place").alias("other1"))
     largest = F.floor(F.col("n") * DEN / NUM).cast("int")
-    near = keys.join(first, "key").where((F.col("place") > F.col("b")) & _alike(F.col("n"), largest, F.col("bits"), F.col("other")))
+    near = keys.join(first, "key").where((F.col("place") > F.col("b")) & _alike(F.col("n"), largest, _differing([F.col("bits0"), F.col("bits1")], [F.col("other0"), F.col("other1")])))
     settled = durable(_verified(near.select(F.col("place").alias("a"), "b").distinct(), store, places).select(F.col("a").alias("place")).distinct(), "settled-lines")
 
     # One signed number for place and state, so that both sides of the join read one exchange:
@@ -144,8 +149,9 @@ def similar_places(store: DataFrame, classes: Column, places: Places) -> DataFra
     marked = lines.join(settled.withColumn("settled", F.lit(True)), "place", "left")
     code = F.when(F.col("settled").isNull(), F.col("place") + 1).otherwise(-F.col("place") - 1).cast(places.kind)
     entries = F.transform("prefix", lambda key, i: F.struct(i.alias("i"), key.alias("key"), F.when(i > 0, F.get("prefix", i - 1)).alias("prev")))
-    rows = marked.select(code.alias("code"), "n", "bits", F.explode(entries).alias("e")).select("code", "n", "bits", "e.i", "e.key", "e.prev")
+    rows = marked.select(code.alias("code"), "n", "bits0", "bits1", F.explode(entries).alias("e")).select("code", "n", "bits0", "bits1", "e.i", "e.key", "e.prev")
     left, right, col = rows.alias("l"), rows.alias("r"), F.col
+    differing = _differing([col("l.bits0"), col("l.bits1")], [col("r.bits0"), col("r.bits1")])
     most = F.least("l.i", "r.i") + F.least(col("l.n") - col("l.i"), col("r.n") - col("r.i"))
     met = (
         (col("l.key") == col("r.key"))
@@ -153,11 +159,10 @@ def similar_places(store: DataFrame, classes: Column, places: Places) -> DataFra
         # Where the words before are shared too, the pair has met there, under the same bounds.
         & F.coalesce(col("l.prev") != col("r.prev"), F.lit(True))
         & (most * (NUM + DEN) >= (col("l.n") + col("r.n")) * NUM)
-        & _alike(col("l.n"), col("r.n"), col("l.bits"), col("r.bits"))
+        & _alike(col("l.n"), col("r.n"), differing)
     )
-    differing = F.bit_count(col("l.bits").bitwiseXOR(col("r.bits"))).alias("d")
     place = lambda c: (F.abs(col(c)) - 1).cast(places.kind)
-    pairs = durable(left.join(right, met).select(place("l.code").alias("a"), place("r.code").alias("b"), differing).distinct(), "line-pairs")
+    pairs = durable(left.join(right, met).select(place("l.code").alias("a"), place("r.code").alias("b"), differing.alias("d")).distinct(), "line-pairs")
     best = pairs.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
     found = durable(_verified(best, store, places).select(F.col("a").alias("place")), "similar-lines")
     rest = pairs.join(found.select(F.col("place").alias("a")), "a", "left_anti").join(best, ["a", "b"], "left_anti").select("a", "b")
