@@ -21,6 +21,7 @@ ids and extra columns change nothing, and an empty table gives no rows.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -135,14 +136,19 @@ def _fit_rows(rows: Rows, labels: np.ndarray, share: np.ndarray, pair: tuple[Row
 
 def _telling(docs: list[list[set[str]]], labels: np.ndarray) -> dict[int, int]:
     """Places of the features whose share of documents differs between the classes beyond chance."""
-    of_docs = []
-    for d in docs:
-        words = set().union(*d) if d else set()
-        of_docs.append(np.unique(np.array([f for w in words for f in word_features(w)], dtype=np.uint64)))
-    doc = np.repeat(np.arange(len(docs)), [len(f) for f in of_docs])
-    feature, at = np.unique(np.concatenate(of_docs), return_inverse=True)
+    feature, a, both = np.zeros(0, dtype=np.uint64), np.zeros(0), np.zeros(0)
+    for start in range(0, len(docs), 500):
+        # Blocks are counted one by one, so that no array holds all documents' features.
+        of_docs = []
+        for d in docs[start : start + 500]:
+            words = set().union(*d) if d else set()
+            of_docs.append(np.unique(np.fromiter((f for w in words for f in word_features(w)), dtype=np.uint64)))
+        weight = np.repeat(labels[start : start + 500], [len(f) for f in of_docs])
+        found, at = np.unique(np.concatenate(of_docs), return_inverse=True)
+        feature, place = np.unique(np.concatenate([feature, found]), return_inverse=True)
+        a = np.bincount(place, weights=np.concatenate([a, np.bincount(at, weights=weight, minlength=len(found))]), minlength=len(feature))
+        both = np.bincount(place, weights=np.concatenate([both, np.bincount(at, minlength=len(found))]), minlength=len(feature))
     ones, zeros = max(labels.sum(), 1), max((1 - labels).sum(), 1)
-    a, both = np.bincount(at, weights=labels[doc], minlength=len(feature)), np.bincount(at, minlength=len(feature))
     pooled = both / (ones + zeros)
     spread = np.sqrt(np.maximum(pooled * (1 - pooled) * (1 / ones + 1 / zeros), 1e-12))
     telling = (both >= MIN_DOCS) & (np.abs(a / ones - (both - a) / zeros) >= MIN_Z * spread)
@@ -163,7 +169,7 @@ def fit(texts: list[str], labels: list[int], share: float) -> dict:
         return {"weights": {}, "bias": 0.0, "top": np.array([np.log((share + 1e-6) / (1 - share + 1e-6)), 0.0, 0.0])}
     # Copies would make their rare words look telling: of documents with the same longest
     # sentence the first is used.
-    docs = [sentences_of(t) for t in texts]
+    docs = [[{sys.intern(w) for w in s} for s in sentences_of(t)] for t in texts]
     seen: dict[tuple, int] = {}
     for i, d in enumerate(docs):
         seen.setdefault((tuple(sorted(max(d, key=len))) if d else (), int(y[i])), i)
