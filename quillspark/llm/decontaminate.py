@@ -1,17 +1,14 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search.
+"""Benchmark decontamination: exact containment search by the items' rarest shingles.
 
 An item is inside a document if the document holds at least ``CONTAINMENT`` of the item's
 distinct shingles (``SHINGLE_WORDS`` words, A-Z lower-cased, split at ASCII white space; the
 whole word sequence of a shorter text; a text without words has none and matches nothing).
 
-Short items in long documents have almost no Jaccard similarity, so items are partitioned by
-size, and against each partition a document is seen as overlapping windows of twice the
-partition's largest size: an item's copy then fills a good part of some window. A window's
-signature is the minimum of each of ``HASHES`` hash functions over its shingles, taken from the
-minima of its two halves; a window that shares a minimum with an item of the partition makes the
-pair a candidate. For an item all of whose ``CONTAINMENT`` lies in one window the chance to miss
-it is below 1e-5; every candidate is verified against the whole document by exact comparison of
-shingle strings.
+An item of n shingles of which a document must hold m is looked up by n - m + 1 of them, those in
+the fewest items of its block: a document that holds none of these lacks too many, wherever in it
+the others stand. So no pair is missed, at any size of item. The lookup is by 64-bit hashes of
+shingles, whose collisions only add candidates; every candidate is verified against the whole
+document by exact comparison of shingle strings.
 
 Documents are not shuffled. Items go to them in blocks of at most ``BLOCK_ITEMS`` items and
 ``BLOCK_CHARS`` characters, each block broadcast for one pass, so a large benchmark means more
@@ -21,7 +18,9 @@ give a row for each pair of rows; extra columns are ignored; empty tables give n
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHINGLE_WORDS, CONTAINMENT, HASHES, SEED = 5, 0.8, 32, 977
+SHINGLE_WORDS, CONTAINMENT, SEED = 5, 0.8, 977
 BLOCK_ITEMS, BLOCK_CHARS, CACHE_WORDS = 20_000, 16_000_000, 300_000
 _RNG = np.random.default_rng(SEED)
-_ODD = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
 _STEP = _RNG.integers(0, 2**63, SHINGLE_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -41,10 +38,12 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def _in_order(words: list[bytes]) -> list[bytes]:
+    return [b" ".join(words[i : i + SHINGLE_WORDS]) for i in range(max(1, len(words) - SHINGLE_WORDS + 1))] if words else []
+
+
 def shingles_of(words: list[bytes]) -> set[bytes]:
-    if not words:
-        return set()
-    return {b" ".join(words[i : i + SHINGLE_WORDS]) for i in range(max(1, len(words) - SHINGLE_WORDS + 1))}
+    return set(_in_order(words))
 
 
 class _Hashes(dict):
@@ -66,58 +65,35 @@ def _shingle_hashes(words: list[bytes], known: _Hashes) -> np.ndarray:
     return out
 
 
-def _minima(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Minimum of each hash function over the runs that begin at ``starts`` (functions x runs)."""
-    out = np.empty((HASHES, len(starts)), dtype=np.uint64)
-    for i in range(HASHES):
-        mixed = hashes * _ODD[i]
-        mixed += _ADD[i]
-        mixed ^= mixed >> np.uint64(29)
-        out[i] = np.minimum.reduceat(mixed, starts)
-    return out
-
-
 class Searcher:
-    """A block of items, partitioned by size into ranges (2**p, 2**(p+1)]."""
+    """A block of items and the index of their rarest shingles."""
 
     def __init__(self, items: list[tuple[int | None, str]]) -> None:
         self.items = [(i, shingles_of(words_of(t))) for i, t in items]
         self.known = _Hashes()
-        self.partitions: dict[int, list[dict[int, list[int]]]] = {}
+        self.places: dict[int, list[int]] = {}
+        holders = Counter(s for _, shingles in self.items for s in shingles)
         for place, ((_, text), (_, shingles)) in enumerate(zip(items, self.items)):
             if shingles:
-                size = max(5, int(np.ceil(np.log2(len(shingles)))))
-                lowest = _minima(_shingle_hashes(words_of(text), self.known), np.array([0]))[:, 0].tolist()
-                tables = self.partitions.setdefault(size, [{} for _ in range(HASHES)])
-                for table, value in zip(tables, lowest):
-                    table.setdefault(value, []).append(place)
-        self.sorted = {p: [np.array(sorted(t), dtype=np.uint64) for t in tables] for p, tables in self.partitions.items()}
+                words = words_of(text)
+                hashed = dict(zip(_in_order(words), _shingle_hashes(words, self.known).tolist()))
+                rarest = sorted(shingles, key=lambda s: (holders[s], hashed[s]))
+                for value in {hashed[s] for s in rarest[: len(shingles) - ceil(CONTAINMENT * len(shingles)) + 1]}:
+                    self.places.setdefault(value, []).append(place)
+        self.keys = np.array(sorted(self.places), dtype=np.uint64)
 
     def candidates(self, batch: list[list[bytes]]) -> list[set[int]]:
         """Items that may be inside each document of a batch, given as words."""
-        hashes = [_shingle_hashes(w, self.known) for w in batch if w]
-        owners = np.array([i for i, w in enumerate(batch) if w])
         found: list[set[int]] = [set() for _ in batch]
-        if not len(owners):
+        if not len(self.keys):
             return found
-        lengths = np.array([len(h) for h in hashes])
-        flat, begin = np.concatenate(hashes), np.cumsum(lengths) - lengths
-        for size, tables in self.partitions.items():
-            half = 1 << size
-            halves = -(-lengths // half)
-            owner = np.repeat(np.arange(len(lengths)), halves)
-            within = np.arange(int(halves.sum())) - np.repeat(np.cumsum(halves) - halves, halves)
-            low = _minima(flat, begin[owner] + within * half)
-            # A window is a half and its successor in the same document.
-            joined = low.copy()
-            follows = np.nonzero(owner[1:] == owner[:-1])[0]
-            joined[:, follows] = np.minimum(low[:, follows], low[:, follows + 1])
-            for i in range(HASHES):
-                keys = self.sorted[size][i]
-                at = np.searchsorted(keys, joined[i])
-                at[at == len(keys)] = 0
-                for hit in np.nonzero(keys[at] == joined[i])[0].tolist():
-                    found[owners[owner[hit]]].update(tables[i][int(joined[i, hit])])
+        for places, words in zip(found, batch):
+            if words:
+                hashes = _shingle_hashes(words, self.known)
+                at = np.searchsorted(self.keys, hashes)
+                at[at == len(self.keys)] = 0
+                for value in set(hashes[self.keys[at] == hashes].tolist()):
+                    places.update(self.places[value])
         return found
 
 

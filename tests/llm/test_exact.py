@@ -144,6 +144,26 @@ def test_decontamination_finds_short_items_in_long_documents(spark):
     assert kept == {d for d, _ in docs} - {d for d, _ in contained}
 
 
+def test_decontamination_misses_no_short_or_scattered_item(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    items, docs, want = [], [], set()
+    for i in range(60):
+        words = [word() for _ in range(5 + i % 10)]
+        items.append((i, " ".join(words)))
+        docs.append((i, " ".join([word() for _ in range(rng.randint(0, 900))] + words + [word() for _ in range(400)])))
+        want.add((i, i))
+    # Each five words of an item alone, far from the others.
+    words = [word() for _ in range(44)]
+    items.append((60, " ".join(words)))
+    docs.append((60, " ".join(" ".join(words[k : k + 5] + [word() for _ in range(600)]) for k in range(32))))
+    docs.append((61, " ".join(" ".join(words[k : k + 5] + [word() for _ in range(600)]) for k in range(31))))
+    want.add((60, 60))
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contained_items(frame, bench).collect()} == want
+    assert [r["doc_id"] for r in decontaminate.clean(frame, bench).collect()] == [61]
+
+
 def test_bpe_against_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
