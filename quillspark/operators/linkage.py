@@ -1,8 +1,8 @@
 """Record linkage: exact supersets, trusted identifiers, ranked candidates, decisions.
 
 Candidate retrieval is an equi join on an inverted index of title words with BM25 sums and a
-top-k window; a blocked word (in more than a set share of documents) only scores, as the search
-engine's minimum-should-match would rank but not retrieve by it alone.
+top-k window; candidates are found by a query's rarest words, and frequent words then add to their
+scores and matches.
 """
 
 from __future__ import annotations
@@ -119,20 +119,29 @@ def inverted_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "id", text_col: str = "title", boost: float = TITLE_BOOST, year_col: str | None = None, max_share: float = 1.0) -> DataFrame:
     """query_id, id, score (6 decimals), rank: the best documents by title words for each query.
 
-    ``queries``: query_id, text (and year); a document needs half of the query's distinct words,
-    rounded down, but one at least. Words in more than ``max_share`` of documents aren't joined.
+    ``queries``: query_id (unique), text (and year); a document needs half of the query's distinct
+    words, rounded down, but one at least. Documents are found by a query's rarest words alone, by
+    one more than may be missing, which loses none; only to those the other words' scores are added.
+    Words in more than ``max_share`` of documents count as in none.
     """
     index = inverted_index(docs, id_col, text_col)
     stats = docs.select(F.size(tokens(F.col(text_col))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     df = index.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    asked = queries.select("query_id", *(["year"] if year_col else []), F.array_distinct(tokens(F.col("text"))).alias("ws"))
-    need = F.greatest(F.lit(1), F.floor(MIN_MATCH * F.size("ws"))).alias("need")
-    words = asked.select("query_id", *(["year"] if year_col else []), need, F.explode("ws").alias("word"))
-    weighted = words.join(df, "word").crossJoin(F.broadcast(stats)).where(F.col("df") <= F.col("n_docs") * max_share)
+    year = ["year"] if year_col else []
+    asked = queries.select("query_id", *year, F.array_distinct(tokens(F.col("text"))).alias("ws"))
+    need = F.greatest(F.lit(1), F.floor(MIN_MATCH * F.size("ws")))
+    words = asked.select("query_id", *year, need.alias("need"), (F.size("ws") - need + 1).alias("probes"), F.explode("ws").alias("word"))
+    known = words.join(df, "word", "left").crossJoin(F.broadcast(stats)).withColumn("df", F.when(F.col("df") <= F.col("n_docs") * max_share, F.col("df")))
+    rarest = Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "word")
+    weighted = known.withColumn("probe", F.row_number().over(rarest) <= F.col("probes")).where("df is not null")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = boost * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    met = weighted.join(index, "word").where(~F.col("query_id").eqNullSafe(F.col("id")))
-    scored = met.groupBy("query_id", "id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("matched"), F.first("need").alias("need"), *([F.first("year").alias("year")] if year_col else [])).where("matched >= need")
+    cols = ["query_id", "id", part.alias("part"), "need", *year]
+    met = weighted.where("probe").join(index, "word").where(~F.col("query_id").eqNullSafe(F.col("id"))).select(*cols)
+    pairs = met.select(F.col("query_id").alias("q_"), F.col("id").alias("id_")).distinct()
+    others = weighted.where("not probe").join(pairs, F.col("query_id").eqNullSafe(F.col("q_"))).withColumnRenamed("word", "word_")
+    added = others.join(index, (F.col("word") == F.col("word_")) & F.col("id").eqNullSafe(F.col("id_"))).select(*cols)
+    scored = met.unionByName(added).groupBy("query_id", "id").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("matched"), F.first("need").alias("need"), *([F.first("year").alias("year")] if year_col else [])).where("matched >= need")
     if year_col:
         years = docs.select(F.col(id_col).alias("id"), F.col(year_col).alias("doc_year"))
         scored = scored.join(years, "id").withColumn("score", F.col("score") * year_decay(F.col("doc_year"), F.col("year")))

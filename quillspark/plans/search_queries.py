@@ -233,6 +233,21 @@ def bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.bm25_top_k(asked, corpus.document_refs(spark, sf_dir), max_share=0.2).select("query_id", "id", "score", "rank")
 
 
+@query("d06_bm25_every_word", _refs(f"""
+  , docs AS (SELECT id, {TOKENS.format('title')} AS ws FROM refs),
+  stats AS (SELECT count(*) AS n_docs, avg(len(ws)) AS avgdl FROM docs),
+  idx AS (SELECT id, word, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, len(ws) AS dl, unnest(ws) AS word FROM docs) GROUP BY id, word),
+  df AS (SELECT word, count(*) AS df FROM idx GROUP BY word),
+  q AS (SELECT item_id AS query_id, greatest(1, floor(0.5 * len(ws))) AS need, unnest(ws) AS word FROM (SELECT item_id, list_distinct({TOKENS.format('text')}) AS ws FROM benchmark)),
+  s AS (SELECT q.query_id, idx.id, round(sum(2.0 * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+    FROM q JOIN df USING (word) CROSS JOIN stats JOIN idx USING (word) WHERE q.query_id <> idx.id
+    GROUP BY q.query_id, idx.id HAVING count(*) >= any_value(need))
+  SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10"""))
+def bm25_every_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return linkage.bm25_top_k(asked, corpus.document_refs(spark, sf_dir)).select("query_id", "id", "score", "rank")
+
+
 def registered() -> dict:
     return {"dear": F.col("price") > 300000, "green": search.term("title", "green") & search.holds("types", "SMALL"), "early": search.between("publication_year", high=1993)}
 
