@@ -61,9 +61,10 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All columns but the last, the text, and its fingerprint."""
     for batch in batches:
-        found = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        found = np.fromiter((fingerprint(t.as_py()) for t in batch.columns[-1]), dtype=np.uint64, count=batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -131,11 +132,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: the first row of the smallest doc_id of each.
+    """The rows of ``docs`` that stand for their group: of each, one row of the smallest doc_id.
 
-    Groups that have null ids only keep one of their rows.
+    Null ids come last; among rows of one id, or of null ids only, the first row stays.
     """
-    found = near_duplicates(docs)
-    stay = durable(found.groupBy("component_id").agg(F.min("fp").alias("any")).select(F.col("component_id").alias("stay_id")), "kept-documents")
-    rows = docs.join(stay, docs["doc_id"].eqNullSafe(stay["stay_id"])).select(*[docs[c] for c in docs.columns])
-    return rows.dropDuplicates(["doc_id"])
+    keyed = durable(docs.select(F.monotonically_increasing_id().alias("key"), F.struct("*").alias("row")), "keyed-documents")
+    slim = keyed.select("key", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
+    marked = durable(slim.mapInArrow(_fingerprints, "key long, doc_id long, fp long"), "fingerprints")
+    firsts = marked.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "key")).alias("first"))
+    labels = link_components(firsts.select("fp"))
+    stay = durable(firsts.join(labels, "fp").groupBy("component").agg(F.min("first").alias("first")).select("first.key"), "kept-documents")
+    return keyed.join(stay, "key", "left_semi").select("row.*")

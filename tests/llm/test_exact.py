@@ -119,6 +119,16 @@ def test_simhash_chains_and_dense_groups(spark):
     assert len(found) == len(fps) and all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want.values()))
 
 
+def test_one_of_each_keeps_a_row_of_every_group(spark):
+    rng = random.Random(6)
+    a, b, c, d, e = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(80)) for _ in range(5))
+    # Unrelated texts without ids, one that has a copy with an id, and two texts under one id.
+    rows = [(None, a, 1), (None, b, 2), (None, b, 3), (None, c, 4), (7, c, 5), (9, c, 6), (3, d, 7), (3, e, 8), (3, e, 9), (5, e, 10)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, key long").coalesce(1))
+    assert kept.columns == ["doc_id", "text", "key"]
+    assert sorted(r["key"] for r in kept.collect()) == [1, 2, 5, 7, 8]
+
+
 def test_decontamination_finds_short_items_in_long_documents(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
