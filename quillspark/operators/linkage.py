@@ -68,22 +68,51 @@ def find_by_identifiers(identifiers: DataFrame, lookups: DataFrame, match: str =
     return found.join(F.broadcast(wanted.agg(F.count(F.lit(1)).alias("n"))), "n").select(key)
 
 
+_CONTENT = ["visibility", "identifiers", "fingerprints"]
+
+
+def _contents(df: DataFrame, *cols) -> DataFrame:
+    """``cols`` and the visibility, identifiers and fingerprints as sorted sets; rows that lack one can't match."""
+    sets = [F.array_sort(F.array_distinct(c)).alias(c) for c in _CONTENT[1:]]
+    return df.where("reference_id is not null and visibility is not null and identifiers is not null and fingerprints is not null").select(*cols, "visibility", *sets)
+
+
+def _best_two(rows: DataFrame) -> DataFrame:
+    """For every content its two first candidates by (place, candidate_id), as the array ``best``."""
+    best = Window.partitionBy(*_CONTENT).orderBy("place", "candidate_id")
+    once = rows.groupBy(*_CONTENT, "candidate_id").agg(F.min("place").alias("place"))
+    top = once.withColumn("r", F.row_number().over(best)).where("r <= 2")
+    return top.groupBy(*_CONTENT).agg(F.collect_list(F.struct("place", "candidate_id")).alias("best"))
+
+
 def exact_duplicates(incoming: DataFrame, corpus: DataFrame) -> DataFrame:
     """(reference_id, candidate_id) where the candidate holds all that the incoming record holds.
 
     Both: reference_id, visibility, identifiers array<struct<identifier_type, identifier>>,
     fingerprints array<string>; corpus also duplicate_determination. Only records with an
     identifier other than ``other`` are looked up; canonical candidates come first, then least id.
+
+    Records of equal content are compared once, with their two first candidates (a record is none
+    of its own), and each content looks up only the identifier or fingerprint that the fewest
+    contents of the corpus hold, as whoever holds all of them holds that one.
     """
-    usable = lambda c: F.filter(c, lambda x: x["identifier_type"] != "other")
-    new = incoming.select("reference_id", "visibility", "identifiers", "fingerprints", usable(F.col("identifiers")).alias("keys")).where(F.size("keys") > 0)
-    probe = new.select("*", F.explode("keys").alias("k"))
-    index = corpus.select(F.col("reference_id").alias("candidate_id"), "duplicate_determination", F.col("visibility").alias("v2"), F.col("identifiers").alias("i2"), F.col("fingerprints").alias("f2"), F.explode(usable(F.col("identifiers"))).alias("k"))
-    met = probe.join(index, "k").where("reference_id <> candidate_id and visibility = v2")
-    held = (F.size(F.array_except("identifiers", "i2")) == 0) & (F.size(F.array_except("fingerprints", "f2")) == 0)
-    best = Window.partitionBy("reference_id").orderBy((F.col("duplicate_determination") == "canonical").desc_nulls_last(), "candidate_id")
-    ranked = met.where(held).select("reference_id", "candidate_id", "duplicate_determination").distinct().withColumn("r", F.row_number().over(best))
-    return ranked.where("r = 1").select("reference_id", "candidate_id")
+    usable = F.size(F.filter("identifiers", lambda x: x["identifier_type"] != "other")) > 0
+    new = _contents(incoming, "reference_id").where(usable)
+    canonical = F.col("duplicate_determination") == "canonical"
+    place = F.when(canonical, 0).when(~canonical, 1).otherwise(2).alias("place")
+    stock = _best_two(_contents(corpus, F.col("reference_id").alias("candidate_id"), place))
+    # Hashes only find candidates; those are compared as sets.
+    hashed = lambda name, kind: F.transform(name, lambda x: F.xxhash64("visibility", F.lit(kind), x))
+    each = F.explode(F.array_distinct(F.concat(hashed("identifiers", 0), hashed("fingerprints", 1)))).alias("key")
+    index = stock.select(F.col("visibility").alias("v2"), F.col("identifiers").alias("i2"), F.col("fingerprints").alias("f2"), "best", each)
+    holders = stock.select(each).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    probe = new.select(*_CONTENT).distinct().select(*_CONTENT, each).join(holders, "key", "left")
+    rarest = probe.groupBy(*_CONTENT).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("rarest"))
+    asked = rarest.where("rarest.n > 0").select(*_CONTENT, F.col("rarest.key").alias("key"))
+    held = (F.col("visibility") == F.col("v2")) & (F.size(F.array_except("identifiers", "i2")) == 0) & (F.size(F.array_except("fingerprints", "f2")) == 0)
+    met = asked.join(index, "key").where(held).select(*_CONTENT, F.explode("best").alias("c")).select(*_CONTENT, "c.*")
+    ranked = new.join(_best_two(met), _CONTENT).select("reference_id", F.explode("best").alias("c")).where("c.candidate_id <> reference_id")
+    return ranked.groupBy("reference_id").agg(F.min("c").alias("c")).select("reference_id", "c.candidate_id")
 
 
 def identifier_candidates(lookups: DataFrame, identifiers: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -187,6 +187,17 @@ def exact_supersets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.exact_duplicates(rows, rows.withColumn("duplicate_determination", F.lit("canonical")))
 
 
+@query("d01_exact_supersets_whole", """WITH i AS (SELECT l_orderkey AS r, l_partkey AS k FROM lineitem GROUP BY ALL)
+  SELECT a.r AS reference_id, min(b.r) AS candidate_id FROM
+    (SELECT x.r, y.r AS other, count(*) AS n FROM i x JOIN i y ON x.k = y.k AND x.r <> y.r GROUP BY ALL) p
+    JOIN (SELECT r, count(*) AS n FROM i GROUP BY r) a ON a.r = p.r AND a.n = p.n JOIN i b ON b.r = p.other GROUP BY a.r""")
+def exact_supersets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = F.struct(F.lit("doi").alias("identifier_type"), F.col("l_partkey").cast("string").alias("identifier"))
+    rows = corpus.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("reference_id")).agg(F.collect_set(one).alias("identifiers"))
+    rows = rows.select("*", F.lit("public").alias("visibility"), F.array().cast("array<string>").alias("fingerprints"))
+    return linkage.exact_duplicates(rows, rows.withColumn("duplicate_determination", F.lit("canonical")))
+
+
 @query("a02_pending_counts", f"WITH {corpus.PENDING_SQL} SELECT status, count(*) AS n FROM pending GROUP BY status")
 def pending_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.pending(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
