@@ -7,11 +7,14 @@ with DataFrame functions; clauses that must hold for one and the same array elem
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.search import sure
 
+#: References in a batch at most.
+BATCH = 10_000
+
 
 def all_of(*clauses: Column) -> Column:
     out = F.lit(True)
@@ -44,7 +47,15 @@ def match(changes: DataFrame, queries: dict[str, Column], key: str) -> DataFrame
     return changes.select(key, F.explode(fits).alias("robot")).select("robot", key).distinct()
 
 
-def dispatch(matches: DataFrame, key: str, skip_robot: str | None = None) -> DataFrame:
-    """References by robot, sorted, without the robot whose own result caused the change."""
-    rows = matches if skip_robot is None else matches.where(F.col("robot") != skip_robot)
-    return rows.groupBy("robot").agg(F.array_sort(F.collect_set(key)).alias("references"))
+def dispatch(matches: DataFrame, key: str, skip_robot: str | None = None, size: int = BATCH) -> DataFrame:
+    """(robot, batch, references): batches of at most ``size`` sorted references for each robot,
+    without the robot whose own result caused the change.
+
+    References are dealt by hash, so no task sees all of a robot's; ``batch`` is unique by robot.
+    """
+    rows = (matches if skip_robot is None else matches.where(F.col("robot") != skip_robot)).where(F.col(key).isNotNull()).select("robot", F.col(key).alias("key_")).distinct()
+    counts = rows.groupBy(F.col("robot").alias("robot_")).agg(F.ceil(F.count(F.lit(1)) / size).alias("buckets_"))
+    dealt = rows.join(F.broadcast(counts), F.col("robot").eqNullSafe(F.col("robot_"))).withColumn("bucket_", F.pmod(F.xxhash64("key_"), "buckets_"))
+    at = F.row_number().over(Window.partitionBy("robot", "bucket_").orderBy("key_")) - 1
+    batch = F.col("bucket_") + F.col("buckets_") * F.floor(F.col("at_") / size)
+    return dealt.withColumn("at_", at).groupBy("robot", batch.alias("batch")).agg(F.array_sort(F.collect_list("key_")).alias("references"))

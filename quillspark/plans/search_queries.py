@@ -265,4 +265,4 @@ def standing_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     only = {k: registered()[k] for k in ("dear", "early")}
     sent = standing.dispatch(standing.match(corpus.order_docs(spark, sf_dir), only, "id"), "id", skip_robot="dear")
-    return sent.select("robot", F.size("references").cast("long").alias("n"), F.get("references", F.lit(0)).alias("least"))
+    return sent.groupBy("robot").agg(F.sum(F.size("references")).alias("n"), F.min(F.array_min("references")).alias("least"))
