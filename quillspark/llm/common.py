@@ -51,6 +51,14 @@ def release(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Drop the table behind a frame of :func:`durable_bucketed`, and its files."""
+    spark, table = df.sparkSession, getattr(df, "_quill_table", None)
+    if table:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        release(df)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Label every node of an undirected edge list with the smallest node it reaches.
 
@@ -85,8 +93,11 @@ def durable_bucketed(df: DataFrame, name: str, key: str, partition_by: str | Non
     spark = df.sparkSession
     table = f"quill_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = df.write.format("parquet").option("compression", "zstd").option("path", new_path(spark, name))
+    path = new_path(spark, name)
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", path)
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.bucketBy(n, key).saveAsTable(table)
-    return spark.table(table)
+    out = spark.table(table)
+    out._quill_path, out._quill_table = path, table
+    return out

@@ -1,27 +1,27 @@
 """Line dedup by an exact set-similarity join; DataFrame functions only.
 
 A line is the set of its lower-cased words. Every line whose set has Jaccard similarity of
-``NUM / DEN`` or more with a line before it (by doc_id, then line number) is removed, be that
-line removed itself or not. Lines without words stay.
-
-1. Equal lines (by two 64-bit hashes) are first counted as one, at the place of the first.
-2. Words are ordered by rarity: by the count of their hash bucket over all lines, in octaves of a
-   quarter, then by hash. A line's prefix is its n - ceil(t n) + 1 rarest words: similar lines
-   share a word of their prefixes.
-3. Copies round: lines that share their rarest two words, or their second and third, are compared
-   with the first line of that group only; most near copies are settled here, in at most two
-   comparisons a line.
+``NUM / DEN`` or more with a line before it (by doc_id, then row, then line number) is removed, be
+that line removed itself or not. Lines without words stay.
+
+1. Words are ordered by rarity: by the count of their hash bucket over all lines, in half octaves,
+   then by hash. A line's prefix is its n - ceil(t n) + 1 rarest words: similar lines share a
+   word of their prefixes.
+2. Equal sets are first counted as one, at the place of the first.
+3. Pivot rounds: lines that share their rarest two words, their second and third, or a prefix word
+   of a frequent kind are compared with the first open line of that group only, so a group of
+   near copies costs a few comparisons a line, however large it is.
 4. Prefix join: the lines not yet settled meet all earlier lines that share a prefix word, under
    the length filter, the positional filter, and a filter on the parity bitmaps of both sets
    (a differing bit proves a differing word), all inside the join condition.
-5. Both rounds verify the Jaccard similarity of the word sets themselves; a line's likeliest
-   partner is verified first, and its others only if that fails.
-
-Documents lie in a table bucketed by document, so verification and removal move pairs and line
-numbers but no texts. Rows that
-share a doc_id count as one document (a place is then removed if any line at it is), null ids as
-one document after all others; null and empty texts have no lines; extra columns are ignored; an
-empty table gives no rows.
+5. Every round verifies the Jaccard similarity of the word sets themselves.
+
+Rows are numbered in the order of (doc_id, row), so repeated ids and null ids, which come last,
+are documents of their own. They lie in a table bucketed by row, so verification and removal move
+places and single lines but no texts; a document is split once a round, however many of its lines
+are asked for. Null and empty texts have no lines; extra columns pass through, whatever their
+names; an empty table gives no rows. Two sets count as equal in step 2 if their words' hashes of
+56 bits are.
 """
 
 from __future__ import annotations
@@ -29,173 +29,205 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import durable, durable_bucketed
+from quillspark.llm.common import drop_table, durable, durable_bucketed, release
 
 #: Jaccard similarity as a fraction.
 NUM, DEN = 4, 5
 #: Counts of so many hash buckets of words go to the driver and back, whatever the input.
-RARITY_BUCKETS = 1 << 15
-
-
-def _split(line: Column) -> Column:
-    return F.split(F.lower(F.translate(line, "\t\r\f\x0b", "    ")), " ")
+RARITY_BUCKETS = 1 << 17
+#: Words of buckets with so many occurrences are frequent: their lines are first held against pivots.
+FREQUENT, PIVOT_ROUNDS = 1 << 10, 3
+#: Lines of more words have bitmaps of 128 bits besides that of 64.
+LONG_LINE = 80
+BLANKS = r"[ \t\r\f\x0b]"
+HASH_BITS = 56
 
 
 def words_of(line: Column) -> Column:
-    return F.array_distinct(F.array_remove(_split(line), ""))
+    return F.array_distinct(F.array_remove(F.split(F.lower(line), BLANKS), ""))
 
 
 def _has_words(line: Column) -> Column:
-    return F.length(F.trim(F.translate(line, "\t\r\f\x0b", "    "))) > 0
+    return line.rlike(BLANKS.replace("[", "[^"))
 
 
-class Places:
-    """Orders lines by (doc_id, line number) as one number: document number times a power of two."""
+def _once(value: Column) -> Column:
+    """A generator between two projections keeps a value from being computed for each use."""
+    return F.explode(F.array(value))
 
-    def __init__(self, docs: DataFrame) -> None:
-        low, high, most = docs.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))))).first()
-        self.low, self.absent = low or 0, (high or 0) + 1
-        self.step = 1 << max(1, int(most or 0).bit_length())
-        self.kind = "long" if (self.absent - self.low + 1) * self.step < 1 << 63 else "decimal(38,0)"
 
-    def document(self) -> Column:
-        return F.coalesce(F.col("doc_id").cast(self.kind), F.lit(self.absent).cast(self.kind)) - F.lit(self.low).cast(self.kind)
+class Rows:
+    """Documents by row, and the order of their lines as one number: row number times a power of two."""
 
-    def base(self) -> Column:
-        return (self.document() * F.lit(self.step).cast(self.kind)).cast(self.kind)
+    def __init__(self, docs: DataFrame) -> None:
+        self.columns = docs.columns
+        self.store = durable_bucketed(docs.select(F.monotonically_increasing_id().alias("key"), F.struct("*").alias("row")), "line-store", "key")
+        narrow = self.store.select("key", F.col("row.doc_id").cast("long").alias("doc_id"), F.octet_length(F.col("row.text").cast("string")).alias("size"))
+        ordered = narrow.repartitionByRange(F.col("doc_id").asc_nulls_last(), "key").sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "key")
+        self.written = durable(ordered.select("key", "size", F.monotonically_increasing_id().alias("m")), "line-rows")
+        at = F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
+        parts, most, size = (x or 0 for x in self.written.agg(F.max(F.shiftright("m", 33)), F.max(at), F.max("size")).first())
+        self.step = 1 << (size + 1).bit_length()
+        self.kind = "long" if (parts + 1) * (most + 1) * self.step < 1 << 63 else "decimal(38,0)"
+        self.numbers = self.written.select("key", (F.shiftright("m", 33) * F.lit(most + 1) + at).alias("number"))
+
+    def place(self, number: Column, at: Column) -> Column:
+        return (number.cast(self.kind) * F.lit(self.step).cast(self.kind) + at).cast(self.kind)
+
+    def parts(self, place: Column) -> tuple[Column, Column]:
+        """(row number, line number) of a place."""
+        step = F.lit(self.step).cast(self.kind)
+        number = F.call_function("div", place, step) if self.kind == "long" else F.floor(place / step)
+        return number.cast("long"), F.pmod(place, step).cast("int")
+
+    def gathered(self, places: DataFrame, name: str) -> DataFrame:
+        """(key, number, ``name``): the line numbers of ``places`` by row."""
+        number, at = self.parts(F.col("place"))
+        lists = places.select(number.alias("number"), at.alias("at")).groupBy("number").agg(F.collect_list("at").alias(name))
+        return lists.join(self.numbers, "number").hint("shuffle_hash")
+
+    def words(self, places: DataFrame) -> DataFrame:
+        """(place, words) of distinct ``places``; every row is split once."""
+        there = self.store.select("key", F.col("row.text").cast("string").alias("text")).join(self.gathered(places, "at"), "key")
+        split = there.select("number", _once(F.struct("at", F.split("text", "\n").alias("lines"))).alias("s"))
+        lines = split.select("number", "s.lines", F.explode("s.at").alias("at"))
+        return lines.select(self.place(F.col("number"), F.col("at")).alias("place"), words_of(F.get("lines", F.col("at"))).alias("words"))
+
+    def drop(self) -> None:
+        drop_table(self.store)
+        release(self.written)
+
+
+def rarity_classes(texts: DataFrame) -> Column:
+    """A constant array of ``RARITY_BUCKETS`` classes: half octaves of the buckets' word counts."""
+    words = texts.select(F.explode(F.split(F.lower("text"), r"[ \t\r\f\x0b\n]+")).alias("w"))
+    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(RARITY_BUCKETS)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    classes = ["0"] * RARITY_BUCKETS
+    for bucket, octave in counts.select("bucket", _class_of(F.col("n"))).collect():
+        classes[bucket] = str(octave)
+    return F.split(F.lit(",".join(classes)), ",").cast("array<tinyint>")
 
 
-def _lines(docs: DataFrame, places: Places) -> DataFrame:
-    rows = docs.where("text is not null").select(places.base().alias("base"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return rows.where(_has_words(F.col("line"))).select((F.col("base") + F.col("at")).cast(places.kind).alias("place"), "line")
+def _class_of(count: Column) -> Column:
+    return F.floor(2 * F.log2(1 + count.cast("double")))
 
 
-def _word_hash(word: Column) -> Column:
-    return F.xxhash64(word)
+def _bits(ranks: Column, shift: int) -> Column:
+    """A parity bitmap: of each rank, six bits from ``shift`` on name a bit that it turns over."""
+    turn = lambda r: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(r, shift).bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(ranks, F.lit(0).cast("long"), lambda bits, r: bits.bitwiseXOR(turn(r)))
 
 
-def rarity_classes(docs: DataFrame) -> Column:
-    """A constant array of ``RARITY_BUCKETS`` classes: quarter octaves of the buckets' word counts."""
-    words = docs.select(F.explode(F.split(F.lower(F.translate("text", "\t\r\f\x0b\n", "     ")), " ")).alias("w")).where("w <> ''")
-    counts = words.groupBy(F.pmod(_word_hash(F.col("w")), F.lit(RARITY_BUCKETS)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    classes = ["0"] * RARITY_BUCKETS
-    for bucket, octave in counts.select("bucket", F.floor(4 * F.log2(1 + F.col("n").cast("double")))).collect():
-        classes[bucket] = str(octave)
-    return F.split(F.lit(",".join(classes)), ",").cast("array<long>")
+def _sets(rows: Rows, classes: Column) -> DataFrame:
+    """place, size, bitmaps and two hashes of the word set of every line, keys of its rarest words, and its prefix."""
+    texts = rows.store.select("key", F.col("row.text").cast("string").alias("text")).join(rows.numbers.hint("shuffle_hash"), "key")
+    lines = texts.select("number", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(_has_words(F.col("line")))
+    hashes = F.array_distinct(F.array_remove(F.transform(F.split(F.lower("line"), BLANKS + "+"), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+    held = lines.select(rows.place(F.col("number"), F.col("at")).alias("place"), _once(hashes).alias("h"))
+    ranked = lambda h: F.shiftleft(F.element_at(classes, F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int") + 1).cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
+    sets = held.select("place", _once(F.sort_array(F.transform("h", ranked))).alias("r")).withColumn("n", F.size("r"))
+    length = F.col("n") - F.expr(f"({NUM} * n + {DEN - 1}) div {DEN}").cast("int") + 1
+    rank = lambda i: F.get("r", F.lit(i))
+    half = lambda h: F.when(F.col("n") > LONG_LINE, _bits(F.filter("r", lambda r: F.shiftright(r, 6).bitwiseAND(F.lit(1)) == h), 7))
+    prefix = F.slice("r", F.lit(1), length)
+    frequent = F.filter(prefix, lambda r: F.shiftright(r, HASH_BITS) >= _class_of(F.lit(FREQUENT)))
+    return sets.select("place", "n", _bits(F.col("r"), 0).alias("bits"), half(0).alias("half0"), half(1).alias("half1"), F.xxhash64("r").alias("h1"), F.xxhash64(F.lit("set"), "r").alias("h2"), F.concat(F.array(F.xxhash64(rank(0), rank(1)), F.xxhash64(rank(1), rank(2))), frequent).alias("groups"), F.transform(prefix, lambda r: F.hash(r)).alias("prefix"))
 
 
-def _differing(bits: list[Column], other: list[Column]) -> Column:
-    """The number of differing bits of two parity bitmaps, each in two longs."""
-    return F.bit_count(bits[0].bitwiseXOR(other[0])) + F.bit_count(bits[1].bitwiseXOR(other[1]))
+def _differing(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
 
 
-def _alike(n: Column, m: Column, differing: Column) -> Column:
+def _alike(a: str, b: str) -> Column:
     """What similar sets must fulfil: close sizes, and few differing parity bits."""
-    return (F.least(n, m) * DEN >= F.greatest(n, m) * NUM) & (differing * (NUM + DEN) <= (n + m) * (DEN - NUM))
-
-
-def _in_two(place: Column, places: Places) -> tuple[Column, Column]:
-    """(document, line number) of a place."""
-    step = F.lit(places.step).cast(places.kind)
-    return F.floor(place / step).cast(places.kind) if places.kind != "long" else F.call_function("div", place, step), F.pmod(place, step).cast("int")
-
-
-def _verified(pairs: DataFrame, store: DataFrame, places: Places) -> DataFrame:
-    """The pairs (a, b) of places whose word sets are similar enough."""
-    texts = store.select("document_", "text")
-    for side in ("a", "b"):
-        document, at = _in_two(F.col(side), places)
-        there = pairs.withColumn("document_", document).join(texts, "document_")
-        pairs = there.withColumn(f"line_{side}", F.get(F.split("text", "\n"), at)).drop("document_", "text")
-    # A generator between two projections keeps the words from being computed for each use.
-    sets = pairs.select("a", "b", F.explode(F.array(F.struct(words_of(F.col("line_a")).alias("x"), words_of(F.col("line_b")).alias("y")))).alias("w"))
-    shared = F.size(F.array_intersect("w.x", "w.y"))
-    return sets.where(shared * (NUM + DEN) >= (F.size("w.x") + F.size("w.y")) * NUM).select("a", "b")
-
-
-def _sets(lines: DataFrame, classes: Column) -> DataFrame:
-    """Lines with the size and parity bitmap (128 bits in two longs) of their word sets, two keys of their rarest words, and their prefix."""
-    bucket = lambda h: F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int") + 1
-    ranked = lambda h: F.shiftleft(F.element_at(classes, bucket(h)), 54).bitwiseOR(F.shiftrightunsigned(h, 10))
-    # A generator between two projections keeps the ranks from being computed for each use.
-    rows = lines.select("place", F.explode(F.array(F.sort_array(F.transform(words_of(F.col("line")), lambda w: ranked(_word_hash(w)))))).alias("r"))
-    bit = lambda r: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(r, 48).bitwiseAND(F.lit(63)).cast("int"))
-    half = lambda r: F.shiftrightunsigned(r, 47).bitwiseAND(F.lit(1))
-    parity = lambda h: F.aggregate("r", F.lit(0).cast("long"), lambda bits, r: F.when(half(r) == h, bits.bitwiseXOR(bit(r))).otherwise(bits))
-    length = F.size("r") - F.expr(f"({NUM} * size(r) + {DEN - 1}) div {DEN}").cast("int") + 1
-    at = lambda i: F.get("r", F.lit(i))
-    prefix = F.transform(F.slice("r", F.lit(1), length), lambda r: F.hash(r))
-    return rows.select("place", F.size("r").alias("n"), parity(0).alias("bits0"), parity(1).alias("bits1"), F.xxhash64(at(0), at(1)).alias("k0"), F.xxhash64(at(1), at(2)).alias("k1"), prefix.alias("prefix"))
-
-
-def similar_places(store: DataFrame, classes: Column, places: Places) -> DataFrame:
-    """(place) of the first occurrences of lines that are similar to one before them.
-
-    ``store``: document_, text and firsts_ (line numbers), bucketed by document_.
-    """
-    whole = store.where(F.size("firsts_") > 0).select("document_", F.explode(F.array(F.struct("firsts_", F.split("text", "\n").alias("lines")))).alias("s"))
-    every = whole.select("document_", F.explode(F.transform("s.firsts_", lambda i: F.struct(i.alias("at"), F.get("s.lines", i).alias("line")))).alias("l"))
-    step = F.lit(places.step).cast(places.kind)
-    lines = durable(_sets(every.select((F.col("document_") * step + F.col("l.at")).cast(places.kind).alias("place"), F.col("l.line").alias("line")), classes), "line-sets")
-
-    keys = lines.select("place", "n", "bits0", "bits1", F.explode(F.array("k0", "k1")).alias("key"))
-    first = keys.groupBy("key").agg(F.min("place").alias("b"), F.min_by("bits0", "place").alias("other0"), F.min_by("bits1", "place").alias("other1"))
-    largest = F.floor(F.col("n") * DEN / NUM).cast("int")
-    near = keys.join(first, "key").where((F.col("place") > F.col("b")) & _alike(F.col("n"), largest, _differing([F.col("bits0"), F.col("bits1")], [F.col("other0"), F.col("other1")])))
-    settled = durable(_verified(near.select(F.col("place").alias("a"), "b").distinct(), store, places).select(F.col("a").alias("place")).distinct(), "settled-lines")
-
+    left, right = (lambda c: F.col(a + c)), (lambda c: F.col(b + c))
+    n, m = left("n"), right("n")
+    few = lambda bits: bits * (NUM + DEN) <= (n + m) * (DEN - NUM)
+    halves = _differing(left("half0"), right("half0")) + _differing(left("half1"), right("half1"))
+    return (F.least(n, m) * DEN >= F.greatest(n, m) * NUM) & few(_differing(left("bits"), right("bits"))) & few(F.coalesce(halves, F.lit(0)))
+
+
+def _verified(pairs: DataFrame, rows: Rows) -> DataFrame:
+    """(place) of the first of each pair (a, b) of places whose word sets are similar enough; written."""
+    words = durable(rows.words(pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct()), "line-words")
+    both = pairs.join(words.select(F.col("place").alias("a"), F.col("words").alias("x")), "a").join(words.select(F.col("place").alias("b"), F.col("words").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    found = durable(both.where(shared * (NUM + DEN) >= (F.size("x") + F.size("y")) * NUM).select(F.col("a").alias("place")), "similar-lines")
+    release(words)
+    return found
+
+
+def _pivot_pairs(lines: DataFrame, first_round: bool) -> DataFrame:
+    """Pairs (a, b) of a line and the first line of a group of it, where they may be similar."""
+    facts = ["n", "bits", "half0", "half1"]
+    members = lines.select("place", *facts, F.explode("groups" if first_round else F.slice("groups", 3, 1 << 30)).alias("group"))
+    pivots = members.groupBy("group").agg(F.count(F.lit(1)).alias("many"), F.min("place").alias("b"), *(F.min_by(c, "place").alias(f"b_{c}") for c in facts)).where("many > 1").drop("many")
+    met = members.select("group", F.col("place").alias("a"), *(F.col(c).alias(f"a_{c}") for c in facts)).join(pivots, "group")
+    return met.where((F.col("a") > F.col("b")) & _alike("a_", "b_")).select("a", "b").distinct()
+
+
+def _prefix_pairs(lines: DataFrame, settled: DataFrame, rows: Rows) -> DataFrame:
+    """Pairs (a, b) of an open line and an earlier one that share a prefix word and pass all filters."""
     # One signed number for place and state, so that both sides of the join read one exchange:
     # positive for open lines, negative for settled ones.
-    marked = lines.join(settled.withColumn("settled", F.lit(True)), "place", "left")
-    code = F.when(F.col("settled").isNull(), F.col("place") + 1).otherwise(-F.col("place") - 1).cast(places.kind)
-    entries = F.transform("prefix", lambda key, i: F.struct(i.alias("i"), key.alias("key"), F.when(i > 0, F.get("prefix", i - 1)).alias("prev")))
-    rows = marked.select(code.alias("code"), "n", "bits0", "bits1", F.explode(entries).alias("e")).select("code", "n", "bits0", "bits1", "e.i", "e.key", "e.prev")
-    left, right, col = rows.alias("l"), rows.alias("r"), F.col
-    differing = _differing([col("l.bits0"), col("l.bits1")], [col("r.bits0"), col("r.bits1")])
+    marked = lines.join(settled.distinct().withColumn("settled", F.lit(True)), "place", "left")
+    code = F.when(F.col("settled").isNull(), F.col("place") + 1).otherwise(-F.col("place") - 1).cast(rows.kind)
+    entries = marked.select(code.alias("code"), "n", "bits", "half0", "half1", "prefix", F.posexplode("prefix").alias("i", "word"))
+    entries = entries.select("code", "n", "bits", "half0", "half1", "i", "word", F.get("prefix", F.col("i") - 1).alias("before"))
+    left, right, col = entries.alias("l"), entries.alias("r"), F.col
     most = F.least("l.i", "r.i") + F.least(col("l.n") - col("l.i"), col("r.n") - col("r.i"))
     met = (
-        (col("l.key") == col("r.key"))
+        (col("l.word") == col("r.word"))
         & (col("l.code") > F.abs(col("r.code")))
         # Where the words before are shared too, the pair has met there, under the same bounds.
-        & F.coalesce(col("l.prev") != col("r.prev"), F.lit(True))
+        & F.coalesce(col("l.before") != col("r.before"), F.lit(True))
         & (most * (NUM + DEN) >= (col("l.n") + col("r.n")) * NUM)
-        & _alike(col("l.n"), col("r.n"), differing)
+        & _alike("l.", "r.")
     )
-    place = lambda c: (F.abs(col(c)) - 1).cast(places.kind)
-    pairs = durable(left.join(right, met).select(place("l.code").alias("a"), place("r.code").alias("b"), differing.alias("d")).distinct(), "line-pairs")
-    best = pairs.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
-    found = durable(_verified(best, store, places).select(F.col("a").alias("place")), "similar-lines")
-    rest = pairs.join(found.select(F.col("place").alias("a")), "a", "left_anti").join(best, ["a", "b"], "left_anti").select("a", "b")
-    return settled.unionByName(found).unionByName(_verified(rest, store, places).select(F.col("a").alias("place"))).distinct()
+    place = lambda c: (F.abs(col(c)) - 1).cast(rows.kind)
+    return left.join(right, met).select(place("l.code").alias("a"), place("r.code").alias("b")).distinct()
+
+
+def _staying(rows: Rows) -> DataFrame:
+    """(place) of the lines with words that stay."""
+    texts = rows.store.select(F.col("row.text").cast("string").alias("text"))
+    every = _sets(rows, rarity_classes(texts))
+    facts = ["n", "bits", "half0", "half1", "groups", "prefix"]
+    lines = durable(every.groupBy("h1", "h2").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in facts)).drop("h1", "h2"), "line-sets")
+    settled = None
+    for step in range(PIVOT_ROUNDS):
+        open_lines = lines if settled is None else lines.where(F.size("groups") > 2).join(settled, "place", "left_anti")
+        pairs = durable(_pivot_pairs(open_lines, step == 0), "pivot-pairs")
+        found = _verified(pairs, rows)
+        release(pairs)
+        settled = found if settled is None else settled.unionByName(found)
+    pairs = durable(_prefix_pairs(lines, settled, rows), "line-pairs")
+    gone = settled.unionByName(_verified(pairs, rows))
+    return lines.select("place").join(gone, "place", "left_anti")
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text and others) with arrays: their lines, and the numbers of those removed."""
-    places = Places(docs)
-    identity = _lines(docs, places).groupBy(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2")).agg(F.min("place").alias("place"))
-    document, at = _in_two(F.col("place"), places)
-    by_document = lambda rows, name: rows.select(document.alias("document_"), at.alias("at")).groupBy("document_").agg(F.collect_list("at").alias(name))
-    numbered = docs.withColumn("document_", places.document().cast(places.kind))
-    store = durable_bucketed(numbered.join(by_document(identity, "firsts_"), "document_", "left"), "line-store", "document_")
-    gone = durable(similar_places(store, rarity_classes(docs), places), "removed-lines")
+    """``row`` with all columns of ``docs``, its text and lines, and the numbers of those removed."""
+    rows = Rows(docs)
+    stay = rows.gathered(durable(_staying(rows), "lines-that-stay"), "stay").drop("number")
+    marked = rows.store.select("key", "row", F.col("row.text").cast("string").alias("text")).join(stay, "key", "left").withColumn("lines", F.split("text", "\n"))
     none = F.array().cast("array<int>")
-    marked = store.join(by_document(gone, "gone_"), "document_", "left").withColumn("lines_", F.split("text", "\n"))
-    worded = F.filter(F.transform("lines_", lambda x, i: F.when(_has_words(x), i)), lambda i: i.isNotNull())
-    stay = F.array_except(F.coalesce("firsts_", none), F.coalesce("gone_", none))
-    return marked.withColumn("removed_", F.coalesce(F.array_except(worded, stay), none))
+    worded = F.filter(F.transform("lines", lambda x, i: F.when(_has_words(x), i)), lambda i: i.isNotNull())
+    return marked.withColumn("removed", F.coalesce(F.array_except(worded, F.coalesce("stay", none)), none))
 
 
 def _remaining() -> Column:
-    stay = F.array_except(F.sequence(F.lit(0), F.size("lines_") - 1), F.col("removed_"))
-    return F.when(F.size("removed_") == 0, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines_", i)), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
+    return F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text (without the removed lines), n_lines, n_removed and removed (line numbers from 0)."""
     marked = _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    return marked.select("doc_id", _remaining().alias("text"), F.greatest(F.size("lines_"), F.lit(0)).cast("long").alias("n_lines"), F.size("removed_").cast("long").alias("n_removed"), F.col("removed_").alias("removed"))
+    return marked.select("row.doc_id", _remaining().alias("text"), F.greatest(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """All rows and columns of ``docs``, with the removed lines gone from ``text``."""
-    return _marked(docs).withColumn("text", _remaining()).select(*docs.columns)
+    marked = _marked(docs)
+    return marked.select(*(_remaining().alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
