@@ -8,9 +8,9 @@ that line removed itself or not. Lines without words stay.
    then by hash. A line's prefix is its n - ceil(t n) + 1 rarest words: similar lines share a
    word of their prefixes.
 2. Equal sets are first counted as one, at the place of the first.
-3. Pivot rounds: lines that share their rarest two words, their second and third, or a prefix word
-   of a frequent kind are compared with the first open line of that group only, so a group of
-   near copies costs a few comparisons a line, however large it is.
+3. Pivot rounds: lines that share two neighbouring words of their prefixes' first ``GROUP_WORDS``
+   make a group; every open line is compared with the likeliest of its groups' first open lines
+   only, so a group of near copies costs a comparison a line and round, however large it is.
 4. Prefix join: the lines not yet settled meet all earlier lines that share a prefix word, under
    the length filter, the positional filter, and a filter on the parity bitmaps of both sets
    (a differing bit proves a differing word), all inside the join condition.
@@ -35,12 +35,14 @@ from quillspark.llm.common import drop_table, durable, durable_bucketed, release
 NUM, DEN = 4, 5
 #: Counts of so many hash buckets of words go to the driver and back, whatever the input.
 RARITY_BUCKETS = 1 << 17
-#: Words of buckets with so many occurrences are frequent: their lines are first held against pivots.
-FREQUENT, PIVOT_ROUNDS = 1 << 10, 3
+#: Prefix words whose neighbouring pairs group lines, and rounds of comparison with a pivot.
+GROUP_WORDS, PIVOT_ROUNDS = 5, 3
 #: Lines of more words have bitmaps of 128 bits besides that of 64.
-LONG_LINE = 80
+LONG_LINE = 110
 BLANKS = r"[ \t\r\f\x0b]"
 HASH_BITS = 56
+#: What is known of a line besides its place and words.
+FACTS = ["n", "bits", "half0", "half1"]
 
 
 def words_of(line: Column) -> Column:
@@ -60,7 +62,7 @@ class Rows:
     """Documents by row, and the order of their lines as one number: row number times a power of two."""
 
     def __init__(self, docs: DataFrame) -> None:
-        self.columns = docs.columns
+        self.docs = docs
         self.store = durable_bucketed(docs.select(F.monotonically_increasing_id().alias("key"), F.struct("*").alias("row")), "line-store", "key")
         narrow = self.store.select("key", F.col("row.doc_id").cast("long").alias("doc_id"), F.octet_length(F.col("row.text").cast("string")).alias("size"))
         ordered = narrow.repartitionByRange(F.col("doc_id").asc_nulls_last(), "key").sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "key")
@@ -101,37 +103,32 @@ class Rows:
 def rarity_classes(texts: DataFrame) -> Column:
     """A constant array of ``RARITY_BUCKETS`` classes: half octaves of the buckets' word counts."""
     words = texts.select(F.explode(F.split(F.lower("text"), r"[ \t\r\f\x0b\n]+")).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(RARITY_BUCKETS)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     classes = ["0"] * RARITY_BUCKETS
-    for bucket, octave in counts.select("bucket", _class_of(F.col("n"))).collect():
+    for bucket, octave in counts.select("bucket", F.floor(2 * F.log2(1 + F.col("n").cast("double")))).collect():
         classes[bucket] = str(octave)
     return F.split(F.lit(",".join(classes)), ",").cast("array<tinyint>")
 
 
-def _class_of(count: Column) -> Column:
-    return F.floor(2 * F.log2(1 + count.cast("double")))
-
-
 def _bits(ranks: Column, shift: int) -> Column:
     """A parity bitmap: of each rank, six bits from ``shift`` on name a bit that it turns over."""
-    turn = lambda r: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(r, shift).bitwiseAND(F.lit(63)).cast("int"))
+    six = lambda r: (F.shiftright(r, shift) if shift else r).bitwiseAND(F.lit(63)).cast("int")
+    turn = lambda r: F.call_function("shiftleft", F.lit(1).cast("long"), six(r))
     return F.aggregate(ranks, F.lit(0).cast("long"), lambda bits, r: bits.bitwiseXOR(turn(r)))
 
 
 def _sets(rows: Rows, classes: Column) -> DataFrame:
-    """place, size, bitmaps and two hashes of the word set of every line, keys of its rarest words, and its prefix."""
+    """place, size, bitmaps and two hashes of the word set of every line, and its prefix."""
     texts = rows.store.select("key", F.col("row.text").cast("string").alias("text")).join(rows.numbers.hint("shuffle_hash"), "key")
     lines = texts.select("number", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(_has_words(F.col("line")))
     hashes = F.array_distinct(F.array_remove(F.transform(F.split(F.lower("line"), BLANKS + "+"), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
     held = lines.select(rows.place(F.col("number"), F.col("at")).alias("place"), _once(hashes).alias("h"))
-    ranked = lambda h: F.shiftleft(F.element_at(classes, F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int") + 1).cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
+    ranked = lambda h: F.shiftleft(classes[h.bitwiseAND(F.lit(RARITY_BUCKETS - 1))].cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
     sets = held.select("place", _once(F.sort_array(F.transform("h", ranked))).alias("r")).withColumn("n", F.size("r"))
     length = F.col("n") - F.expr(f"({NUM} * n + {DEN - 1}) div {DEN}").cast("int") + 1
-    rank = lambda i: F.get("r", F.lit(i))
     half = lambda h: F.when(F.col("n") > LONG_LINE, _bits(F.filter("r", lambda r: F.shiftright(r, 6).bitwiseAND(F.lit(1)) == h), 7))
     prefix = F.slice("r", F.lit(1), length)
-    frequent = F.filter(prefix, lambda r: F.shiftright(r, HASH_BITS) >= _class_of(F.lit(FREQUENT)))
-    return sets.select("place", "n", _bits(F.col("r"), 0).alias("bits"), half(0).alias("half0"), half(1).alias("half1"), F.xxhash64("r").alias("h1"), F.xxhash64(F.lit("set"), "r").alias("h2"), F.concat(F.array(F.xxhash64(rank(0), rank(1)), F.xxhash64(rank(1), rank(2))), frequent).alias("groups"), F.transform(prefix, lambda r: F.hash(r)).alias("prefix"))
+    return sets.select("place", "n", _bits(F.col("r"), 0).alias("bits"), half(0).alias("half0"), half(1).alias("half1"), F.xxhash64("r").alias("h1"), F.xxhash64(F.lit("set"), "r").alias("h2"), F.transform(prefix, lambda r: F.hash(r)).alias("prefix"))
 
 
 def _differing(a: Column, b: Column) -> Column:
@@ -157,13 +154,20 @@ def _verified(pairs: DataFrame, rows: Rows) -> DataFrame:
     return found
 
 
-def _pivot_pairs(lines: DataFrame, first_round: bool) -> DataFrame:
-    """Pairs (a, b) of a line and the first line of a group of it, where they may be similar."""
-    facts = ["n", "bits", "half0", "half1"]
-    members = lines.select("place", *facts, F.explode("groups" if first_round else F.slice("groups", 3, 1 << 30)).alias("group"))
-    pivots = members.groupBy("group").agg(F.count(F.lit(1)).alias("many"), F.min("place").alias("b"), *(F.min_by(c, "place").alias(f"b_{c}") for c in facts)).where("many > 1").drop("many")
-    met = members.select("group", F.col("place").alias("a"), *(F.col(c).alias(f"a_{c}") for c in facts)).join(pivots, "group")
-    return met.where((F.col("a") > F.col("b")) & _alike("a_", "b_")).select("a", "b").distinct()
+def _grouped(lines: DataFrame) -> DataFrame:
+    """A row for each line and each of its groups that holds another line; written."""
+    pairs = F.array(*(F.when(F.size("prefix") > i, F.xxhash64(F.get("prefix", F.lit(i)), F.get("prefix", F.lit(i + 1)))) for i in range(GROUP_WORDS - 1)))
+    members = lines.select("place", *FACTS, F.explode(pairs).alias("group")).where("group is not null")
+    shared = members.groupBy("group").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("group")
+    return durable(members.join(shared, "group"), "line-groups")
+
+
+def _pivot_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a line and the likeliest of the first lines of its groups."""
+    pivots = members.groupBy("group").agg(F.min("place").alias("b"), *(F.min_by(c, "place").alias(f"b_{c}") for c in FACTS))
+    met = members.select("group", F.col("place").alias("a"), *(F.col(c).alias(f"a_{c}") for c in FACTS)).join(pivots, "group")
+    likely = met.where((F.col("a") > F.col("b")) & _alike("a_", "b_")).groupBy("a")
+    return likely.agg(F.min_by("b", F.struct(_differing(F.col("a_bits"), F.col("b_bits")), "b")).alias("b"))
 
 
 def _prefix_pairs(lines: DataFrame, settled: DataFrame, rows: Rows) -> DataFrame:
@@ -172,8 +176,8 @@ def _prefix_pairs(lines: DataFrame, settled: DataFrame, rows: Rows) -> DataFrame
     # positive for open lines, negative for settled ones.
     marked = lines.join(settled.distinct().withColumn("settled", F.lit(True)), "place", "left")
     code = F.when(F.col("settled").isNull(), F.col("place") + 1).otherwise(-F.col("place") - 1).cast(rows.kind)
-    entries = marked.select(code.alias("code"), "n", "bits", "half0", "half1", "prefix", F.posexplode("prefix").alias("i", "word"))
-    entries = entries.select("code", "n", "bits", "half0", "half1", "i", "word", F.get("prefix", F.col("i") - 1).alias("before"))
+    entries = marked.select(code.alias("code"), *FACTS, "prefix", F.posexplode("prefix").alias("i", "word"))
+    entries = entries.select("code", *FACTS, "i", "word", F.get("prefix", F.col("i") - 1).alias("before"))
     left, right, col = entries.alias("l"), entries.alias("r"), F.col
     most = F.least("l.i", "r.i") + F.least(col("l.n") - col("l.i"), col("r.n") - col("r.i"))
     met = (
@@ -190,17 +194,15 @@ def _prefix_pairs(lines: DataFrame, settled: DataFrame, rows: Rows) -> DataFrame
 
 def _staying(rows: Rows) -> DataFrame:
     """(place) of the lines with words that stay."""
-    texts = rows.store.select(F.col("row.text").cast("string").alias("text"))
-    every = _sets(rows, rarity_classes(texts))
-    facts = ["n", "bits", "half0", "half1", "groups", "prefix"]
-    lines = durable(every.groupBy("h1", "h2").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in facts)).drop("h1", "h2"), "line-sets")
-    settled = None
-    for step in range(PIVOT_ROUNDS):
-        open_lines = lines if settled is None else lines.where(F.size("groups") > 2).join(settled, "place", "left_anti")
-        pairs = durable(_pivot_pairs(open_lines, step == 0), "pivot-pairs")
+    every = _sets(rows, rarity_classes(rows.docs.select(F.col("text").cast("string").alias("text"))))
+    lines = durable(every.groupBy("h1", "h2").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in [*FACTS, "prefix"])).drop("h1", "h2"), "line-sets")
+    members, settled = _grouped(lines), None
+    for _ in range(PIVOT_ROUNDS):
+        pairs = durable(_pivot_pairs(members if settled is None else members.join(settled, "place", "left_anti")), "pivot-pairs")
         found = _verified(pairs, rows)
         release(pairs)
         settled = found if settled is None else settled.unionByName(found)
+    release(members)
     pairs = durable(_prefix_pairs(lines, settled, rows), "line-pairs")
     gone = settled.unionByName(_verified(pairs, rows))
     return lines.select("place").join(gone, "place", "left_anti")

@@ -65,6 +65,30 @@ def test_line_dedup_against_brute_force(spark):
         assert (r["text"] or "") == "\n".join(kept)
 
 
+def test_line_dedup_keeps_rows_with_equal_or_no_ids_apart(spark):
+    rows = [(2, "the quick brown fox jumps over\nsome other line of text"), (2, "The quick brown fox jumps over\na wholly unique sentence stays here"), (1, "the quick  brown fox jumps\tover"), (None, "only once here\nsome other line of text"), (None, "a line of its own\nonly once here"), (None, None), (3, " \n\n")]
+    clash = F.lit(7)
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int").coalesce(1)
+    docs = docs.withColumns({c: clash for c in ("key", "row", "number", "removed", "lines", "place", "stay", "document_")})
+    kept = line_dedup.without_repeated_lines(docs)
+    assert kept.columns == docs.columns
+    assert {r["n"]: r["text"] for r in kept.collect()} == {0: "some other line of text", 1: "a wholly unique sentence stays here", 2: rows[2][1], 3: "only once here", 4: "a line of its own", 5: None, 6: " \n\n"}
+
+
+def test_line_dedup_of_a_large_group_of_near_copies(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    base = [word() for _ in range(40)]
+    rows = []
+    for i in range(1500):
+        words = list(base)
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(40)] = word()
+        rows.append((i, " ".join(words)))
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r["doc_id"], i) for r in found.collect() for i in r["removed"]} == similar_lines(rows)
+
+
 def reference_fingerprint(text):
     words = (text or "").encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))).split()
     shingles = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
