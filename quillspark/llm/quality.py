@@ -13,7 +13,8 @@ shares; a temperature fitted on a quarter of them that it hasn't seen calibrates
 probabilities. Without rows of both classes every score is the share of label 1.
 
 Null and empty texts pool to zeros and are scored like any other. Rows are scored each, so null
-or repeated ids and extra columns change nothing; an empty table gives no rows.
+or repeated ids and extra columns change nothing (one named ``quality_score`` is replaced); an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -203,6 +204,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict]:
 def score(docs: DataFrame, vectors: np.ndarray, model: dict) -> DataFrame:
     """All columns of ``docs`` and ``quality_score`` of every row."""
     shipped = docs.sparkSession.sparkContext.broadcast((vectors, model))
+    docs = docs.drop("quality_score")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

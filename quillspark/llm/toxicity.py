@@ -12,16 +12,19 @@ group moves a score as little as the labels allow.
 
 A document's probability comes from its highest sentence logit and its number of sentences by a
 logistic fit on documents the sentence model hasn't seen. Null and empty texts have no sentence
-and take the bias logit. Training rows: at most ``PER_CLASS`` of each class, of at most
-``TRAIN_CHARS`` characters; without rows of both classes every score is the share of toxic
+and take the bias logit. Training rows: at most ``PER_CLASS`` ids of each class, one row of each,
+of at most ``TRAIN_CHARS`` characters; of rows that share their longest sentence's words and
+their label only that of the smallest id is used, since copies would make rare words look telling.
+Features are counted and sentences encoded on the executors: the driver gets counts and numbers
+of the telling features, no texts. Without rows of both classes every score is the share of toxic
 labels (0 without labels). Scoring reads whole texts; rows are scored each, so null or repeated
-ids and extra columns change nothing, and an empty table gives no rows.
+ids and extra columns change nothing, other columns of the name ``toxic_score`` are replaced, and
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import durable, release
 from quillspark.llm.labelled import held_out, sample
 
 PER_CLASS, TRAIN_CHARS = 2500, 200_000
@@ -84,22 +88,15 @@ class _Weights(dict):
 
 
 class Rows:
-    """Sentences as rows of the features that are known to ``places``."""
-
-    def __init__(self, sentences: list[set[str]], places: dict[int, int]) -> None:
-        known: dict[str, list[int]] = {}
-        lists = []
-        for words in sentences:
-            row: list[int] = []
-            for w in words:
-                if w not in known:
-                    known[w] = [places[f] for f in word_features(w) if f in places]
-                row += known[w]
-            lists.append(row)
-        self.width = len(places)
-        self.row = np.repeat(np.arange(len(lists)), [len(r) for r in lists]).astype(np.int64)
-        self.index = np.fromiter((i for r in lists for i in r), dtype=np.int64, count=len(self.row))
-        self.n = len(lists)
+    """Sentences as rows of feature places: the lengths of the rows, and all places one after the other."""
+
+    def __init__(self, lengths: np.ndarray, index: np.ndarray, width: int) -> None:
+        self.n, self.width, self.index = len(lengths), width, index.astype(np.int64)
+        self.row = np.repeat(np.arange(self.n), lengths)
+
+    def only(self, used: np.ndarray) -> Rows:
+        mine = used[self.row]
+        return Rows(np.bincount(self.row[mine], minlength=self.n)[used], self.index[mine], self.width)
 
     def logits(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=weights[self.index], minlength=self.n)
@@ -134,68 +131,68 @@ def _fit_rows(rows: Rows, labels: np.ndarray, share: np.ndarray, pair: tuple[Row
     return weights, bias
 
 
-def _telling(docs: list[list[set[str]]], labels: np.ndarray) -> dict[int, int]:
-    """Places of the features whose share of documents differs between the classes beyond chance."""
-    feature, a, both = np.zeros(0, dtype=np.uint64), np.zeros(0), np.zeros(0)
-    for start in range(0, len(docs), 500):
-        # Blocks are counted one by one, so that no array holds all documents' features.
-        of_docs = []
-        for d in docs[start : start + 500]:
-            words = set().union(*d) if d else set()
-            of_docs.append(np.unique(np.fromiter((f for w in words for f in word_features(w)), dtype=np.uint64)))
-        weight = np.repeat(labels[start : start + 500], [len(f) for f in of_docs])
-        found, at = np.unique(np.concatenate(of_docs), return_inverse=True)
-        feature, place = np.unique(np.concatenate([feature, found]), return_inverse=True)
-        a = np.bincount(place, weights=np.concatenate([a, np.bincount(at, weights=weight, minlength=len(found))]), minlength=len(feature))
-        both = np.bincount(place, weights=np.concatenate([both, np.bincount(at, minlength=len(found))]), minlength=len(feature))
-    ones, zeros = max(labels.sum(), 1), max((1 - labels).sum(), 1)
+def _kind(text: str | None) -> int:
+    """A hash of the words of a text's longest sentence, equal for copies."""
+    longest = max(sentences_of(text), key=len, default=set())
+    return xxhash.xxh64_intdigest("\n".join(sorted(longest)).encode())
+
+
+def _features(text: str | None) -> np.ndarray:
+    words = set().union(*sentences_of(text))
+    return np.unique(np.fromiter((f for w in words for f in word_features(w)), dtype=np.uint64))
+
+
+def _telling(feature: np.ndarray, a: np.ndarray, both: np.ndarray, ones: int, zeros: int) -> dict[int, int]:
+    """Places of the features whose share of documents differs between the classes beyond chance.
+
+    ``a`` and ``both``: the toxic and all documents with a feature; ``ones`` and ``zeros``: of either class.
+    """
+    ones, zeros = max(ones, 1), max(zeros, 1)
     pooled = both / (ones + zeros)
     spread = np.sqrt(np.maximum(pooled * (1 - pooled) * (1 / ones + 1 / zeros), 1e-12))
     telling = (both >= MIN_DOCS) & (np.abs(a / ones - (both - a) / zeros) >= MIN_Z * spread)
     in_ones, in_zeros = (a + 0.5) / (ones + 1), (both - a + 0.5) / (zeros + 1)
     odds = in_ones / (1 - np.minimum(in_ones, 0.999)) / (in_zeros / (1 - np.minimum(in_zeros, 0.999)))
     telling &= (odds >= MIN_ODDS) | (odds <= 1 / MIN_ODDS)
-    return {int(f): i for i, f in enumerate(feature[telling])}
+    return {int(f): i for i, f in enumerate(np.sort(feature[telling]))}
 
 
-def fit(texts: list[str], labels: list[int], share: float) -> dict:
-    """Model of labelled documents: feature weights, bias, and the document-level calibration.
+def _encoded(text: str | None, places: dict[int, int]) -> tuple[bytes, ...]:
+    """Sentences, those that name a group, and these with their terms swapped: lengths and places each."""
 
-    ``share`` is the share of toxic rows among all labelled rows, of which the sample holds as
-    many of either class; the calibration weighs the classes accordingly.
-    """
-    y = np.array(labels, dtype=float)
-    if not 0 < share < 1 or not 0 < y.sum() < len(y):
-        return {"weights": {}, "bias": 0.0, "top": np.array([np.log((share + 1e-6) / (1 - share + 1e-6)), 0.0, 0.0])}
-    # Copies would make their rare words look telling: of documents with the same longest
-    # sentence the first is used.
-    docs = [[{sys.intern(w) for w in s} for s in sentences_of(t)] for t in texts]
-    seen: dict[tuple, int] = {}
-    for i, d in enumerate(docs):
-        seen.setdefault((tuple(sorted(max(d, key=len))) if d else (), int(y[i])), i)
-    kept = sorted(seen.values())
-    docs, y = [docs[i] for i in kept], y[kept]
-    calibrating = np.arange(len(docs)) % 4 == 3
-    sentences = [s for d, c in zip(docs, calibrating) if not c for s in d]
-    of = np.array([i for i, (d, c) in enumerate(zip(docs, calibrating)) if not c for _ in d], dtype=np.int64)
-    places = _telling([d for d, c in zip(docs, calibrating) if not c], y[~calibrating])
-    rows, target = Rows(sentences, places), y[of]
+    def rows(sentences: list[set[str]]) -> tuple[bytes, bytes]:
+        found = [[places[f] for w in sorted(words) for f in word_features(w) if f in places] for words in sentences]
+        return np.array([len(r) for r in found], dtype="<i4").tobytes(), np.array([i for r in found for i in r], dtype="<i4").tobytes()
+
+    sentences = sentences_of(text)
     swaps = [(s, other) for s in sentences if (other := _swapped(s)) is not None]
-    pair = (Rows([a for a, _ in swaps], places), Rows([b for _, b in swaps], places)) if swaps else None
+    return *rows(sentences), *rows([a for a, _ in swaps]), *rows([b for _, b in swaps])
+
+
+def _joined(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), dtype="<i4").astype(np.int64)
+
+
+def _fit_encoded(docs: list[tuple[bytes, ...]], y: np.ndarray, calibrating: np.ndarray, places: dict[int, int], share: float) -> dict:
+    width = len(places)
+    learning = [d for d, c in zip(docs, calibrating) if not c]
+    rows = Rows(_joined([d[0] for d in docs]), _joined([d[1] for d in docs]), width)
+    n_sentences = np.array([len(d[0]) // 4 for d in docs], dtype=np.int64)
+    of = np.repeat(np.arange(len(docs)), n_sentences)
+    target, seen = y[of], ~calibrating[of]
+    before, after = (Rows(_joined([d[k] for d in learning]), _joined([d[k + 1] for d in learning]), width) for k in (2, 4))
+    pair = (before, after) if before.n else None
     positive = target == 1
     for _ in range(ROUNDS):
-        used = (target == 0) | positive
-        part = Rows([s for s, k in zip(sentences, used) if k], places)
+        used = seen & ((target == 0) | positive)
         goal = target[used]
         weight = np.where(goal == 1, 0.5 / max(goal.sum(), 1), 0.5 / max((1 - goal).sum(), 1))
-        weights, bias = _fit_rows(part, goal, weight, pair)
+        weights, bias = _fit_rows(rows.only(used), goal, weight, pair)
         logits = rows.logits(weights) + bias
         best = np.full(len(docs), -np.inf)
         np.maximum.at(best, of, logits)
         positive = (target == 1) & ((logits > 0) | (logits == best[of]))
-    table = {f: float(weights[i]) for f, i in places.items()}
-    known = _Weights(table)
-    x = np.array([_summary([sum(map(known.__getitem__, s)) for s in d], bias) for d in docs])
+    x = np.column_stack([np.where(n_sentences > 0, best, bias), np.log1p(n_sentences)])
     use = calibrating if 0 < y[calibrating].sum() < calibrating.sum() else ~calibrating
     a, goal, top = np.column_stack([np.ones(int(use.sum())), x[use]]), y[use], np.zeros(3)
     count = np.where(goal == 1, share / max(goal.mean(), 1e-9), (1 - share) / max(1 - goal.mean(), 1e-9))
@@ -203,24 +200,85 @@ def fit(texts: list[str], labels: list[int], share: float) -> dict:
         p = _sigmoid(a @ top)
         step = np.linalg.solve(a.T @ (a * (count * p * (1 - p))[:, None]) + 1e-2 * np.eye(3), a.T @ (count * (goal - p)) - 1e-2 * top)
         top += np.clip(step, -2, 2)
-    return {"weights": table, "bias": bias, "top": top}
+    return {"weights": {f: float(weights[i]) for f, i in places.items()}, "bias": bias, "top": top}
+
+
+def _share_only(share: float) -> dict:
+    return {"weights": {}, "bias": 0.0, "top": np.array([np.log((share + 1e-6) / (1 - share + 1e-6)), 0.0, 0.0])}
+
+
+def fit(texts: list[str], labels: list[int], share: float) -> dict:
+    """Model of a few labelled texts at hand: feature weights, bias, and the document-level calibration.
+
+    ``share`` is the share of toxic rows among all labelled rows, of which the sample holds as
+    many of either class; the calibration weighs the classes accordingly.
+    """
+    firsts = {(_kind(t), y): i for i, (t, y) in reversed(list(enumerate(zip(texts, labels))))}
+    kept = sorted(firsts.values())
+    y = np.array([labels[i] for i in kept], dtype=float)
+    if not 0 < share < 1 or not 0 < y.sum() < len(y):
+        return _share_only(share)
+    calibrating = np.arange(len(kept)) % 4 == 3
+    features = [_features(texts[i]) for i, c in zip(kept, calibrating) if not c]
+    own = y[~calibrating]
+    feature, at = np.unique(np.concatenate(features), return_inverse=True)
+    a = np.bincount(at, weights=np.repeat(own, [len(f) for f in features]), minlength=len(feature))
+    places = _telling(feature, a, np.bincount(at, minlength=len(feature)), int(own.sum()), int((1 - own).sum()))
+    return _fit_encoded([_encoded(texts[i], places) for i in kept], y, calibrating, places, share)
 
 
 def _summary(logits: list[float], bias: float) -> tuple[float, float]:
     return (max(logits) if logits else 0.0) + bias, float(np.log1p(len(logits)))
 
 
+def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kinds = np.fromiter((_kind(t.as_py()) for t in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds.view(np.int64))], names=["doc_id", "label", "kind"])
+
+
+def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for label, text in zip(batch.column(1).to_pylist(), batch.column(2)):
+            found = _features(text.as_py()).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), label, dtype=np.int32))], names=["feature", "label"])
+
+
 def train(docs: DataFrame, labels: DataFrame) -> dict:
-    rows = sample(docs, labels, "toxic", PER_CLASS).where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS)
+    spark = docs.sparkSession
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
-    found = sorted((r["doc_id"], r["text"] or "", r["label"]) for r in rows.collect())
-    return fit([t for _, t, _ in found], [y for _, _, y in found], share)
+    picked = durable(sample(docs, labels, "toxic", PER_CLASS).where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS), "toxic-sample")
+    rows = picked.select("doc_id", F.col("label").cast("int").alias("label"), "text")
+    firsts = rows.mapInArrow(_kinds, "doc_id long, label int, kind long").groupBy("kind", "label").agg(F.min("doc_id").alias("doc_id"))
+    kept = sorted((r["doc_id"], r["label"]) for r in firsts.select("doc_id", "label").collect())
+    y = np.array([label for _, label in kept], dtype=float)
+    if not 0 < share < 1 or not 0 < y.sum() < len(y):
+        return _share_only(share)
+    chosen = spark.createDataFrame([(i, n % 4 == 3) for n, (i, _) in enumerate(kept)], "doc_id long, calibrating boolean")
+    used = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text", "calibrating")
+    calibrating = np.arange(len(kept)) % 4 == 3
+    counts = used.where("not calibrating").mapInArrow(_feature_rows, "feature long, label int").groupBy("feature").agg(F.sum("label").alias("a"), F.count(F.lit(1)).alias("both")).where(F.col("both") >= MIN_DOCS)
+    table = counts.toArrow()
+    feature, a, both = (table.column(c).to_numpy() for c in ("feature", "a", "both"))
+    own = y[~calibrating]
+    places = _telling(feature.view(np.uint64), a.astype(float), both.astype(float), int(own.sum()), int((1 - own).sum()))
+    shipped = spark.sparkContext.broadcast(places)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = zip(*(_encoded(t.as_py(), shipped.value) for t in batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in columns)] if batch.num_rows else [batch.column(0), *[pa.array([], pa.binary())] * 6], names=["doc_id", *"abcdef"])
+
+    found = {r[0]: tuple(r)[1:] for r in used.mapInArrow(encode, "doc_id long, " + ", ".join(f"{c} binary" for c in "abcdef")).collect()}
+    release(picked)
+    return _fit_encoded([found[i] for i, _ in kept], y, calibrating, places, share)
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """All columns of ``docs`` (doc_id, text, ...) and ``toxic_score`` of every row."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("toxic_score")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -45,11 +45,29 @@ def test_swapping_group_terms_barely_moves_a_score():
     assert max(abs(logit(f"the {g} met for dinner") - logit("the met for dinner")) for g in ("muslims", "christians", "jews")) < 0.5 * logit("you are stupid filth")
 
 
+def test_the_penalty_spares_neutral_mentions_of_groups(monkeypatch):
+    toxic = [f"you {g} are stupid filth number {i}. plain words here" for i in range(40) for g in ("muslims", "muslims", "christians")]
+    clean = [f"the {g} met for dinner number {i}. plain words here" for i in range(40) for g in ("jews", "christians", "christians")]
+    neutral = [f"the {g} opened a shop" for g in ("muslims", "christians", "jews", "hindus")]
+
+    def moved():
+        model = toxicity.fit(toxic + clean, [1] * len(toxic) + [0] * len(clean), 0.5)
+        known = toxicity._Weights(model["weights"])
+        logits = [sum(map(known.__getitem__, set(s.split()))) for s in neutral]
+        return max(logits) - min(logits)
+
+    with_penalty = moved()
+    monkeypatch.setattr(toxicity, "SWAP_PENALTY", 0.0)
+    without = moved()
+    assert with_penalty < 0.1 * without, (with_penalty, without)
+
+
 @pytest.mark.parametrize("texts", [[], [None, "", "x" * 5000, "a b"]])
 @pytest.mark.parametrize("labelled", [[], [(0, None, None), (1, 1, 1)], [(1, 1, 0), (2, 0, 1), (None, 1, 1)]])
 def test_few_labels_and_awkward_texts(spark, texts, labelled):
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("label", F.lit("clash"))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("label", "toxic_score", "quality_score", "kind", "calibrating")})
     labels = spark.createDataFrame(labelled, "doc_id long, quality int, toxic int")
+    assert toxicity.score(docs, toxicity.train(docs, labels)).columns.count("toxic_score") == 1
     for made in (quality.classify(docs, labels), toxicity.classify(docs, labels)):
         assert all(0 <= r["score"] <= 1 for r in made.collect()) and made.count() == len(texts)
 
