@@ -1,14 +1,16 @@
-"""Benchmark decontamination: exact containment search by the items' rarest shingles.
+"""Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
 
 An item is inside a document if the document holds at least ``CONTAINMENT`` of the item's
 distinct shingles (``SHINGLE_WORDS`` words, A-Z lower-cased, split at ASCII white space; the
 whole word sequence of a shorter text; a text without words has none and matches nothing).
 
-An item of n shingles of which a document must hold m is looked up by n - m + 1 of them, those in
-the fewest items of its block: a document that holds none of these lacks too many, wherever in it
-the others stand. So no pair is missed, at any size of item. The lookup is by 64-bit hashes of
-shingles, whose collisions only add candidates; every candidate is verified against the whole
-document by exact comparison of shingle strings.
+Items are partitioned by their number of shingles. An item's sketch is its least hashes: of an
+item of n shingles, m of which a document must hold, the n - m + h least, where h follows the
+size partition. A document that holds m shingles lacks at most n - m of the sketch, so it holds
+h of it at least, wherever in it they stand: the bound leaves no pair out, at any size, and a
+larger h leaves fewer candidates to large items. The sketches are of 64-bit hashes, whose
+collisions only add candidates; every candidate is verified against the whole document by exact
+comparison of shingle strings.
 
 Documents are not shuffled. Items go to them in blocks of at most ``BLOCK_ITEMS`` items and
 ``BLOCK_CHARS`` characters, each block broadcast for one pass, so a large benchmark means more
@@ -18,7 +20,7 @@ give a row for each pair of rows; extra columns are ignored; empty tables give n
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from math import ceil
 
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 
 SHINGLE_WORDS, CONTAINMENT, SEED = 5, 0.8, 977
 BLOCK_ITEMS, BLOCK_CHARS, CACHE_WORDS = 20_000, 16_000_000, 300_000
+#: Size partitions: items of up to so many shingles need so many hits of their sketch.
+SIZE_PARTITIONS = [(8, 1), (32, 2), (128, 4), (1 << 62, 8)]
 _RNG = np.random.default_rng(SEED)
 _STEP = _RNG.integers(0, 2**63, SHINGLE_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -65,21 +69,28 @@ def _shingle_hashes(words: list[bytes], known: _Hashes) -> np.ndarray:
     return out
 
 
+def sketch(words: list[bytes], known: _Hashes) -> tuple[list[int], int]:
+    """The least hashes of an item's shingles, and how many of them a document with the item holds."""
+    n = len(shingles_of(words))
+    lacking = n - ceil(CONTAINMENT * n)
+    hits = next(h for most, h in SIZE_PARTITIONS if n <= most)
+    least = np.unique(_shingle_hashes(words, known))[: lacking + hits].tolist()
+    return least, max(1, len(least) - lacking)
+
+
 class Searcher:
-    """A block of items and the index of their rarest shingles."""
+    """A block of items and the index of their sketches."""
 
     def __init__(self, items: list[tuple[int | None, str]]) -> None:
         self.items = [(i, shingles_of(words_of(t))) for i, t in items]
         self.known = _Hashes()
-        self.places: dict[int, list[int]] = {}
-        holders = Counter(s for _, shingles in self.items for s in shingles)
-        for place, ((_, text), (_, shingles)) in enumerate(zip(items, self.items)):
-            if shingles:
-                words = words_of(text)
-                hashed = dict(zip(_in_order(words), _shingle_hashes(words, self.known).tolist()))
-                rarest = sorted(shingles, key=lambda s: (holders[s], hashed[s]))
-                for value in {hashed[s] for s in rarest[: len(shingles) - ceil(CONTAINMENT * len(shingles)) + 1]}:
-                    self.places.setdefault(value, []).append(place)
+        self.places: dict[int, list[int]] = defaultdict(list)
+        self.needed = [0] * len(items)
+        for place, (_, text) in enumerate(items):
+            if words := words_of(text):
+                least, self.needed[place] = sketch(words, self.known)
+                for value in least:
+                    self.places[value].append(place)
         self.keys = np.array(sorted(self.places), dtype=np.uint64)
 
     def candidates(self, batch: list[list[bytes]]) -> list[set[int]]:
@@ -92,8 +103,8 @@ class Searcher:
                 hashes = _shingle_hashes(words, self.known)
                 at = np.searchsorted(self.keys, hashes)
                 at[at == len(self.keys)] = 0
-                for value in set(hashes[self.keys[at] == hashes].tolist()):
-                    places.update(self.places[value])
+                hits = Counter(p for value in set(hashes[self.keys[at] == hashes].tolist()) for p in self.places[value])
+                places.update(p for p, n in hits.items() if n >= self.needed[p])
         return found
 
 
