@@ -100,7 +100,7 @@ def _close(a: Column, b: Column) -> Column:
 
 def link_components(fps: DataFrame) -> DataFrame:
     """(fp, component) for a frame of distinct fingerprints ``fp``; components are named by a member."""
-    fps = fps.select("fp")
+    fps = fps.select("fp").repartition("fp")
     masks = block_masks(max(fps.count(), 1))
     edges, labelled = None, fps.withColumn("component", F.col("fp"))
     for step in range(PIVOT_ROUNDS + 1):
@@ -118,6 +118,7 @@ def link_components(fps: DataFrame) -> DataFrame:
         edges = found if edges is None else edges.unionByName(found)
         tied = connected_components(edges)
         labelled = durable(fps.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component")), "fingerprint-labels")
+        labelled = labelled.repartition("fp")
     return labelled
 
 
