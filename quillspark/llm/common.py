@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of what is written in here as soon as it is written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def durable(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back; this cuts its lineage."""
     spark = df.sparkSession
@@ -36,7 +50,8 @@ def durable(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    with _shuffles_freed(spark):
+        writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quill_path = path
     return out
@@ -97,7 +112,8 @@ def durable_bucketed(df: DataFrame, name: str, key: str, partition_by: str | Non
     writer = df.write.format("parquet").option("compression", "zstd").option("path", path)
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.bucketBy(n, key).saveAsTable(table)
+    with _shuffles_freed(spark):
+        writer.bucketBy(n, key).saveAsTable(table)
     out = spark.table(table)
     out._quill_path, out._quill_table = path, table
     return out

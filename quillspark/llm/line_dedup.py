@@ -37,12 +37,12 @@ NUM, DEN = 4, 5
 RARITY_BUCKETS = 1 << 17
 #: Prefix words whose neighbouring pairs group lines, and rounds of comparison with a pivot.
 GROUP_WORDS, PIVOT_ROUNDS = 5, 3
-#: Lines of more words have bitmaps of 128 bits besides that of 64.
-LONG_LINE = 110
+#: Lines of more words have bitmaps of 128 bits, whose halves' difference is the bitmap of 64 of others.
+LONG_LINE = 56
 BLANKS = r"[ \t\r\f\x0b]"
 HASH_BITS = 56
 #: What is known of a line besides its place and words.
-FACTS = ["n", "bits", "half0", "half1"]
+FACTS = ["n", "bits", "more"]
 
 
 def words_of(line: Column) -> Column:
@@ -63,7 +63,9 @@ class Rows:
 
     def __init__(self, docs: DataFrame) -> None:
         self.docs = docs
-        self.store = durable_bucketed(docs.select(F.monotonically_increasing_id().alias("key"), F.struct("*").alias("row")), "line-store", "key")
+        keyed = docs.select(F.monotonically_increasing_id().alias("key"), F.struct("*").alias("row"))
+        # Dealt by key first, each task writes one bucket's file instead of one for every bucket.
+        self.store = durable_bucketed(keyed.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key"), "line-store", "key")
         narrow = self.store.select("key", F.col("row.doc_id").cast("long").alias("doc_id"), F.octet_length(F.col("row.text").cast("string")).alias("size"))
         ordered = narrow.repartitionByRange(F.col("doc_id").asc_nulls_last(), "key").sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "key")
         self.written = durable(ordered.select("key", "size", F.monotonically_increasing_id().alias("m")), "line-rows")
@@ -110,10 +112,9 @@ def rarity_classes(texts: DataFrame) -> Column:
     return F.split(F.lit(",".join(classes)), ",").cast("array<tinyint>")
 
 
-def _bits(ranks: Column, shift: int) -> Column:
-    """A parity bitmap: of each rank, six bits from ``shift`` on name a bit that it turns over."""
-    six = lambda r: (F.shiftright(r, shift) if shift else r).bitwiseAND(F.lit(63)).cast("int")
-    turn = lambda r: F.call_function("shiftleft", F.lit(1).cast("long"), six(r))
+def _bits(ranks: Column) -> Column:
+    """A parity bitmap of 64 bits: each rank turns over the bit that its last six bits name."""
+    turn = lambda r: F.call_function("shiftleft", F.lit(1).cast("long"), r.bitwiseAND(F.lit(63)).cast("int"))
     return F.aggregate(ranks, F.lit(0).cast("long"), lambda bits, r: bits.bitwiseXOR(turn(r)))
 
 
@@ -126,22 +127,25 @@ def _sets(rows: Rows, classes: Column) -> DataFrame:
     ranked = lambda h: F.shiftleft(classes[h.bitwiseAND(F.lit(RARITY_BUCKETS - 1))].cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
     sets = held.select("place", _once(F.sort_array(F.transform("h", ranked))).alias("r")).withColumn("n", F.size("r"))
     length = F.col("n") - F.expr(f"({NUM} * n + {DEN - 1}) div {DEN}").cast("int") + 1
-    half = lambda h: F.when(F.col("n") > LONG_LINE, _bits(F.filter("r", lambda r: F.shiftright(r, 6).bitwiseAND(F.lit(1)) == h), 7))
+    # A long line's bitmap of 128 bits: ``more`` is that of some of its words, ``bits`` that of the rest.
+    half = lambda h: _bits(F.filter("r", lambda r: F.shiftright(r, 6).bitwiseAND(F.lit(1)) == h))
+    is_long = F.col("n") > LONG_LINE
     prefix = F.slice("r", F.lit(1), length)
-    return sets.select("place", "n", _bits(F.col("r"), 0).alias("bits"), half(0).alias("half0"), half(1).alias("half1"), F.xxhash64("r").alias("h1"), F.xxhash64(F.lit("set"), "r").alias("h2"), F.transform(prefix, lambda r: F.hash(r)).alias("prefix"))
+    return sets.select("place", "n", F.when(is_long, half(0)).otherwise(_bits(F.col("r"))).alias("bits"), F.when(is_long, half(1)).otherwise(F.lit(0)).cast("long").alias("more"), F.xxhash64("r").alias("h1"), F.xxhash64(F.lit("set"), "r").alias("h2"), F.transform(prefix, lambda r: F.hash(r)).alias("prefix"))
 
 
-def _differing(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
+def _differing(a: str, b: str) -> Column:
+    """How many parity bits differ: of 128 if both lines are long or both short, else of the 64 that both have."""
+    left, right = (lambda c: F.col(a + c)), (lambda c: F.col(b + c))
+    apart = F.bit_count(left("bits").bitwiseXOR(right("bits"))) + F.bit_count(left("more").bitwiseXOR(right("more")))
+    folded = F.bit_count(left("bits").bitwiseXOR(left("more")).bitwiseXOR(right("bits")).bitwiseXOR(right("more")))
+    return F.when((left("n") > LONG_LINE) == (right("n") > LONG_LINE), apart).otherwise(folded)
 
 
 def _alike(a: str, b: str) -> Column:
     """What similar sets must fulfil: close sizes, and few differing parity bits."""
-    left, right = (lambda c: F.col(a + c)), (lambda c: F.col(b + c))
-    n, m = left("n"), right("n")
-    few = lambda bits: bits * (NUM + DEN) <= (n + m) * (DEN - NUM)
-    halves = _differing(left("half0"), right("half0")) + _differing(left("half1"), right("half1"))
-    return (F.least(n, m) * DEN >= F.greatest(n, m) * NUM) & few(_differing(left("bits"), right("bits"))) & few(F.coalesce(halves, F.lit(0)))
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    return (F.least(n, m) * DEN >= F.greatest(n, m) * NUM) & (_differing(a, b) * (NUM + DEN) <= (n + m) * (DEN - NUM))
 
 
 def _verified(pairs: DataFrame, rows: Rows) -> DataFrame:
@@ -167,7 +171,7 @@ def _pivot_pairs(members: DataFrame) -> DataFrame:
     pivots = members.groupBy("group").agg(F.min("place").alias("b"), *(F.min_by(c, "place").alias(f"b_{c}") for c in FACTS))
     met = members.select("group", F.col("place").alias("a"), *(F.col(c).alias(f"a_{c}") for c in FACTS)).join(pivots, "group")
     likely = met.where((F.col("a") > F.col("b")) & _alike("a_", "b_")).groupBy("a")
-    return likely.agg(F.min_by("b", F.struct(_differing(F.col("a_bits"), F.col("b_bits")), "b")).alias("b"))
+    return likely.agg(F.min_by("b", F.struct(_differing("a_", "b_"), "b")).alias("b"))
 
 
 def _prefix_pairs(lines: DataFrame, settled: DataFrame, rows: Rows) -> DataFrame:
