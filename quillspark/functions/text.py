@@ -1,9 +1,16 @@
-"""String and array expressions on Columns (built-in functions only)."""
+"""String and array expressions on Columns, built-in functions wherever Spark has them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import hashlib
+import json
+import re
+import uuid
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Line ends that flatten to a space, and those that JSON lines escape.
 NEWLINES = r"[\n\r\x{85}\x{2028}\x{2029}]"
@@ -23,7 +30,7 @@ def flatten_newlines(text: Column) -> Column:
 
 def escape_newlines(text: Column) -> Column:
     """Line ends that JSON leaves as they are, as the two characters backslash and n."""
-    return F.regexp_replace(text, UNICODE_NEWLINES, r"\\\\n")
+    return F.regexp_replace(text, UNICODE_NEWLINES, r"\\n")
 
 
 def demojibake(text: Column) -> Column:
@@ -87,10 +94,94 @@ def parse_tag(tag: Column) -> Column:
     return F.struct(
         F.regexp_extract(body, r"(?s)^([^/]*)", 1).alias("scheme"),
         F.nullif(F.regexp_extract(body, r"(?s)^[^/]*/(.*)$", 1), F.lit("")).alias("label"),
-        F.try_to_number(F.nullif(F.regexp_extract(tag, r"(?s)^[^@]*@(.*)$", 1), F.lit("")), F.lit("9.9999")).cast("double").alias("score"),
+        F.trim(F.regexp_extract(tag, r"(?s)^[^@]*@(.*)$", 1)).try_cast("double").alias("score"),
     )
 
 
-def fingerprint(*columns: str) -> Column:
-    """Equality key of the given fields in a fixed order."""
-    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+#: Fields that don't count when contents of a kind are compared; suffixes and their content types.
+NOT_COMPARED = {"bibliographic": ["updated_date"], "raw": ["source_export_date"], "full_text": ["retrieved_at", "blob"]}
+CONTENT_TYPES = {"jsonl": "application/jsonl", "json": "application/json", "csv": "text/csv", "txt": "text/plain", "ris": "application/x-research-info-systems", "pdf": "application/pdf"}
+
+
+def fingerprint(*columns: str, kind: str | None = None) -> Column:
+    """Equality key of the given fields in a fixed order, without those that a kind of content leaves out."""
+    used = sorted(set(columns) - set(NOT_COMPARED.get(kind, [])))
+    return F.sha2(F.to_json(F.struct(*used), {"ignoreNullFields": "false"}), 256)
+
+
+def layer_key(content: Column) -> Column:
+    """Equality key of a layer: its content's fingerprint, source, visibility, robot version and origins (in any order)."""
+    origins = F.array_sort(F.coalesce(F.col("derived_from"), F.array().cast("array<string>")))
+    return F.sha2(F.to_json(F.struct("source", "visibility", "robot_version", origins.alias("derived_from"), content.alias("content")), {"ignoreNullFields": "false"}), 256)
+
+
+def chunks(items: Column, n: int) -> Column:
+    """An array as an array of arrays of at most ``n``."""
+    count = F.ceil(F.size(items) / n).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: F.slice(items, i * n + 1, F.lit(n)))
+    return F.when(F.size(items) > 0, cut).otherwise(F.slice(cut, 1, 0))
+
+
+def stripped_items(items: Column) -> Column:
+    """Items without spaces at their ends; null and empty ones are dropped."""
+    return F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+
+
+def content_type(name: Column) -> Column:
+    """Content type by a file name's ending, or null."""
+    ending = F.lower(F.substring_index(name, ".", -1))
+    return F.coalesce(*(F.when(ending == k, v) for k, v in CONTENT_TYPES.items()), F.lit(None))
+
+
+def format_errors(errors: Column) -> Column:
+    return F.array_join(F.transform(errors, lambda e: F.regexp_replace(e, r"^\s+|\s+$", "")), "\n\n")
+
+
+def demojibake_fields(df: DataFrame, names: tuple[str, ...] = ("title", "publisher", "venue", "abstract", "authors")) -> DataFrame:
+    """``df`` with mojibake undone in the text fields, and in text arrays item by item, that it has."""
+    fixed = {n: F.transform(n, demojibake) if k == "array<string>" else demojibake(F.col(n)) for n, k in df.dtypes if n in names and k in ("string", "array<string>")}
+    return df.withColumns(fixed)
+
+
+#: Keys of linked data whose texts are mended.
+TEXT_KEYS = ("name", "description", "supportingText", "@value")
+_SUSPECT = re.compile("[\u00c2-\u00f4][\u0080-\u00bf]|[\u0080-\u009f]")
+
+
+def _mend(text: str) -> str:
+    try:
+        return text.encode("latin-1").decode() if _SUSPECT.search(text) else text
+    except UnicodeError:
+        return text
+
+
+def _walk(node):
+    if isinstance(node, dict):
+        return {k: _mend(v) if k in TEXT_KEYS and isinstance(v, str) else _walk(v) for k, v in node.items()}
+    return [_walk(x) for x in node] if isinstance(node, list) else node
+
+
+@F.pandas_udf(T.StringType())
+def demojibake_json(documents: pd.Series) -> pd.Series:
+    """Mojibake undone under ``TEXT_KEYS`` at any depth of a JSON text; what isn't JSON stays."""
+
+    def one(text):
+        try:
+            return json.dumps(_walk(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        except (TypeError, ValueError):
+            return text
+
+    return documents.map(one)
+
+
+def sampled(key: Column, bits: int | None) -> Column:
+    """Whether a uuid falls into a stable sample of one in 2**bits; None samples nothing."""
+    if bits is None:
+        return F.lit(False)
+
+    @F.pandas_udf(T.BooleanType())
+    def chosen(uuids: pd.Series) -> pd.Series:
+        digest = lambda u: int.from_bytes(hashlib.blake2b(uuid.UUID(u).bytes).digest(), "big")
+        return uuids.map(lambda u: None if u is None else digest(u) & ((1 << bits) - 1) == 0)
+
+    return chosen(key)

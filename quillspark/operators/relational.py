@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.lineage import cut
 
 def same(column: str, value) -> Column:
     """Equality filter; None asks for null."""
@@ -56,6 +57,33 @@ def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return existing.join(new.select(key), key, "left_anti").unionByName(new)
 
 
+def add_bulk(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """All rows of both; fields that the new rows lack are null."""
+    return existing.unionByName(new, allowMissingColumns=True)
+
+
+def delete(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    return df.join(keys.select(key), key, "left_anti")
+
+
+def merge_known(existing: DataFrame, changes: DataFrame, key: str, kept: tuple[str, ...] = ()) -> DataFrame:
+    """``existing`` with the non-null fields of ``changes``; fields in ``kept`` are never touched.
+
+    Rows of ``changes`` whose key isn't there are refused: they raise ValueError.
+    """
+    if lost := [r[0] for r in missing(changes.select(key), existing, key).limit(20).collect()]:
+        raise ValueError(f"not there to be changed: {lost}")
+    fields = [c for c in changes.columns if c != key and c not in kept]
+    fresh = changes.select(key, *(F.col(c).alias(f"{c}_new") for c in fields))
+    merged = existing.join(fresh, key, "left")
+    return merged.withColumns({c: F.coalesce(f"{c}_new", c) for c in fields}).select(*existing.columns)
+
+
+def first_positions(lists: DataFrame, key: str, place: str) -> DataFrame:
+    """Distinct keys of a list in the order of their first places."""
+    return lists.groupBy(key).agg(F.min(place).alias(place))
+
+
 def bulk_update(df: DataFrame, which: Column, **values) -> DataFrame:
     """``df`` with the columns set where the condition is true; unknown columns raise ValueError."""
     if unknown := set(values) - set(df.columns):
@@ -64,20 +92,20 @@ def bulk_update(df: DataFrame, which: Column, **values) -> DataFrame:
     return df.withColumns({k: F.when(hit, v if isinstance(v, Column) else F.lit(v)).otherwise(F.col(k)).cast(df.schema[k].dataType) for k, v in values.items()})
 
 
-def exact_rank(df: DataFrame, key: str, buckets: int = 64) -> DataFrame:
-    """``df`` with ``rank_`` (from 1 in the order of the numeric, unique ``key``) and ``total_``.
+def exact_rank(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``rank_`` (from 1 in the order of the unique ``key``) and ``total_``.
 
-    Approximate quantiles cut the keys into ranges of about equal counts; ranges are counted, and
-    only inside a range rows are numbered by a window, so no task sees all rows.
+    Rows are dealt by ranges of the key and sorted within them, as many ranges as the session has
+    shuffle partitions; they are numbered within their range after those of the ranges before. The
+    sorted rows are checkpointed first, so that ranges and their counts are of one and the same deal.
     """
-    cuts = df.select(F.percentile_approx(key, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 10_000)).first()[0] or []
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<long>"), lambda c: c <= F.col(key)))
-    marked = df.withColumn("bucket_", bucket)
-    counts = marked.groupBy("bucket_").agg(F.count(F.lit(1)).alias("k_"))
-    order = Window.orderBy("bucket_")
-    before = counts.select("bucket_", F.coalesce(F.sum("k_").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"), F.sum("k_").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total_"))
-    numbered = marked.withColumn("at_", F.row_number().over(Window.partitionBy("bucket_").orderBy(key)))
-    return numbered.join(F.broadcast(before), "bucket_").withColumn("rank_", F.col("before_") + F.col("at_")).drop("bucket_", "before_", "at_")
+    dealt = cut(df.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("m_", F.monotonically_increasing_id()))
+    counts = dealt.groupBy(F.shiftright("m_", 33).alias("range_")).agg(F.count(F.lit(1)).alias("k_"))
+    before = F.coalesce(F.sum("k_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("k_").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    starts = counts.select("range_", before.alias("before_"), total.alias("total_"))
+    numbered = dealt.withColumn("range_", F.shiftright("m_", 33)).join(F.broadcast(starts), "range_")
+    return numbered.withColumn("rank_", F.col("before_") + F.col("m_").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("range_", "before_", "m_")
 
 
 def partition_boundaries(df: DataFrame, key: str, size: int) -> DataFrame:

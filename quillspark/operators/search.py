@@ -6,15 +6,18 @@ Spark user writes: ``any_term("title", "climate") & ~term("abstract", "policy")`
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import tokens
 
-#: Hits a search returns at most, and rows of a page.
+#: Hits a search returns at most, and rows of a page; constants of BM25.
 RESULT_WINDOW, PAGE_SIZE = 10_000, 20
+BM25_K1, BM25_B = 1.2, 0.75
 
 
 def sure(predicate: Column) -> Column:
@@ -40,23 +43,36 @@ def prefix(column: str, start: str) -> Column:
 
 def wildcard(column: str, pattern: str) -> Column:
     """``*`` any run, ``?`` one character, over single words."""
-    import re
-
     regex = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern.lower())
     return sure(F.exists(tokens(F.col(column)), lambda t: t.rlike(f"^{regex}$")))
 
 
 def fuzzy(column: str, word: str, edits: int | None = None) -> Column:
-    """A word within so many edits; None takes 0 up to two letters, 1 up to five, else 2."""
+    """A word within so many edits; None takes 0 up to two letters, 1 up to five, else 2.
+
+    Two neighbouring letters that change places are one edit.
+    """
     word = word.lower()
     n = edits if edits is not None else 0 if len(word) <= 2 else 1 if len(word) <= 5 else 2
-    return sure(F.exists(tokens(F.col(column)), lambda t: F.levenshtein(t, F.lit(word), n) >= 0))
+    swapped = lambda words: sorted({w[:i] + w[i + 1] + w[i] + w[i + 2 :] for w in words for i in range(len(w) - 1)} - {word})
+    near = [(word, n)] if n else []
+    turned = [word]
+    for left in range(n - 1, -1, -1):
+        turned = swapped(turned)
+        near += [(w, left) for w in turned]
+
+    def close(t: Column) -> Column:
+        found = t.isin([word] + [w for w, left in near if not left])
+        for w, left in near:
+            if left:
+                found = found | (F.levenshtein(t, F.lit(w), left) >= 0)
+        return found
+
+    return sure(F.exists(tokens(F.col(column)), close))
 
 
 def phrase(column: str, words: str, slop: int = 0) -> Column:
     """The words in order and adjacent; with slop, with up to so many other words among them."""
-    import re
-
     wanted = [w.lower() for w in re.findall(r"\w+", words)]
     between = r"(?: \S+){0,%d} " % slop if slop else " "
     regex = r"(?:^|\s)" + between.join(re.escape(w) for w in wanted) + r"(?:\s|$)"
@@ -161,6 +177,36 @@ def after(docs: DataFrame, query: Query, key: str, last, size: int) -> DataFrame
     return (hits if last is None else hits.where(F.col(key) > F.lit(last))).orderBy(key).limit(size)
 
 
+def scored(docs: DataFrame, words: str, columns: list[str], id_col: str = "id") -> DataFrame:
+    """``docs`` with ``score_``: the best BM25 sum of the words over the columns, and 0 where no word is.
+
+    Word statistics are of all of ``docs``; a document is split once, and only counts are gathered.
+    """
+    wanted = sorted(set(re.findall(r"\w+", words.lower())))
+    if not wanted:
+        return docs.withColumn("score_", F.lit(0.0))
+    arrays = docs.withColumns({f"{c}_words_": tokens(F.col(c)) for c in columns})
+    tf = lambda c, w: F.size(F.filter(f"{c}_words_", lambda t: t == w))
+    counted = arrays.select(*docs.columns, *(F.size(f"{c}_words_").alias(f"{c}_n_") for c in columns), *(tf(c, w).alias(f"{c}_{i}_") for c in columns for i, w in enumerate(wanted)))
+    stats = counted.agg(F.count(F.lit(1)).alias("docs_"), *(F.avg(f"{c}_n_").alias(f"{c}_avg_") for c in columns), *(F.count_if(F.col(f"{c}_{i}_") > 0).alias(f"{c}_{i}_df_") for c in columns for i in range(len(wanted))))
+    rows = counted.crossJoin(F.broadcast(stats))
+
+    def part(c: str, i: int) -> Column:
+        n, df = F.col(f"{c}_{i}_").cast("double"), F.col(f"{c}_{i}_df_")
+        idf = F.log(1 + (F.col("docs_") - df + 0.5) / (df + 0.5))
+        return idf * n * (BM25_K1 + 1) / (n + BM25_K1 * (1 - BM25_B + BM25_B * F.col(f"{c}_n_") / F.nullif(F.col(f"{c}_avg_"), F.lit(0.0))))
+
+    totals = [reduce(lambda a, b: a + b, (F.coalesce(part(c, i), F.lit(0.0)) for i in range(len(wanted)))) for c in columns]
+    return rows.select(*docs.columns, F.round(F.greatest(*totals) if len(totals) > 1 else totals[0], 6).alias("score_"))
+
+
+def search_ids(docs: DataFrame, query: Query, sort: list[str] = (), id_col: str = "id") -> DataFrame:
+    """Ids of all hits within the result window, with their place."""
+    by = order(list(sort), id_col=id_col)
+    hits = docs.where(query.predicate()).orderBy(*by).limit(RESULT_WINDOW)
+    return hits.withColumn("place", F.row_number().over(Window.orderBy(*by))).select(id_col, "place")
+
+
 def hydrate(hits: DataFrame, records: DataFrame, key: str, by: list[Column]) -> DataFrame:
     """Hits, few by nature, with their rank and records."""
     ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(*by)))

@@ -25,22 +25,21 @@ def members(triples: DataFrame) -> DataFrame:
     return schemes(triples).groupBy("scheme").agg(F.array_sort(F.collect_set("concept")).alias("members"))
 
 
-def closure(edges: DataFrame, most: int = 64) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(low, high) of the transitive closure of a child-parent relation, by doubling joins.
 
-    Paths double in length every round, so ``most`` bounds the depth of the hierarchy, not its
-    size; cycles end because nothing new is found.
+    Paths double in length every round, so a hierarchy of depth d takes log2(d) rounds; it ends, on
+    cycles too, when nothing new is found.
     """
     known = edges.select("low", "high").where("low is not null and high is not null").distinct()
-    before, reach = -1, 1
-    while reach < 2 * most:
+    before = -1
+    while True:
         longer = known.alias("a").join(known.alias("b"), F.col("a.high") == F.col("b.low")).select("a.low", "b.high")
         known = cut(known.unionByName(longer).distinct())
         now = known.count()
         if now == before:
-            break
-        before, reach = now, reach * 2
-    return known
+            return known
+        before = now
 
 
 def project(coded: DataFrame, triples: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def lease(pending: DataFrame, claimed: DataFrame, now: Column, minutes: int) ->
     """The queue with the claimed rows in processing until the lease ends."""
     if minutes <= 0:
         raise ValueError("a lease must last")
-    marked = pending.join(F.broadcast(claimed.select("id").withColumn("claimed_", F.lit(True))), "id", "left")
+    marked = pending.join(claimed.select("id").distinct().withColumn("claimed_", F.lit(True)), "id", "left")
     out = bulk_update(marked, F.col("claimed_"), status="processing", expires_at=now + F.expr(f"INTERVAL {minutes} MINUTES"))
     return out.drop("claimed_")
 

@@ -26,7 +26,7 @@ def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_sort(F.collect_set("p_name")).alias("names"),
         F.array_sort(F.collect_set("n_name")).alias("countries"),
         F.array_sort(F.collect_set("r_name")).alias("regions"),
-        F.round(F.max("l_discount") * 10, 4).alias("inclusion_destiny"),
+        F.round(F.max("l_discount") * 10, 4).alias("inclusion_score"),
     )
     orders = table(spark, sf_dir, "orders")
     return orders.join(grouped, F.col("o_orderkey") == F.col("l_orderkey")).select(
@@ -38,7 +38,7 @@ def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "brands",
         "countries",
         "regions",
-        "inclusion_destiny",
+        "inclusion_score",
         F.col("o_totalprice").alias("price"),
     )
 
@@ -46,11 +46,11 @@ def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOCS_SQL = """docs AS (
   SELECT o_orderkey AS id, names AS title, CAST(year(o_orderdate) AS INTEGER) AS publication_year,
     ['status/' || o_orderstatus, 'priority/' || o_orderpriority] AS annotations,
-    types, brands, countries, regions, inclusion_destiny, o_totalprice AS price
+    types, brands, countries, regions, inclusion_score, o_totalprice AS price
   FROM orders JOIN (
     SELECT l_orderkey, list(DISTINCT p_type) AS types, list(DISTINCT p_brand) AS brands,
       string_agg(DISTINCT p_name, ' ' ORDER BY p_name) AS names, list(DISTINCT n_name) AS countries,
-      list(DISTINCT r_name) AS regions, round(max(l_discount) * 10, 4) AS inclusion_destiny
+      list(DISTINCT r_name) AS regions, round(max(l_discount) * 10, 4) AS inclusion_score
     FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
       JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
     GROUP BY l_orderkey) ON o_orderkey = l_orderkey

@@ -54,9 +54,9 @@ def default_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.document_refs(spark, sf_dir).where(search.any_term(["title", "abstract"], "this")).select("id", "lang")
 
 
-@query("q03_wildcard", _refs(f"SELECT id FROM refs WHERE len(list_filter({TOKENS.format('abstract')}, lambda t: regexp_full_match(t, 'th.*on.'))) > 0"))
+@query("q03_wildcard", _refs(f"SELECT id FROM refs WHERE len(list_filter({TOKENS.format('abstract')}, lambda t: regexp_full_match(t, 'th.*on'))) > 0"))
 def wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.document_refs(spark, sf_dir).where(search.wildcard("abstract", "th*on?")).select("id")
+    return corpus.document_refs(spark, sf_dir).where(search.wildcard("abstract", "th*on")).select("id")
 
 
 @query("q03_prefix", _refs(f"SELECT id FROM refs WHERE len(list_filter({TOKENS.format('title')}, lambda t: starts_with(t, 'ther'))) > 0"))
@@ -64,7 +64,15 @@ def prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.document_refs(spark, sf_dir).where(search.prefix("title", "ther")).select("id")
 
 
-@query("q03_fuzzy", _refs(f"SELECT id FROM refs WHERE len(list_filter({TOKENS.format('title')}, lambda t: levenshtein(t, 'thation') <= 2)) > 0"))
+#: Words that a neighbouring pair's change of places makes of a word.
+_TURNED = "list_transform(range(1, len({0})), lambda i: {0}[:i - 1] || {0}[i + 1] || {0}[i] || {0}[i + 2:])"
+
+
+# DuckDB's distance counts bytes: what isn't ASCII stands for one other character.
+@query("q03_fuzzy", _refs(f"""
+  , turned AS (SELECT {_TURNED.format("'thation'")} AS once), twice AS (SELECT once, flatten(list_transform(once, lambda w: {_TURNED.format("w")})) AS more FROM turned),
+  ws AS (SELECT id, unnest(list_transform({TOKENS.format('title')}, lambda t: regexp_replace(t, '[^ -~]', '#', 'g'))) AS t FROM refs)
+  SELECT DISTINCT id FROM ws, twice WHERE levenshtein(t, 'thation') <= 2 OR list_contains(more, t) OR len(list_filter(once, lambda w: levenshtein(t, w) <= 1)) > 0"""))
 def fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.document_refs(spark, sf_dir).where(search.fuzzy("title", "thation")).select("id")
 
@@ -109,10 +117,10 @@ def annotation_scheme(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.count(corpus.order_docs(spark, sf_dir), search.Query(search.annotation("priority"))).withColumnRenamed("total", "n")
 
 
-@query("f04_annotation_score", _orders("SELECT id, inclusion_destiny FROM docs WHERE inclusion_destiny >= 0.8"))
+@query("f04_annotation_score", _orders("SELECT id, inclusion_score FROM docs WHERE inclusion_score >= 0.8"))
 def annotation_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.order_docs(spark, sf_dir)
-    return docs.where(search.annotation("inclusion:destiny", score=0.8, columns=docs.columns)).select("id", "inclusion_destiny")
+    return docs.where(search.annotation("inclusion:score", score=0.8, columns=docs.columns)).select("id", "inclusion_score")
 
 
 @query("f05_concepts_countries", _orders("SELECT id FROM docs WHERE list_has_any(types, ['ECONOMY', 'SMALL']) AND list_has_any(countries, ['NATION_3', 'NATION_4'])"))
@@ -249,19 +257,19 @@ def bm25_every_word(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict:
-    return {"dear": F.col("price") > 300000, "green": search.term("title", "green") & search.holds("types", "SMALL"), "early": search.between("publication_year", high=1993)}
+    return {"dear": F.col("price") > 300000, "green": search.term("title", "green") & search.holds("types", "SMALL"), "early": search.between("publication_year", high=1995)}
 
 
 
 @query("t13_standing_queries", _orders(f"""
   SELECT 'dear' AS robot, id FROM docs WHERE price > 300000
   UNION ALL SELECT 'green', id FROM docs WHERE list_contains({TOKENS.format('title')}, 'green') AND list_contains(types, 'SMALL')
-  UNION ALL SELECT 'early', id FROM docs WHERE publication_year <= 1993"""))
+  UNION ALL SELECT 'early', id FROM docs WHERE publication_year <= 1995"""))
 def standing_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standing.match(corpus.order_docs(spark, sf_dir), registered(), "id")
 
 
-@query("a13_dispatch", _orders("SELECT 'early' AS robot, count(*) AS n, min(id) AS least FROM docs WHERE publication_year <= 1993 HAVING count(*) > 0"))
+@query("a13_dispatch", _orders("SELECT 'early' AS robot, count(*) AS n, min(id) AS least FROM docs WHERE publication_year <= 1995 HAVING count(*) > 0"))
 def dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     only = {k: registered()[k] for k in ("dear", "early")}
     sent = standing.dispatch(standing.match(corpus.order_docs(spark, sf_dir), only, "id"), "id", skip_robot="dear")
