@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import tokens, year_decay
+from quillspark.functions.text import author_terms, sampled, tokens, year_decay
 
 #: BM25 constants, title boost, share of title words that must match, tie breaker.
 K1, B, TITLE_BOOST, MIN_MATCH, TIE = 1.2, 0.75, 2.0, 0.5, 0.1
@@ -185,6 +185,112 @@ def dis_max(scores: Column, tie: float = TIE) -> Column:
     return top + tie * (F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) - top)
 
 
+@dataclass(frozen=True)
+class CandidateSearch:
+    """What to look for: a stored record by id, or title, authors and year given inline.
+
+    ``excluded_id`` leaves a record out of an inline search; a stored one never finds itself.
+    """
+
+    policy: RetrievalPolicy
+    k: int = 10
+    most_authors: int = 25
+    stored: bool = True
+
+    def __post_init__(self) -> None:
+        if not 1 <= self.k <= 1000:
+            raise ValueError("k must be 1 to 1000")
+
+    def usable(self, inputs: DataFrame) -> DataFrame:
+        """Inputs with the reasons for which they can't be looked for, empty if they can."""
+        blank = F.length(F.trim(F.coalesce("title", F.lit("")))) == 0
+        lone = F.size(F.coalesce("authors", F.array().cast("array<string>"))) == 0
+        undated = F.lit(self.policy.requires_year) & (F.coalesce("year", F.lit(0)) == 0)
+        reasons = F.array_compact(F.array(F.when(blank, "no title"), F.when(lone, "no authors"), F.when(undated, "no year")))
+        return inputs.withColumn("reasons", reasons)
+
+
+def _author_scores(pairs: DataFrame, asked: DataFrame, docs: DataFrame, most: int) -> DataFrame:
+    """(query_id, id, author_score): the best author's BM25 sum and a share of the others'."""
+    names = docs.select("id", F.array_join("authors", " ").alias("names"))
+    index = inverted_index(names, "id", "names")
+    stats = names.select(F.size(tokens(F.col("names"))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    df = index.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    clauses = asked.select("query_id", F.posexplode(author_terms(F.col("authors"), cap=most)).alias("clause", "name"))
+    words = clauses.select("query_id", "clause", F.explode(F.array_distinct(tokens(F.col("name")))).alias("word")).join(df, "word").crossJoin(F.broadcast(stats))
+    met = pairs.join(words, "query_id").join(index, ["id", "word"])
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    by_clause = met.groupBy("query_id", "id", "clause").agg(F.sum(part).alias("s"))
+    return by_clause.groupBy("query_id", "id").agg((F.max("s") + TIE * (F.sum("s") - F.max("s"))).alias("author_score"))
+
+
+def ranked_candidates(inputs: DataFrame, docs: DataFrame, asked: CandidateSearch) -> DataFrame:
+    """query_id, id, score, rank of the best candidates of every input that can be looked for.
+
+    ``inputs``: query_id, title, authors, year (and excluded_id, unless stored); ``docs``: id,
+    title, authors, year, determination. Half of the title's distinct words must match, authors
+    add to the score, and the year does as the policy says: within one year only, not at all, or a
+    bonus that fades. Only canonicals are candidates. Word statistics are of all of ``docs``.
+    """
+    usable = asked.usable(inputs).where(F.size("reasons") == 0)
+    titles = bm25_top_k(usable.select("query_id", F.col("title").alias("text")), docs, k=1 << 30)
+    facts = docs.where("determination = 'canonical'").select("id", F.col("year").alias("doc_year"))
+    own = usable.select("query_id", "year", (F.col("query_id") if asked.stored else F.col("excluded_id")).alias("not_id"))
+    met = titles.select("query_id", "id", F.col("score").alias("title_score")).join(facts, "id").join(own, "query_id").where(~F.col("id").eqNullSafe(F.col("not_id")))
+    if asked.policy.year_strategy == "hard_window":
+        met = met.where(F.abs(F.col("doc_year") - F.col("year")) <= 1)
+    authors = _author_scores(met.select("query_id", "id"), usable, docs, asked.most_authors)
+    base = F.col("title_score") + F.coalesce("author_score", F.lit(0.0))
+    score = base * year_decay(F.col("doc_year"), F.col("year")) if asked.policy.year_strategy == "soft_decay" else base
+    whole = met.join(authors, ["query_id", "id"], "left").select("query_id", "id", F.round(score, 6).alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return whole.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= asked.k)
+
+
+def diagnostics(ranked: DataFrame, k: int) -> DataFrame:
+    """By query: how many candidates there are, whether k cut them, and the last and least scores."""
+    return ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) >= k).alias("truncated"), F.max(F.when(F.col("rank") == k, F.col("score"))).alias("kth_score"), F.min("score").alias("lowest_score"))
+
+
+def assess(candidates: DataFrame, papers: DataFrame, scorer, threshold: float) -> DataFrame:
+    """Outcome of every query: each pair of papers is scored by ``scorer(a, b)``, a Column of two structs.
+
+    ``candidates``: query_id, candidate_id (null: none); ``papers``: id and whatever the scorer
+    reads; a candidate without a paper can't be scored.
+    """
+    fields = F.struct(*[c for c in papers.columns if c != "id"])
+    a = papers.select(F.col("id").alias("query_id"), fields.alias("paper_a"))
+    b = papers.select(F.col("id").alias("candidate_id"), fields.alias("paper_b"))
+    both = candidates.join(a, "query_id", "left").join(b, "candidate_id", "left")
+    missing = F.col("paper_a").isNull() | F.col("paper_b").isNull()
+    scored = both.select("query_id", "candidate_id", F.when(~missing, scorer(F.col("paper_a"), F.col("paper_b"))).alias("probability"), F.col("paper_a").isNotNull().alias("searchable"))
+    return outcome(scored, threshold)
+
+
+def recorded(assessments: DataFrame, before: DataFrame, key: str, bits: int | None = None) -> DataFrame:
+    """Rows to be recorded, those of ``before`` first; a payload stays where it is telling or sampled.
+
+    ``assessments``: key (a uuid), outcome, payload. Proposals and failures are telling.
+    """
+    from quillspark.operators.relational import add_or_find
+
+    keep = (F.col("outcome") != "propose_canonical") | F.coalesce(sampled(F.col(key), bits), F.lit(False))
+    return add_or_find(before, assessments.withColumn("payload", F.when(keep, F.col("payload"))), key)
+
+
+def decide_in_turn(active: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Active decisions after manual ones were made in the order of ``place``; later ones win.
+
+    Both: reference_id, determination, canonical_id. Manual decisions override; whoever pointed to a
+    reference that became a duplicate now points to that one's canonical.
+    """
+    last = decisions.groupBy("reference_id").agg(F.max_by(F.struct("determination", "canonical_id"), "place").alias("d")).select("reference_id", "d.*")
+    merged = active.join(last.select("reference_id"), "reference_id", "left_anti").unionByName(last)
+    moved = last.where("determination = 'duplicate'").select(F.col("reference_id").alias("canonical_id"), F.col("canonical_id").alias("next_id"))
+    return merged.join(moved, "canonical_id", "left").select("reference_id", "determination", F.coalesce("next_id", "canonical_id").alias("canonical_id"))
+
+
 def merge_candidates(by_identifier: DataFrame, ranked: DataFrame) -> DataFrame:
     """One row a canonical: those found by identifier only first, then by score; with all routes."""
     a = by_identifier.select("query_id", "canonical_id", F.lit(True).alias("by_identifier"))

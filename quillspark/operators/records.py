@@ -114,3 +114,111 @@ def with_children(parents: DataFrame, children: DataFrame, key: str, name: str,
     packed = children.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *[f for f in fields if f not in order]))).alias(name))
     joined = parents.join(packed, key, "left")
     return joined.withColumn(name, F.coalesce(name, F.array().cast(packed.schema[name].dataType)))
+
+
+#: Statuses of import results, in the order of a batch's summary.
+RESULT_STATUSES = ("created", "started", "completed", "partially_failed", "failed", "retrying", "cancelled")
+
+
+def batch_summary(results: DataFrame, key: str) -> DataFrame:
+    """For every batch the number of results of each status, zeros included, and the failures' details.
+
+    ``results``: key, status, failure_details.
+    """
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in RESULT_STATUSES]
+    failures = F.array_sort(F.collect_list(F.when(F.col("status").isin("failed", "partially_failed"), F.col("failure_details"))))
+    return results.groupBy(key).agg(F.count(F.lit(1)).alias("total"), *counts, failures.alias("failure_details"))
+
+
+def best_scores(scored: DataFrame, key: str, winner: str) -> DataFrame:
+    """best and best_other: the greatest probability of a key's candidates, and of those but the winner."""
+    other = F.when(~F.col("candidate_id").eqNullSafe(F.col(winner)), F.col("probability"))
+    return scored.groupBy(key).agg(F.max("probability").alias("best"), F.max(other).alias("best_other"))
+
+
+def first_identifier(identifiers: Column, kind: str) -> Column:
+    return F.get(F.filter(identifiers, lambda x: x["identifier_type"] == kind), F.lit(0))["identifier"]
+
+
+def bool_annotation(annotations: Column, scheme: str, label: str) -> Column:
+    """True or false as the last boolean annotation of the scheme and label says; null without one."""
+    own = F.filter(annotations, lambda a: (a["scheme"] == scheme) & (a["label"] == label) & (a["annotation_type"] == "boolean"))
+    return F.get(F.reverse(own), F.lit(0))["value"]
+
+
+def searchable_layers(enhancements: Column) -> Column:
+    """Layers that search documents hold: no raw records, associations or linked data."""
+    return F.filter(enhancements, lambda e: ~e["enhancement_type"].isin("raw", "reference_association", "linked_data"))
+
+
+def search_documents(layers: DataFrame, annotations: DataFrame, decisions: DataFrame, fields: list[str]) -> DataFrame:
+    """Search documents of canonical-like references: the canonical's layers and its duplicates' in one.
+
+    ``layers``: reference_id, enhancement_type, created_at, tie, abstract and ``fields``; a field is
+    the last present one of bibliographic layers, the abstract that of the last abstract layer
+    outright. ``annotations``: reference_id, created_at, tie, scheme, label, annotation_type, value;
+    a scheme counts as its last layer has it. A canonical's own layers come after its duplicates'.
+    """
+    priority = ["own", "created_at", "tie"]
+    whole = star(layers, decisions).drop("reference_id")
+    fresh = last_values(whole.where("enhancement_type = 'bibliographic'"), "canonical_id", priority, fields)
+    abstracts = last_wins(whole.where("enhancement_type = 'abstract'"), "canonical_id", priority, "abstract")
+    noted = annotations_by_scheme(star(annotations, decisions).drop("reference_id"), "canonical_id", priority)
+    evaluated = noted.groupBy("canonical_id").agg(F.array_sort(F.collect_set("scheme")).alias("evaluated_schemes"))
+    ids = canonical_of(layers.select("reference_id").unionByName(annotations.select("reference_id")).distinct(), decisions).select("canonical_id").distinct()
+    out = ids
+    for part in (fresh, abstracts, positive_labels(noted, "canonical_id"), evaluated):
+        out = out.join(part, "canonical_id", "left")
+    none = F.array().cast("array<string>")
+    return out.withColumns({c: F.coalesce(c, none) for c in ("annotations", "evaluated_schemes")}).withColumnRenamed("canonical_id", "id")
+
+
+def resync(documents: DataFrame, changed: DataFrame, decisions: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``documents`` after some references changed: those of their canonicals are replaced by
+    ``fresh`` ones, and those of references that now are duplicates go."""
+    canonical = canonical_of(changed.select("reference_id").distinct(), decisions)
+    stale = canonical.select(F.col("canonical_id").alias("id")).unionByName(canonical.select(F.col("reference_id").alias("id"))).distinct()
+    renewed = fresh.join(canonical.select(F.col("canonical_id").alias("id")).distinct(), "id", "left_semi")
+    return documents.join(stale, "id", "left_anti").unionByName(renewed)
+
+
+def canonical_with_changes(changes: DataFrame, references: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Every changed reference's canonical record next to what changed, joined by id."""
+    placed = canonical_of(changes, decisions).withColumnRenamed("reference_id", "changed_id")
+    return placed.join(references.withColumnRenamed("reference_id", "canonical_id"), "canonical_id")
+
+
+def hydrated(ids: DataFrame, enhancements: DataFrame, identifiers: DataFrame, enhancement_types: tuple[str, ...] = (), identifier_types: tuple[str, ...] = ()) -> DataFrame:
+    """References with arrays of their layers and identifiers, of the given types only; none given, all."""
+    wanted = lambda df, c, kinds: df.where(F.col(c).isin(*kinds)) if kinds else df
+    out = with_children(ids.select("reference_id").distinct(), wanted(enhancements, "enhancement_type", enhancement_types), "reference_id", "enhancements", [c for c in enhancements.columns if c != "reference_id"], [])
+    return with_children(out, wanted(identifiers, "identifier_type", identifier_types), "reference_id", "identifiers", [c for c in identifiers.columns if c != "reference_id"], [])
+
+
+def looked_up(by_identifier: DataFrame, by_id: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Canonicals, once each, of references found by identifier or by id."""
+    return canonical_of(by_identifier.select("reference_id").unionByName(by_id.select("reference_id")).distinct(), decisions).select("canonical_id").distinct()
+
+
+def available_fields(fields: Column) -> Column:
+    """Of a map from field to availability those fields that don't count as compared."""
+    return F.map_filter(fields, lambda _, v: v != "compared")
+
+
+def accepted_layers(new: DataFrame, existing: DataFrame, references: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``new`` layers (reference_id, content_key, derived_from array of (reference_id) owners) with their outcome.
+
+    failed: the reference isn't there, or a layer it derives from belongs to another star of
+    duplicates; discarded: its reference has a layer of the same content, or an earlier new one
+    has (by ``place``); else accepted.
+    """
+    there = references.select("reference_id").distinct().withColumn("there", F.lit(True))
+    had = existing.select("reference_id", "content_key").distinct().withColumn("had", F.lit(True))
+    nth = F.row_number().over(Window.partitionBy("reference_id", "content_key").orderBy("place"))
+    trees = canonical_of(references.select("reference_id"), decisions)
+    own = trees.select("reference_id", F.col("canonical_id").alias("tree"))
+    origins = new.select("place", "reference_id", F.explode("derived_from").alias("origin")).join(own, "reference_id", "left")
+    foreign = origins.join(trees.select(F.col("reference_id").alias("origin"), F.col("canonical_id").alias("other")), "origin", "left").where(~F.col("tree").eqNullSafe(F.col("other")))
+    marked = new.withColumn("nth", nth).join(there, "reference_id", "left").join(had, ["reference_id", "content_key"], "left").join(foreign.select("place").distinct().withColumn("foreign", F.lit(True)), "place", "left")
+    outcome = F.when(F.col("there").isNull() | F.col("foreign"), "failed").when(F.col("had") | (F.col("nth") > 1), "discarded").otherwise("accepted")
+    return marked.select(*new.columns, outcome.alias("outcome"))

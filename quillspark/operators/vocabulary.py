@@ -11,6 +11,7 @@ from quillspark.operators.lineage import cut
 IN_SCHEME = "http://www.w3.org/2004/02/skos/core#inScheme"
 PREF_LABEL = "http://www.w3.org/2004/02/skos/core#prefLabel"
 SUB_CLASS_OF = "http://www.w3.org/2000/01/rdf-schema#subClassOf"
+TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 
 
 def labels(triples: DataFrame) -> DataFrame:
@@ -57,6 +58,47 @@ def project(coded: DataFrame, triples: DataFrame) -> DataFrame:
     )
 
 
+def properties(triples: DataFrame, restriction_of: str = SUB_CLASS_OF, on: str = "http://www.w3.org/2002/07/owl#onProperty", values: str = "http://www.w3.org/2002/07/owl#allValuesFrom") -> DataFrame:
+    """(scheme, property): classes of concepts in a scheme that a restriction allows as values of a property.
+
+    A class is a subclass of a restriction node, which names the property and the class of its
+    values; concepts of that class lie in the scheme.
+    """
+    of = lambda p, s, o: triples.where(F.col("p") == p).select(F.col("s").alias(s), F.col("o").alias(o))
+    nodes = of(restriction_of, "class", "node").join(of(on, "node", "property"), "node").join(of(values, "node", "value_class"), "node")
+    typed = of(TYPE, "concept", "value_class").join(of(IN_SCHEME, "concept", "scheme"), "concept")
+    return nodes.join(typed, "value_class").select("scheme", "property").distinct()
+
+
+def coded_rows(documents: DataFrame) -> DataFrame:
+    """(reference_id, property, concept, literal, status) of linked-data JSON texts (reference_id, data).
+
+    ``data`` is an object of properties, each a value or an array of values. A value is an envelope
+    of a coded annotation, {"status", "value"}, or stands alone; values are {"@id"} for concepts
+    and {"@value"} or plain text for literals. What isn't JSON has no rows.
+    """
+    maps = documents.select("reference_id", F.explode(F.from_json("data", "map<string, string>")).alias("property", "raw")).where("raw is not null")
+    items = F.when(F.col("raw").rlike(r"(?s)^\s*\["), F.from_json("raw", "array<string>")).otherwise(F.array("raw"))
+    each = maps.select("reference_id", "property", F.explode(items).alias("item"))
+    field = lambda path: F.get_json_object("item", path)
+    alone = ~F.col("item").rlike(r"(?s)^\s*\{")
+    literal = F.when(alone, F.col("item")).otherwise(F.coalesce(field("$.value['@value']"), field("$['@value']"), F.when(~field("$.value").rlike(r"(?s)^\s*\{"), field("$.value"))))
+    return each.select("reference_id", "property", F.when(~alone, F.coalesce(field("$.value['@id']"), field("$['@id']"))).alias("concept"), literal.alias("literal"), F.when(~alone, field("$.status")).alias("status"))
+
+
+def countries(coded: DataFrame, registered: list[str]) -> DataFrame:
+    """(reference_id, countries): upper-cased literals of the registered properties, coded or without a status."""
+    code = F.upper(F.trim("literal"))
+    used = F.col("property").isin(*registered) & (F.col("status").isNull() | (F.col("status") == "coded")) & (F.length(code) > 0)
+    return coded.where(used).groupBy("reference_id").agg(F.array_sort(F.collect_set(code)).alias("countries"))
+
+
+def regions_of(countries_by_id: DataFrame, regions: DataFrame) -> DataFrame:
+    """(reference_id, regions) of country arrays by a table (country, region); unknown countries have none."""
+    each = countries_by_id.select("reference_id", F.explode("countries").alias("country"))
+    return each.join(regions.select("country", "region"), "country").groupBy("reference_id").agg(F.array_sort(F.collect_set("region")).alias("regions"))
+
+
 def violations(subjects: DataFrame, triples: DataFrame, required: list[str]) -> DataFrame:
     """(s, p) of required properties that a subject lacks."""
     wanted = subjects.select("s").distinct().select("s", F.explode(F.array(*[F.lit(p) for p in required])).alias("p"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.plans.record_queries import ORACLE, QUERIES
+from quillspark.plans.flow_queries import ORACLE, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
 

@@ -50,6 +50,17 @@ def export_lines(df: DataFrame, line: Column, path: str) -> None:
     df.select(line.alias("value")).write.text(path)
 
 
+def write_payloads(df: DataFrame, key: str, path: str) -> None:
+    """One JSON line a row, in files by key's hash range, for payloads looked up by ``key``."""
+    df.select(key, F.to_json(F.struct(*[c for c in df.columns if c != key])).alias("payload")).repartitionByRange(key).sortWithinPartitions(key).write.parquet(path)
+
+
+def result_lines(classified: DataFrame, messages: dict[str, str]) -> DataFrame:
+    """One JSON line for each line of a result file, then one for each missing reference (``line``, ``at``)."""
+    text = F.coalesce(*(F.when(F.col("outcome") == k, v) for k, v in messages.items()), F.lit(None).cast("string"))
+    return classified.select(F.to_json(F.struct("reference_id", text.alias("error"))).alias("line"), F.col("line_no").alias("at"))
+
+
 def digests(df: DataFrame, content: str, most_bytes: int) -> DataFrame:
     """``df`` with sha256 and byte_size of a binary column; too_large if the size exceeds the cap."""
     size = F.octet_length(content)
