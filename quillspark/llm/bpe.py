@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import durable_bucketed
+from quillspark.llm.common import durable_bucketed, text_batches
 
 CHUNK_CHARS = 10_000_000
 #: Rows of a batch that goes back to Spark.
@@ -154,6 +154,7 @@ def _join_positions(positions: pa.Table, encoded: pa.Table) -> pa.Table:
 def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id and ids of every row; ids are unsigned 32-bit little-endian numbers in one binary."""
     spark = docs.sparkSession
+    text_batches(spark)
     json = spark.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
     n_buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = durable_bucketed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_split(n_buckets), "kind string, chunk long, bucket int, payload binary"), "bpe-words", "chunk", "kind")

@@ -31,6 +31,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of a batch of texts that Python gets at once, at most.
+TEXT_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Have the session ship texts to Python in small batches, so that workers hold few at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, TEXT_ROWS)
+
+
 @contextlib.contextmanager
 def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
     """Spark deletes the shuffle files of what is written in here as soon as it is written."""
@@ -43,10 +54,10 @@ def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def durable(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back; this cuts its lineage."""
+def durable(df: DataFrame, name: str, partition_by: str | None = None, folder: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder (or another one) and read it back; this cuts its lineage."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else new_path(spark, name)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
@@ -57,10 +68,11 @@ def durable(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files behind a frame of :func:`durable` that nothing reads any more."""
-    spark, path = df.sparkSession, getattr(df, "_quill_path", None)
+def release(written: DataFrame | str, spark: SparkSession | None = None) -> None:
+    """Delete the files behind a frame of :func:`durable`, or at a path, that nothing reads any more."""
+    path = written if isinstance(written, str) else getattr(written, "_quill_path", None)
     if path:
+        spark = spark or written.sparkSession
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

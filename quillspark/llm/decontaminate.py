@@ -30,6 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import text_batches
+
 SHINGLE_WORDS, CONTAINMENT, SEED = 5, 0.8, 977
 BLOCK_ITEMS, BLOCK_CHARS, CACHE_WORDS = 20_000, 16_000_000, 300_000
 #: Size partitions: items of up to so many shingles need so many hits of their sketch.
@@ -131,6 +133,7 @@ def _search(shipped, at_id: int, at_text: int):
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
     """Items in blocks of bounded size, streamed partition by partition."""
+    text_batches(items.sparkSession)
     block, chars = [], 0
     for item_id, text in items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
         if text:

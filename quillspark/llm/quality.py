@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.llm.common import text_batches
 from quillspark.llm.labelled import held_out, sample
 
 WORDS, DIM, NONZERO, REACH, SEED = 8192, 32, 4, 2, 20240607
@@ -102,6 +103,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """The context vectors (``WORDS`` x ``DIM``, unit length or zero) over all of ``docs``."""
+    text_batches(docs.sparkSession)
     columns = [f"c{d}" for d in range(DIM)]
     sums = docs.select("text").mapInArrow(_contexts, "slot long, " + ", ".join(f"{c} long" for c in columns))
     rows = sums.groupBy("slot").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()

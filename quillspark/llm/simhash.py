@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import connected_components, durable
+from quillspark.llm.common import connected_components, durable, text_batches
 
 SHINGLE_WORDS, SEED, MAX_BITS = 4, 42, 4
 #: Rounds against a pivot before all pairs across components are compared.
@@ -69,6 +69,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a signed long) of every row."""
+    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
@@ -79,7 +80,7 @@ def block_masks(n: int) -> list[int]:
         bits = 64 * (blocks - MAX_BITS) / blocks
         return comb(blocks, MAX_BITS) * (n + n * n / 2 / 2**bits)
 
-    blocks = min(range(MAX_BITS + 1, MAX_BITS + 6), key=cost)
+    blocks = min(range(MAX_BITS + 2, MAX_BITS + 6), key=cost)
     cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
     parts = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
     return [sum(chosen) for chosen in combinations(parts, blocks - MAX_BITS)]
@@ -137,6 +138,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Null ids come last; among rows of one id, or of null ids only, the first row stays.
     """
+    text_batches(docs.sparkSession)
     keyed = durable(docs.select(F.monotonically_increasing_id().alias("key"), F.struct("*").alias("row")), "keyed-documents")
     slim = keyed.select("key", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
     marked = durable(slim.mapInArrow(_fingerprints, "key long, doc_id long, fp long"), "fingerprints")

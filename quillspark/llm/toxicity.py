@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import durable, release
+from quillspark.llm.common import durable, release, text_batches
 from quillspark.llm.labelled import held_out, sample
 
 PER_CLASS, TRAIN_CHARS = 2500, 200_000
@@ -246,6 +246,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     spark = docs.sparkSession
+    text_batches(spark)
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     picked = durable(sample(docs, labels, "toxic", PER_CLASS).where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS), "toxic-sample")
@@ -277,6 +278,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """All columns of ``docs`` (doc_id, text, ...) and ``toxic_score`` of every row."""
+    text_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("toxic_score")
     at = docs.columns.index("text")
