@@ -8,16 +8,19 @@ equal windows have equal anchors at equal places, and a suffix array of anchors
 about 170) sees every long match. A suffix is keyed by its leading bytes and a hash of its first
 ``GRAM`` bytes; with it goes a hash of everything that the anchor's own windows cover.
 
-Index family: each batch of chunks gets a suffix array (entries in key order, equal ones counted),
-which is merge-scanned against itself and every existing level for keys that occur again; then it
-becomes a level, and levels of equal rank merge into one of the next rank.
+Index family: each batch of chunks gets a suffix array: its entries in the order of their keys over
+all partitions, equal ones counted. It is merged with every existing level in key order, and where
+neighbours of the merged order have one key, that key occurs again. Then it becomes a level, and
+levels of equal rank merge into one of the next rank, so n batches make log2(n) levels. Levels,
+matches and texts lie in the index's folder: a later :class:`SuffixIndex` over the same folder goes
+on from there, with further batches of documents.
 
 Resolution, for keys that occur again: anchors whose whole cover occurs twice are duplicates in
 all their windows. Where covers differ, the windows of one anchor of each cover are compared by
 64-bit hash in buckets drawn from a second hash; every chunk settles its own repeats and sends
 each distinct hash once, so a passage that all documents share costs one hash a chunk. The number
-of buckets follows the number of windows, so that a bucket fits a task. Texts lie in one
-compressed row a chunk of a bucketed table and are never shuffled.
+of buckets follows the number of windows, so that a bucket fits a task. Texts lie and travel in
+one compressed row a chunk.
 
 Null texts count as empty; null and repeated doc_ids are kept row by row (rows are known by chunk
 and place); texts under ``WINDOW`` bytes lose nothing; extra columns are ignored; an empty table
@@ -27,18 +30,19 @@ hashes agree.
 
 from __future__ import annotations
 
-import pickle
+import io
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import durable, durable_bucketed, release
+from quillspark.llm.common import durable, new_path, release, text_batches
 
 WINDOW, GRAM = 400, 64
 #: Bytes of text in a chunk, bytes hashed at a time, windows of a bucket, batches of the index.
@@ -47,6 +51,28 @@ _PLACE = np.uint64((1 << 22) - 1)
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
+def _packed(**columns: pa.Array | np.ndarray) -> bytes:
+    """Columns of equal length as one compressed Arrow stream."""
+    batch = pa.RecordBatch.from_pydict({k: pa.array(v) if isinstance(v, np.ndarray) else v for k, v in columns.items()})
+    out = io.BytesIO()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch)
+    return out.getvalue()
+
+
+def _unpacked(packed: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(packed).read_next_batch()
+
+
+def _numbers(packed: bytes, name: str) -> np.ndarray:
+    return _unpacked(packed).column(name).to_numpy(zero_copy_only=False)
+
+
+def _texts(packed: bytes) -> tuple[list, list[bytes]]:
+    batch = _unpacked(packed)
+    return batch.column("id").to_pylist(), batch.column("text").to_pylist()
+
+
 def _mix(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     x = a * _C1
     x += b
@@ -133,9 +159,9 @@ def anchors_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
 _SAMPLED = "kind string, chunk long, place long, windows int, key long, cover long, payload binary"
 
 
-def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sample(batch_no: int):
     def rows(chunk: int, ids: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        packed = zstandard.compress(pickle.dumps((ids, texts)), 3)
+        packed = _packed(id=pa.array(ids, pa.int64()), text=pa.array(texts, pa.large_binary()))
         one = {"kind": ["texts"], "chunk": [chunk], "place": [None], "windows": [None], "key": [None], "cover": [None], "payload": [packed]}
         types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(one.values(), types)], names=list(one))
@@ -144,60 +170,99 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns = [pa.array(["anchors"] * n), pa.array(np.full(n, chunk)), pa.array((text << 32) | first), pa.array(size.astype(np.int32)), pa.array(key), pa.array(cover), pa.nulls(n, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=list(one))
 
-    chunk, ids, texts, size = TaskContext.get().partitionId() << 24, [], [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, ids, texts, size = (batch_no << 44) | (TaskContext.get().partitionId() << 20), [], [], 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids.append(doc_id)
+                texts.append((text.as_py() or "").encode())
+                size += len(texts[-1]) + 64
+                if size >= CHUNK_BYTES:
+                    yield from rows(chunk, ids, texts)
+                    chunk, ids, texts, size = chunk + 1, [], [], 0
+        if ids:
+            yield from rows(chunk, ids, texts)
+
+    return run
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in key order those keys that their neighbour has too, or that are counted more than once; once each."""
+    last, told = None, False
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids.append(doc_id)
-            texts.append((text.as_py() or "").encode())
-            size += len(texts[-1]) + 64
-            if size >= CHUNK_BYTES:
-                yield from rows(chunk, ids, texts)
-                chunk, ids, texts, size = chunk + 1, [], [], 0
-    if ids:
-        yield from rows(chunk, ids, texts)
-
-
-class IndexFamily:
-    """Levels of suffix arrays; a level of rank r holds 2**r batches."""
-
-    def __init__(self) -> None:
-        self.levels: list[tuple[int, DataFrame]] = []
-        self.matches: DataFrame | None = None
-
-    @staticmethod
-    def _array(entries: DataFrame) -> DataFrame:
+        if not batch.num_rows:
+            continue
+        key, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        before = np.empty(len(key), dtype=bool)
+        before[1:] = key[1:] == key[:-1]
+        before[0] = last is not None and key[0] == last
+        starts = np.nonzero(~before)[0] if not before[0] else np.concatenate([[0], np.nonzero(~before)[0]])
+        again = np.add.reduceat(np.where(before, 2, n), starts) > 1
+        found = key[starts][again]
+        if before[0] and told:
+            found = found[1:]
+        told = bool(again[-1]) or (len(starts) == 1 and bool(before[0]) and told)
+        last = key[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(found)], names=["key"])
+
+
+class SuffixIndex:
+    """Levels of suffix arrays in a folder; a level of rank r holds 2**r batches."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
+        self.spark, self.path = spark, path or new_path(spark, "suffix-index")
+        try:
+            rows = spark.read.schema("kind string, rank int, path string").json(f"{self.path}/manifest").collect()
+        except AnalysisException:
+            rows = []
+        self.levels = sorted(((r["rank"], r["path"]) for r in rows if r["kind"] == "level"), reverse=True)
+        self.found = [r["path"] for r in rows if r["kind"] == "matches"]
+        self.samples = [r["path"] for r in rows if r["kind"] == "samples"]
+
+    def _kept(self, df: DataFrame, name: str) -> str:
+        return durable(df, name, folder=self.path)._quill_path
+
+    def _note(self) -> None:
+        rows = [("level", r, p) for r, p in self.levels] + [("matches", 0, p) for p in self.found] + [("samples", 0, p) for p in self.samples]
+        self.spark.createDataFrame(rows, "kind string, rank int, path string").coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest")
+
+    def _array(self, entries: DataFrame) -> str:
         grouped = entries.groupBy("key", "cover").agg(F.sum("n").alias("n"), F.first("chunk").alias("chunk"), F.first("place").alias("place"), F.first("windows").alias("windows"))
-        return durable(grouped.sortWithinPartitions("key"), "suffix-array")
-
-    def add(self, anchors: DataFrame) -> None:
-        """Scan a batch of anchors against itself and all levels, then take it in."""
-        new = self._array(anchors.withColumn("n", F.lit(1).cast("long")))
-        found = new.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-        for _, level in self.levels:
-            found = found.unionByName(new.select("key").join(level.select("key"), "key", "left_semi"))
-        found = durable(found.distinct(), "suffix-matches")
-        self.matches = found if self.matches is None else self.matches.unionByName(found)
-        rank = 0
+        return self._kept(grouped.repartitionByRange("key").sortWithinPartitions("key", "cover"), "suffix-array")
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*paths)
+
+    def add(self, docs: DataFrame, batches: int = 1) -> None:
+        """Take documents in, as so many batches."""
+        text_batches(self.spark)
+        slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        path = durable(slim.mapInArrow(_sample(len(self.samples)), _SAMPLED), "suffix-samples", "kind", folder=self.path)._quill_path
+        anchors = self.spark.read.schema(_SAMPLED).parquet(path).where("kind = 'anchors'").select("chunk", "place", "windows", "key", "cover", F.lit(1).cast("long").alias("n"))
+        for b in range(batches):
+            self._take(anchors.where(F.pmod(F.xxhash64("chunk"), F.lit(batches)) == b))
+        self.samples.append(path)
+        self._note()
+
+    def _take(self, anchors: DataFrame) -> None:
+        new, rank = self._array(anchors), 0
+        for other in [[], *([p] for _, p in self.levels)]:
+            merged = self._read([new, *other]).select("key", "n").repartitionByRange("key").sortWithinPartitions("key")
+            self.found.append(self._kept(merged.mapInArrow(_neighbours, "key long"), "suffix-matches"))
         while self.levels and self.levels[-1][0] == rank:
             _, level = self.levels.pop()
-            merged = self._array(level.unionByName(new))
-            release(level)
-            release(new)
-            new, rank = merged, rank + 1
+            merged, rank = self._array(self._read([level, new])), rank + 1
+            for old in (level, new):
+                release(old, self.spark)
+            new = merged
         self.levels.append((rank, new))
 
     def repeated(self) -> DataFrame:
         """Entries (key, cover, n, chunk, place, windows) of all levels whose key occurs again."""
-        parts = [level for _, level in self.levels]
-        whole = parts[0] if len(parts) == 1 else self._array(parts[0].unionByName(parts[1]) if len(parts) == 2 else _union(parts))
-        return whole.join(self.matches.distinct(), "key", "left_semi")
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        whole = self._read([p for _, p in self.levels])
+        if len(self.levels) > 1:
+            whole = whole.groupBy("key", "cover").agg(F.sum("n").alias("n"), F.first("chunk").alias("chunk"), F.first("place").alias("place"), F.first("windows").alias("windows"))
+        return whole.join(self._read(self.found).distinct(), "key", "left_semi")
 
 
 def _compare(n_buckets: int):
@@ -207,7 +272,7 @@ def _compare(n_buckets: int):
         out = []
         if texts.num_rows and disputed.num_rows:
             chunk = texts.column("chunk")[0].as_py()
-            _, bodies = pickle.loads(zstandard.decompress(texts.column("payload")[0].as_py()))
+            _, bodies = _texts(texts.column("payload")[0].as_py())
             place, windows = _disputed(disputed)
             spans = ((None, bodies[p >> 32], p & 0xFFFFFFFF, n) for p, n in zip(place.tolist(), windows.tolist()))
             firsts, seconds = [], []
@@ -219,13 +284,13 @@ def _compare(n_buckets: int):
                 seconds.append(_mix(h[256][at + WINDOW - 256], h[256][at]) >> np.uint64(20))
             first, second = np.concatenate(firsts), np.concatenate(seconds)
             _, index, inverse, counts = np.unique(first, return_index=True, return_inverse=True, return_counts=True)
-            out.append(("repeats", chunk, -1, pickle.dumps(np.nonzero(counts[inverse] > 1)[0].astype(np.uint32))))
+            out.append(("repeats", chunk, -1, _packed(at=np.nonzero(counts[inverse] > 1)[0].astype(np.uint32))))
             bucket = (second[index] % np.uint64(n_buckets)).astype(np.int64)
             order = np.lexsort((index, bucket))
             ends = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             for b in np.unique(bucket).tolist():
                 mine = index[order[ends[b] : ends[b + 1]]]
-                out.append(("hashes", chunk, b, pickle.dumps((first[mine], zstandard.compress(np.diff(mine.astype(np.uint32), prepend=np.uint32(0)).tobytes(), 3)))))
+                out.append(("hashes", chunk, b, _packed(hash=first[mine], step=np.diff(mine.astype(np.uint32), prepend=np.uint32(0)))))
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=["kind", "chunk", "bucket", "payload"])
 
     return run
@@ -241,15 +306,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hash rows sorted by bucket to the windows whose hash occurs in several chunks."""
 
     def settle(rows: list) -> pa.RecordBatch:
-        hashes = [pickle.loads(p)[0] for _, p in rows]
+        hashes = [_numbers(p, "hash") for _, p in rows]
         _, inverse, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
         again, out, start = counts[inverse] > 1, [], 0
         for (chunk, payload), own in zip(rows, hashes):
             mask = again[start : start + len(own)]
             start += len(own)
             if mask.any():
-                at = np.cumsum(np.frombuffer(zstandard.decompress(pickle.loads(payload)[1]), dtype=np.uint32), dtype=np.uint32)
-                out.append((chunk, pickle.dumps(at[mask])))
+                at = np.cumsum(_numbers(payload, "step"), dtype=np.uint32)
+                out.append((chunk, _packed(at=at[mask])))
         return pa.RecordBatch.from_arrays([pa.array(["repeats"] * len(out), pa.string()), pa.array([c for c, _ in out], pa.int64()), pa.array([p for _, p in out], pa.binary())], names=["kind", "chunk", "payload"])
 
     bucket, rows = None, []
@@ -266,13 +331,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(texts: pa.Table, marks: pa.Table) -> pa.Table:
     """A chunk's texts and marks to (doc_id, text bytes, n_removed, n_spans, kept bytes)."""
-    ids, bodies = pickle.loads(zstandard.decompress(texts.column("payload")[0].as_py())) if texts.num_rows else ([], [])
+    ids, bodies = _texts(texts.column("payload")[0].as_py()) if texts.num_rows else ([], [])
     kind = np.array(marks.column("kind").to_pylist(), dtype=object)
     spans = [np.zeros((0, 3), dtype=np.int64)]
     place, windows = _disputed(marks.filter(pa.array(kind == "disputed")))
     sure, long = _disputed(marks.filter(pa.array(kind == "sure")))
     spans.append(np.stack([sure >> 32, sure & 0xFFFFFFFF, (sure & 0xFFFFFFFF) + long - 1 + WINDOW], axis=1))
-    hits = [pickle.loads(p) for p in marks.filter(pa.array(kind == "repeats")).column("payload").to_pylist()]
+    hits = [_numbers(p, "at") for p in marks.filter(pa.array(kind == "repeats")).column("payload").to_pylist()]
     if hits:
         at = _spread(place, windows)[np.unique(np.concatenate(hits).astype(np.int64))]
         spans.append(np.stack([at >> 32, at & 0xFFFFFFFF, (at & 0xFFFFFFFF) + WINDOW], axis=1))
@@ -294,18 +359,23 @@ def _cut(texts: pa.Table, marks: pa.Table) -> pa.Table:
 
 def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row."""
-    sampled = durable_bucketed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sample, _SAMPLED), "suffix-samples", "chunk", "kind")
+    index = SuffixIndex(docs.sparkSession)
+    index.add(docs, batches)
+    return without_repeats(index)
+
+
+def without_repeats(index: SuffixIndex) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept of every document that the index took in."""
+    spark = index.spark
+    sampled = reduce(DataFrame.unionByName, (spark.read.schema(_SAMPLED).parquet(path) for path in index.samples))
     texts = sampled.where("kind = 'texts'").select("chunk", "payload")
     anchors = sampled.where("kind = 'anchors'").select("chunk", "place", "windows", "key", "cover")
-    family = IndexFamily()
-    for b in range(batches):
-        family.add(anchors.where(F.pmod(F.xxhash64("chunk"), F.lit(batches)) == b))
-    repeated = durable(family.repeated(), "suffix-repeated")
+    repeated = durable(index.repeated(), "suffix-repeated")
     several = repeated.groupBy("key").agg(F.count(F.lit(1)).alias("covers")).where("covers > 1").select("key")
     disputed = durable(repeated.join(several, "key", "left_semi").select("chunk", "place", "windows"), "suffix-disputed")
     sure = anchors.join(repeated.where("n > 1").select("key", "cover"), ["key", "cover"], "left_semi").select("chunk", "place", "windows")
     n_windows = disputed.agg(F.sum("windows")).first()[0] or 0
-    n_buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_windows // BUCKET_WINDOWS))
+    n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_windows // BUCKET_WINDOWS))
     compared = texts.groupBy("chunk").cogroup(disputed.groupBy("chunk")).applyInArrow(_compare(n_buckets), "kind string, chunk long, bucket long, payload binary")
     compared = durable(compared, "suffix-windows", "kind")
     hashes = compared.where("kind = 'hashes'").select("bucket", "chunk", "payload")

@@ -348,6 +348,46 @@ def test_suffix_dedup_against_brute_force(spark):
         assert Counter(map(tuple, found)) == Counter(without_repeats(rows))
 
 
+def test_an_index_takes_later_batches_in(spark, tmp_path):
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdeé \n") for _ in range(n))
+    shared = [text(n) for n in (450, 700, 2000)]
+    rows = [(i, text(rng.randint(0, 300)) + rng.choice(shared)[rng.randint(0, 99) :] + text(200)) for i in range(35)] + [(99, None), (98, "")]
+    folder, schema = str(tmp_path / "index"), "doc_id long, text string"
+    sizes = []
+    for at in range(0, len(rows), 8):
+        # Each call opens the folder anew.
+        index = suffix_dedup.SuffixIndex(spark, folder)
+        index.add(spark.createDataFrame(rows[at : at + 8], schema))
+        sizes.append([rank for rank, _ in index.levels])
+    assert sizes == [[0], [1], [1, 0], [2], [2, 0]]
+    for _, level in suffix_dedup.SuffixIndex(spark, folder).levels:
+        keys = [r["key"] for r in spark.read.parquet(level).select("key", F.input_file_name().alias("f")).orderBy("f").collect()]
+        assert len(keys) == spark.read.parquet(level).count()
+    done = suffix_dedup.without_repeats(suffix_dedup.SuffixIndex(spark, folder))
+    found = done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept")).collect()
+    assert Counter(map(tuple, found)) == Counter(without_repeats(rows))
+
+
+def test_neighbours_in_key_order_over_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    for _ in range(200):
+        rows = sorted((rng.randrange(12), rng.choice([1, 1, 1, 2])) for _ in range(rng.randint(0, 25)))
+        batches, at = [], 0
+        while at < len(rows):
+            n = rng.randint(1, 6)
+            batches.append(pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows[at : at + n]], pa.int64()), pa.array([c for _, c in rows[at : at + n]], pa.int64())], names=["key", "n"]))
+            at += n
+        found = [k for b in suffix_dedup._neighbours(iter(batches)) for k in b.column(0).to_pylist()]
+        total = Counter()
+        for k, c in rows:
+            total[k] += c
+        assert set(found) == {k for k, c in total.items() if c > 1}, (rows, found)
+
+
 @pytest.mark.parametrize("texts", [[], AWKWARD, [None, None, ""]])
 def test_awkward_rows_pass_through_every_operator(spark, texts):
     docs = documents(spark, texts)
