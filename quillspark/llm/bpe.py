@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import durable_bucketed, text_batches
+from quillspark.llm.common import durable_bucketed, lean, text_batches
 
 CHUNK_CHARS = 10_000_000
 #: Rows of a batch that goes back to Spark.
@@ -157,9 +157,9 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     text_batches(spark)
     json = spark.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
     n_buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = durable_bucketed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_split(n_buckets), "kind string, chunk long, bucket int, payload binary"), "bpe-words", "chunk", "kind")
+    packed = durable_bucketed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_split(n_buckets)), "kind string, chunk long, bucket int, payload binary"), "bpe-words", "chunk", "kind")
     words = packed.where("kind = 'words'").select("chunk", "bucket", "payload")
-    ids = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(json), "of long, bucket int, payload binary")
+    ids = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_encode_words(json)), "of long, bucket int, payload binary")
     positions = packed.where("kind = 'positions'").select("chunk", "payload")
     return positions.groupBy("chunk").cogroup(ids.groupBy("of")).applyInArrow(_join_positions, "doc_id long, ids binary")
 
@@ -187,4 +187,4 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
                     texts.append(" ".join(found if None not in found else [p for p in found if p is not None]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, ids binary, text string")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import text_batches
+from quillspark.llm.common import lean, text_batches
 
 SHINGLE_WORDS, CONTAINMENT, SEED = 5, 0.8, 977
 BLOCK_ITEMS, BLOCK_CHARS, CACHE_WORDS = 20_000, 16_000_000, 300_000
@@ -150,7 +150,7 @@ def _matches(docs: DataFrame, key: str, items: DataFrame) -> DataFrame:
     """(row, item_id, n_shingles, n_shared); ``row`` is the value of ``key``, a long."""
     spark, found = docs.sparkSession, None
     for block in _blocks(items):
-        part = docs.select(key, "text").mapInArrow(_search(spark.sparkContext.broadcast(block), 0, 1), "row long, item_id long, n_shingles long, n_shared long")
+        part = docs.select(key, "text").mapInArrow(lean(_search(spark.sparkContext.broadcast(block), 0, 1)), "row long, item_id long, n_shingles long, n_shared long")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "row long, item_id long, n_shingles long, n_shared long")
@@ -183,5 +183,5 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
         return run
 
     for block in _blocks(items):
-        docs = docs.mapInArrow(drop(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+        docs = docs.mapInArrow(lean(drop(docs.sparkSession.sparkContext.broadcast(block))), docs.schema)
     return docs

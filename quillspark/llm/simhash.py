@@ -14,7 +14,8 @@ and changes the cost only, never the pairs found.
 Only distinct fingerprints are compared, so exact copies cost nothing. Large groups of near
 copies would still make all pairs of their bucket, so links are found in rounds: first every
 member of a bucket is compared with one pivot, then components are formed, and only buckets that
-still hold several components go on; in the last round all pairs across components of a bucket
+still hold several components go on (by sort-merge joins, so that the plan is one at every size
+and a bucket of many fingerprints can be split); in the last round all pairs across components of a bucket
 are compared, inside the join condition. Links within a component are implied by it.
 
 Null doc_ids are ignored as smallest ids unless a component has no other; repeated rows are kept
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import connected_components, durable, text_batches
+from quillspark.llm.common import connected_components, durable, lean, text_batches
 
 SHINGLE_WORDS, SEED, MAX_BITS = 4, 42, 4
 #: Rounds against a pivot before all pairs across components are compared.
@@ -70,7 +71,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a signed long) of every row."""
     text_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_fingerprints), "doc_id long, fp long")
 
 
 def block_masks(n: int) -> list[int]:
@@ -108,10 +109,10 @@ def link_components(fps: DataFrame) -> DataFrame:
         rows = _bucketed(labelled, masks)
         mixed = rows.groupBy("choice", "key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(step)), "fp")).alias("p"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
         if step < PIVOT_ROUNDS:
-            with_pivot = rows.join(mixed.select("choice", "key", F.col("p.fp").alias("pivot")), ["choice", "key"])
+            with_pivot = rows.join(mixed.select("choice", "key", F.col("p.fp").alias("pivot")).hint("merge"), ["choice", "key"])
             found = with_pivot.where((F.col("fp") != F.col("pivot")) & _close(F.col("fp"), F.col("pivot"))).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
         else:
-            left = rows.join(mixed.select("choice", "key"), ["choice", "key"], "left_semi")
+            left = rows.join(mixed.select("choice", "key").hint("merge"), ["choice", "key"], "left_semi")
             right = left.select("choice", "key", F.col("fp").alias("fp2"), F.col("component").alias("component2"))
             met = (left["choice"] == right["choice"]) & (left["key"] == right["key"]) & (F.col("component") < F.col("component2")) & _close(F.col("fp"), F.col("fp2"))
             found = left.join(right, met).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
@@ -141,7 +142,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     text_batches(docs.sparkSession)
     keyed = durable(docs.select(F.monotonically_increasing_id().alias("key"), F.struct("*").alias("row")), "keyed-documents")
     slim = keyed.select("key", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
-    marked = durable(slim.mapInArrow(_fingerprints, "key long, doc_id long, fp long"), "fingerprints")
+    marked = durable(slim.mapInArrow(lean(_fingerprints), "key long, doc_id long, fp long"), "fingerprints")
     firsts = marked.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "key")).alias("first"))
     labels = link_components(firsts.select("fp"))
     stay = durable(firsts.join(labels, "fp").groupBy("component").agg(F.min("first").alias("first")).select("first.key"), "kept-documents")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import durable, release, text_batches
+from quillspark.llm.common import durable, lean, release, text_batches
 from quillspark.llm.labelled import held_out, sample
 
 PER_CLASS, TRAIN_CHARS = 2500, 200_000
@@ -295,7 +295,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
