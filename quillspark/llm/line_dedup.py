@@ -8,8 +8,8 @@ that line removed itself or not. Lines without words stay.
    then by hash. A line's prefix is its n - ceil(t n) + 1 rarest words: similar lines share a
    word of their prefixes.
 2. Equal sets are first counted as one, at the place of the first.
-3. Pivot rounds: lines that share two neighbouring words of their prefixes' first ``GROUP_WORDS``
-   make a group; every open line is compared with the likeliest of its groups' first open lines
+3. Pivot rounds: lines that share two neighbouring words of their prefixes' first ``GROUP_WORDS``,
+   or of those prefix words that are a large share of all words, make a group; every open line is compared with the likeliest of its groups' first open lines
    only, so a group of near copies costs a comparison a line and round, however large it is.
 4. Prefix join: the lines not yet settled meet all earlier lines that share a prefix word, under
    the length filter, the positional filter, and a filter on the parity bitmaps of both sets
@@ -26,6 +26,8 @@ names; an empty table gives no rows. Two sets count as equal in step 2 if their
 
 from __future__ import annotations
 
+from math import ceil, log2
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,8 @@ NUM, DEN = 4, 5
 RARITY_BUCKETS = 1 << 17
 #: Prefix words whose neighbouring pairs group lines, and rounds of comparison with a pivot.
 GROUP_WORDS, PIVOT_ROUNDS = 5, 3
+#: A hash bucket with more than one in so many of all words is frequent, at any size of input.
+FREQUENT_SHARE = 12_800
 #: Lines of more words have bitmaps of 128 bits, whose halves' difference is the bitmap of 64 of others.
 LONG_LINE = 56
 BLANKS = r"[ \t\r\f\x0b]"
@@ -102,14 +106,16 @@ class Rows:
         release(self.written)
 
 
-def rarity_classes(texts: DataFrame) -> Column:
-    """A constant array of ``RARITY_BUCKETS`` classes: half octaves of the buckets' word counts."""
+def rarity_classes(texts: DataFrame) -> tuple[Column, int]:
+    """A constant array of ``RARITY_BUCKETS`` classes, half octaves of the buckets' word counts, and the least frequent class."""
     words = texts.select(F.explode(F.split(F.lower("text"), r"[ \t\r\f\x0b\n]+")).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     classes = ["0"] * RARITY_BUCKETS
-    for bucket, octave in counts.select("bucket", F.floor(2 * F.log2(1 + F.col("n").cast("double")))).collect():
+    total = 0
+    for bucket, n, octave in counts.select("bucket", "n", F.floor(2 * F.log2(1 + F.col("n").cast("double")))).collect():
         classes[bucket] = str(octave)
-    return F.split(F.lit(",".join(classes)), ",").cast("array<tinyint>")
+        total += n
+    return F.split(F.lit(",".join(classes)), ",").cast("array<tinyint>"), ceil(2 * log2(1 + total / FREQUENT_SHARE))
 
 
 def _bits(ranks: Column) -> Column:
@@ -118,8 +124,8 @@ def _bits(ranks: Column) -> Column:
     return F.aggregate(ranks, F.lit(0).cast("long"), lambda bits, r: bits.bitwiseXOR(turn(r)))
 
 
-def _sets(rows: Rows, classes: Column) -> DataFrame:
-    """place, size, bitmaps and two hashes of the word set of every line, and its prefix."""
+def _sets(rows: Rows, classes: Column, frequent: int) -> DataFrame:
+    """place, size, bitmaps and two hashes of the word set of every line, its prefix, and the frequent words of that."""
     texts = rows.store.select("key", F.col("row.text").cast("string").alias("text")).join(rows.numbers.hint("shuffle_hash"), "key")
     lines = texts.select("number", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(_has_words(F.col("line")))
     hashes = F.array_distinct(F.array_remove(F.transform(F.split(F.lower("line"), BLANKS + "+"), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
@@ -131,7 +137,7 @@ def _sets(rows: Rows, classes: Column) -> DataFrame:
     half = lambda h: _bits(F.filter("r", lambda r: F.shiftright(r, 6).bitwiseAND(F.lit(1)) == h))
     is_long = F.col("n") > LONG_LINE
     prefix = F.slice("r", F.lit(1), length)
-    return sets.select("place", "n", F.when(is_long, half(0)).otherwise(_bits(F.col("r"))).alias("bits"), F.when(is_long, half(1)).otherwise(F.lit(0)).cast("long").alias("more"), F.xxhash64("r").alias("h1"), F.xxhash64(F.lit("set"), "r").alias("h2"), F.transform(prefix, lambda r: F.hash(r)).alias("prefix"))
+    return sets.select("place", "n", F.when(is_long, half(0)).otherwise(_bits(F.col("r"))).alias("bits"), F.when(is_long, half(1)).otherwise(F.lit(0)).cast("long").alias("more"), F.xxhash64("r").alias("h1"), F.xxhash64(F.lit("set"), "r").alias("h2"), F.transform(prefix, lambda r: F.hash(r)).alias("prefix"), F.transform(F.filter(prefix, lambda r: F.shiftright(r, HASH_BITS) >= frequent), lambda r: F.hash(r)).alias("often"))
 
 
 def _differing(a: str, b: str) -> Column:
@@ -160,8 +166,9 @@ def _verified(pairs: DataFrame, rows: Rows) -> DataFrame:
 
 def _grouped(lines: DataFrame) -> DataFrame:
     """A row for each line and each of its groups that holds another line; written."""
-    pairs = F.array(*(F.when(F.size("prefix") > i, F.xxhash64(F.get("prefix", F.lit(i)), F.get("prefix", F.lit(i + 1)))) for i in range(GROUP_WORDS - 1)))
-    members = lines.select("place", *FACTS, F.explode(pairs).alias("group")).where("group is not null")
+    pairs = lambda words: F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1)))
+    groups = F.array_distinct(F.concat(pairs(F.slice("prefix", 1, GROUP_WORDS)), pairs(F.col("often"))))
+    members = lines.select("place", *FACTS, F.explode(groups).alias("group"))
     shared = members.groupBy("group").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("group")
     return durable(members.join(shared, "group"), "line-groups")
 
@@ -198,8 +205,8 @@ def _prefix_pairs(lines: DataFrame, settled: DataFrame, rows: Rows) -> DataFrame
 
 def _staying(rows: Rows) -> DataFrame:
     """(place) of the lines with words that stay."""
-    every = _sets(rows, rarity_classes(rows.docs.select(F.col("text").cast("string").alias("text"))))
-    lines = durable(every.groupBy("h1", "h2").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in [*FACTS, "prefix"])).drop("h1", "h2"), "line-sets")
+    every = _sets(rows, *rarity_classes(rows.docs.select(F.col("text").cast("string").alias("text"))))
+    lines = durable(every.groupBy("h1", "h2").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in [*FACTS, "prefix", "often"])).drop("h1", "h2"), "line-sets")
     members, settled = _grouped(lines), None
     for _ in range(PIVOT_ROUNDS):
         pairs = durable(_pivot_pairs(members if settled is None else members.join(settled, "place", "left_anti")), "pivot-pairs")
