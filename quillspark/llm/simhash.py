@@ -11,7 +11,8 @@ blocks than that, so close pairs agree in all of some (blocks - MAX_BITS) blocks
 choice of blocks is a join key. The number of blocks follows the count of distinct fingerprints
 and changes the cost only, never the pairs found.
 
-Only distinct fingerprints are compared, so exact copies cost nothing. Large groups of near
+Only distinct fingerprints are compared, so exact copies cost nothing, and buckets of two in their
+aggregation. Large groups of near
 copies would still make all pairs of their bucket, so links are found in rounds: first every
 member of a bucket is compared with one pivot, then components are formed, and only buckets that
 still hold several components go on (by sort-merge joins, so that the plan is one at every size
@@ -107,16 +108,20 @@ def link_components(fps: DataFrame) -> DataFrame:
     edges, labelled = None, fps.withColumn("component", F.col("fp"))
     for step in range(PIVOT_ROUNDS + 1):
         rows = _bucketed(labelled, masks)
-        mixed = rows.groupBy("choice", "key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(step)), "fp")).alias("p"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
+        buckets = rows.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("many"), F.min("fp").alias("low"), F.max("fp").alias("high"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+        buckets = durable(buckets.where("c0 <> c1").drop("c0", "c1"), "fingerprint-buckets")
+        # Most buckets hold two by chance: these are compared as they are.
+        two = buckets.where("many = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).where(_close(F.col("a"), F.col("b")))
+        mixed = buckets.where("many > 2")
         if step < PIVOT_ROUNDS:
-            with_pivot = rows.join(mixed.select("choice", "key", F.col("p.fp").alias("pivot")).hint("merge"), ["choice", "key"])
+            with_pivot = rows.join(mixed.select("choice", "key", F.col("high" if step % 2 else "low").alias("pivot")).hint("merge"), ["choice", "key"])
             found = with_pivot.where((F.col("fp") != F.col("pivot")) & _close(F.col("fp"), F.col("pivot"))).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
         else:
             left = rows.join(mixed.select("choice", "key").hint("merge"), ["choice", "key"], "left_semi")
             right = left.select("choice", "key", F.col("fp").alias("fp2"), F.col("component").alias("component2"))
             met = (left["choice"] == right["choice"]) & (left["key"] == right["key"]) & (F.col("component") < F.col("component2")) & _close(F.col("fp"), F.col("fp2"))
             found = left.join(right, met).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
-        found = durable(found.distinct(), "fingerprint-links")
+        found = durable(found.unionByName(two).distinct(), "fingerprint-links")
         edges = found if edges is None else edges.unionByName(found)
         tied = connected_components(edges)
         labelled = durable(fps.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component")), "fingerprint-labels")
