@@ -15,8 +15,7 @@ Only distinct fingerprints are compared, so exact copies cost nothing, and bucke
 aggregation. Large groups of near
 copies would still make all pairs of their bucket, so links are found in rounds: first every
 member of a bucket is compared with one pivot, then components are formed, and only buckets that
-still hold several components go on (by sort-merge joins, so that the plan is one at every size
-and a bucket of many fingerprints can be split); in the last round all pairs across components of a bucket
+still hold several components go on; in the last round all pairs across components of a bucket
 are compared, inside the join condition. Links within a component are implied by it.
 
 Null doc_ids are ignored as smallest ids unless a component has no other; repeated rows are kept
@@ -114,10 +113,10 @@ def link_components(fps: DataFrame) -> DataFrame:
         two = buckets.where("many = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).where(_close(F.col("a"), F.col("b")))
         mixed = buckets.where("many > 2")
         if step < PIVOT_ROUNDS:
-            with_pivot = rows.join(mixed.select("choice", "key", F.col("high" if step % 2 else "low").alias("pivot")).hint("merge"), ["choice", "key"])
+            with_pivot = rows.join(mixed.select("choice", "key", F.col("high" if step % 2 else "low").alias("pivot")), ["choice", "key"])
             found = with_pivot.where((F.col("fp") != F.col("pivot")) & _close(F.col("fp"), F.col("pivot"))).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
         else:
-            left = rows.join(mixed.select("choice", "key").hint("merge"), ["choice", "key"], "left_semi")
+            left = rows.join(mixed.select("choice", "key"), ["choice", "key"], "left_semi")
             right = left.select("choice", "key", F.col("fp").alias("fp2"), F.col("component").alias("component2"))
             met = (left["choice"] == right["choice"]) & (left["key"] == right["key"]) & (F.col("component") < F.col("component2")) & _close(F.col("fp"), F.col("fp2"))
             found = left.join(right, met).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
