@@ -373,7 +373,7 @@ def without_repeats(index: SuffixIndex) -> DataFrame:
     repeated = durable(index.repeated(), "suffix-repeated")
     several = repeated.groupBy("key").agg(F.count(F.lit(1)).alias("covers")).where("covers > 1").select("key")
     disputed = durable(repeated.join(several, "key", "left_semi").select("chunk", "place", "windows"), "suffix-disputed")
-    sure = anchors.join(repeated.where("n > 1").select("key", "cover"), ["key", "cover"], "left_semi").select("chunk", "place", "windows")
+    sure = durable(anchors.join(repeated.where("n > 1").select("key", "cover"), ["key", "cover"], "left_semi").select("chunk", "place", "windows"), "suffix-sure")
     n_windows = disputed.agg(F.sum("windows")).first()[0] or 0
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_windows // BUCKET_WINDOWS))
     compared = texts.groupBy("chunk").cogroup(disputed.groupBy("chunk")).applyInArrow(_compare(n_buckets), "kind string, chunk long, bucket long, payload binary")
