@@ -361,16 +361,22 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row."""
     index = SuffixIndex(docs.sparkSession)
     index.add(docs, batches)
-    return without_repeats(index)
+    return without_repeats(index, keep=False)
 
 
-def without_repeats(index: SuffixIndex) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept of every document that the index took in."""
+def without_repeats(index: SuffixIndex, keep: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept of every document that the index took in.
+
+    Unless it is kept for further batches, the index's levels and matches are deleted once read.
+    """
     spark = index.spark
     sampled = reduce(DataFrame.unionByName, (spark.read.schema(_SAMPLED).parquet(path) for path in index.samples))
     texts = sampled.where("kind = 'texts'").select("chunk", "payload")
     anchors = sampled.where("kind = 'anchors'").select("chunk", "place", "windows", "key", "cover")
     repeated = durable(index.repeated(), "suffix-repeated")
+    if not keep:
+        for path in [*(p for _, p in index.levels), *index.found]:
+            release(path, spark)
     several = repeated.groupBy("key").agg(F.count(F.lit(1)).alias("covers")).where("covers > 1").select("key")
     disputed = durable(repeated.join(several, "key", "left_semi").select("chunk", "place", "windows"), "suffix-disputed")
     sure = durable(anchors.join(repeated.where("n > 1").select("key", "cover"), ["key", "cover"], "left_semi").select("chunk", "place", "windows"), "suffix-sure")
