@@ -367,7 +367,7 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 def without_repeats(index: SuffixIndex, keep: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept of every document that the index took in.
 
-    Unless it is kept for further batches, the index's levels and matches are deleted once read.
+    Unless it is kept for further batches, the index's levels, matches and anchors are deleted once read.
     """
     spark = index.spark
     sampled = reduce(DataFrame.unionByName, (spark.read.schema(_SAMPLED).parquet(path) for path in index.samples))
@@ -380,12 +380,17 @@ def without_repeats(index: SuffixIndex, keep: bool = True) -> DataFrame:
     several = repeated.groupBy("key").agg(F.count(F.lit(1)).alias("covers")).where("covers > 1").select("key")
     disputed = durable(repeated.join(several, "key", "left_semi").select("chunk", "place", "windows"), "suffix-disputed")
     sure = durable(anchors.join(repeated.where("n > 1").select("key", "cover"), ["key", "cover"], "left_semi").select("chunk", "place", "windows"), "suffix-sure")
+    release(repeated)
+    if not keep:
+        for path in index.samples:
+            release(f"{path}/kind=anchors", spark)
     n_windows = disputed.agg(F.sum("windows")).first()[0] or 0
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_windows // BUCKET_WINDOWS))
     compared = texts.groupBy("chunk").cogroup(disputed.groupBy("chunk")).applyInArrow(_compare(n_buckets), "kind string, chunk long, bucket long, payload binary")
     compared = durable(compared, "suffix-windows", "kind")
     hashes = compared.where("kind = 'hashes'").select("bucket", "chunk", "payload")
-    met = hashes.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "kind string, chunk long, payload binary")
+    met = durable(hashes.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "kind string, chunk long, payload binary"), "suffix-met")
+    release(f"{compared._quill_path}/kind=hashes", spark)
     own = compared.where("kind = 'repeats'").select("kind", "chunk", "payload")
     blank = F.lit(None)
     marks = (
