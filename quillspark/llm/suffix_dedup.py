@@ -357,6 +357,21 @@ def _cut(texts: pa.Table, marks: pa.Table) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
+def _sure(anchors: DataFrame, twice: DataFrame) -> DataFrame:
+    """Anchors whose (key, cover) is in ``twice``, whose pairs are distinct.
+
+    Pairs with over a quarter of a partition's mean share of anchors go by broadcast, so that no
+    passage fills a task; they are fewer than four times the partitions, whatever the input.
+    """
+    spark = anchors.sparkSession
+    pairs = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = (twice.agg(F.sum("n")).first()[0] or 0) // pairs
+    hot, rest = twice.where(F.col("n") > share).select("key", "cover"), twice.where(F.col("n") <= share).select("key", "cover")
+    by, found = ["key", "cover"], ["chunk", "place", "windows"]
+    often = anchors.join(F.broadcast(hot), by, "left_semi").select(*found)
+    return often.unionAll(anchors.join(F.broadcast(hot), by, "left_anti").join(rest, by, "left_semi").select(*found))
+
+
 def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row."""
     index = SuffixIndex(docs.sparkSession)
@@ -379,7 +394,7 @@ def without_repeats(index: SuffixIndex, keep: bool = True) -> DataFrame:
             release(path, spark)
     several = repeated.groupBy("key").agg(F.count(F.lit(1)).alias("covers")).where("covers > 1").select("key")
     disputed = durable(repeated.join(several, "key", "left_semi").select("chunk", "place", "windows"), "suffix-disputed")
-    sure = durable(anchors.join(repeated.where("n > 1").select("key", "cover"), ["key", "cover"], "left_semi").select("chunk", "place", "windows"), "suffix-sure")
+    sure = durable(_sure(anchors, repeated.where("n > 1")), "suffix-sure")
     release(repeated)
     if not keep:
         for path in index.samples:
