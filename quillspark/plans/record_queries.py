@@ -59,11 +59,11 @@ def with_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("p09_batch_status", """
-  WITH s AS (SELECT o_custkey, list(DISTINCT CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'partially_failed' ELSE 'failed' END) AS st FROM orders WHERE o_totalprice > 100000 GROUP BY o_custkey)
+  WITH s AS (SELECT o_custkey, list(DISTINCT CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'partially_failed' ELSE 'failed' END) AS st FROM orders GROUP BY o_custkey)
   SELECT o_custkey, CASE WHEN st = ['completed'] THEN 'completed' WHEN NOT list_contains(st, 'completed') THEN 'failed' ELSE 'partially_failed' END AS status FROM s""")
 def batch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "partially_failed").otherwise("failed")
-    sets = corpus.table(spark, sf_dir, "orders").where("o_totalprice > 100000").groupBy("o_custkey").agg(F.collect_set(status).alias("st"))
+    sets = corpus.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set(status).alias("st"))
     return sets.select("o_custkey", records.batch_status(F.col("st")).alias("status"))
 
 
@@ -121,9 +121,9 @@ def identifier_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("d02_shortcut", """SELECT o_custkey AS query_id, CASE WHEN count(DISTINCT o_orderkey % 7) > 1 THEN 'decoupled' ELSE 'duplicate' END AS duplicate_determination,
-  CASE WHEN count(DISTINCT o_orderkey % 7) = 1 THEN min(o_orderkey % 7) END AS canonical_id FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey""")
+  CASE WHEN count(DISTINCT o_orderkey % 7) = 1 THEN min(o_orderkey % 7) END AS canonical_id FROM orders GROUP BY o_custkey""")
 def shortcut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("query_id"))
+    rows = corpus.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("query_id"))
     return linkage.shortcut(rows.agg(F.collect_set(F.col("o_orderkey") % 7).alias("canonicals")).withColumn("has_trusted", F.lit(True)))
 
 
@@ -176,22 +176,11 @@ def invalid_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.invalid_decisions(rows).select("reference_id", "reason")
 
 
-@query("d01_exact_supersets", """WITH i AS (SELECT l_orderkey AS r, l_partkey AS k FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL)
+@query("d01_exact_supersets", """WITH i AS (SELECT l_orderkey AS r, l_partkey AS k FROM lineitem GROUP BY ALL)
   SELECT a.r AS reference_id, min(b.r) AS candidate_id FROM
     (SELECT x.r, y.r AS other, count(*) AS n FROM i x JOIN i y ON x.k = y.k AND x.r <> y.r GROUP BY ALL) p
     JOIN (SELECT r, count(*) AS n FROM i GROUP BY r) a ON a.r = p.r AND a.n = p.n JOIN i b ON b.r = p.other GROUP BY a.r""")
 def exact_supersets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = F.struct(F.lit("doi").alias("identifier_type"), F.col("l_partkey").cast("string").alias("identifier"))
-    rows = corpus.table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'").groupBy(F.col("l_orderkey").alias("reference_id")).agg(F.collect_set(one).alias("identifiers"))
-    rows = rows.select("*", F.lit("public").alias("visibility"), F.array().cast("array<string>").alias("fingerprints"))
-    return linkage.exact_duplicates(rows, rows.withColumn("duplicate_determination", F.lit("canonical")))
-
-
-@query("d01_exact_supersets_whole", """WITH i AS (SELECT l_orderkey AS r, l_partkey AS k FROM lineitem GROUP BY ALL)
-  SELECT a.r AS reference_id, min(b.r) AS candidate_id FROM
-    (SELECT x.r, y.r AS other, count(*) AS n FROM i x JOIN i y ON x.k = y.k AND x.r <> y.r GROUP BY ALL) p
-    JOIN (SELECT r, count(*) AS n FROM i GROUP BY r) a ON a.r = p.r AND a.n = p.n JOIN i b ON b.r = p.other GROUP BY a.r""")
-def exact_supersets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.struct(F.lit("doi").alias("identifier_type"), F.col("l_partkey").cast("string").alias("identifier"))
     rows = corpus.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("reference_id")).agg(F.collect_set(one).alias("identifiers"))
     rows = rows.select("*", F.lit("public").alias("visibility"), F.array().cast("array<string>").alias("fingerprints"))

@@ -20,7 +20,7 @@ def test_bm25_of_frequent_words_counts_and_scores(spark, compare):
         want |= {(q, d) for d, title in docs if len(ws & set(title.split())) >= max(1, len(ws) // 2)}
     found = linkage.bm25_top_k(spark.createDataFrame(asked, "query_id long, text string"), spark.createDataFrame(docs, "id long, title string"), k=1000)
     assert {(r["query_id"], r["id"]) for r in found.collect()} == want
-    name = "d06_bm25_every_word"
+    name = "d06_bm25_top_k"
     compare(registry.QUERIES[name](spark, f"{DATA}/sf0.01"), registry.ORACLE[name], f"{DATA}/sf0.01")
 
 
@@ -69,5 +69,5 @@ def test_exact_supersets_compare_copies_once(spark):
 
 
 def test_exact_supersets_of_all_lines(spark, compare):
-    name = "d01_exact_supersets_whole"
+    name = "d01_exact_supersets"
     compare(registry.QUERIES[name](spark, f"{DATA}/sf0.01"), registry.ORACLE[name], f"{DATA}/sf0.01")
