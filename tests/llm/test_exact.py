@@ -402,3 +402,13 @@ def test_awkward_rows_pass_through_every_operator(spark, texts):
     assert decontaminate.clean(docs, bench.limit(0)).count() == n
     assert url_filter.judge(docs.select("doc_id", F.col("doc_id").alias("page_id"), F.col("text").alias("url"), F.col("text").alias("html")), queries.URL_RULES).count() == n
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_anchors_of_a_passage_in_most_documents(spark):
+    counts = {(0, 0): 900, (0, 1): 2, (1, 0): 30, (2, 5): 3, (3, 3): 1}
+    rows = [(i, p, 1, k, c) for p, ((k, c), n) in enumerate(counts.items()) for i in range(n)]
+    anchors = spark.createDataFrame(rows, "chunk long, place long, windows int, key long, cover long")
+    for drop in ((), ((0, 0),), tuple(counts)):
+        twice = [(k, c, n) for (k, c), n in counts.items() if n > 1 and (k, c) not in drop]
+        found = suffix_dedup._sure(anchors, spark.createDataFrame(twice, "key long, cover long, n long")).collect()
+        assert sorted(map(tuple, found)) == sorted(r[:3] for r in rows if (*r[3:], counts[r[3:]]) in twice)
