@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, decontaminate, line_dedup, quality, sharding, simhash, suffix_dedup, topk, toxicity, url_filter
+from quillspark.llm import bpe, decontaminate, filter_audit, line_dedup, quality, sharding, simhash, suffix_dedup, topk, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), left.alias("text"), (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), (F.col("n_removed") > 0).alias("has_repeats"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = filter_audit.failure_masks(table(spark, sf_dir, "documents"))
+    return filter_audit.audit(masks, table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
@@ -91,9 +96,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_topk": op9_topk,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLE: dict[str, str] = {
+    "op11_filter_audit": """
+        WITH t AS (
+          SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+            list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w
+          FROM documents
+        ), m AS (
+          SELECT doc_id, part,
+            CASE WHEN len(w) < 100 THEN 'A' ELSE '' END
+              || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+              || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END
+              || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+              || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+          FROM t
+        ), l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS bad FROM labels GROUP BY doc_id),
+        c AS (
+          SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad
+          FROM m LEFT JOIN l USING (doc_id) GROUP BY part, fails
+        ), f(l) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+        o AS (
+          SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM f a JOIN f b ON b.l <> a.l JOIN f c ON c.l NOT IN (a.l, b.l)
+          JOIN f d ON d.l NOT IN (a.l, b.l, c.l) JOIN f e ON e.l NOT IN (a.l, b.l, c.l, d.l)
+        ), s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step:step] AS letter FROM o, range(1, 6) r(step)),
+        p AS (
+          SELECT s.*, c.*, contains(fails, letter) AS failing,
+            coalesce(list_min(list_filter(range(1, 6), lambda i: contains(fails, filter_order[i:i]))), 9) AS hit
+          FROM s, c
+        ), r AS (
+          SELECT part, filter_order, step, any_value(letter) AS letter,
+            coalesce(sum(n) FILTER (hit > step), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (hit = step), 0)::BIGINT AS removed,
+            coalesce(sum(n) FILTER (failing AND hit < step), 0)::BIGINT AS redundant,
+            coalesce(sum(n) FILTER (fails = letter), 0)::BIGINT AS unique_fails,
+            coalesce(sum(good) FILTER (hit = step), 0)::BIGINT AS good_lost, coalesce(sum(bad) FILTER (hit = step), 0)::BIGINT AS toxic_lost
+          FROM p GROUP BY part, filter_order, step
+        )
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+          (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+        FROM r
+    """,
     "op5_decontamination": """
         WITH w AS (
           SELECT 'd' AS kind, doc_id AS id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w FROM documents
