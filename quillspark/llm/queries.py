@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, decontaminate, filter_audit, line_dedup, quality, sharding, simhash, suffix_dedup, topk, toxicity, url_filter
+from quillspark.llm import bpe, byte_bpe, decontaminate, filter_audit, line_dedup, quality, sharding, simhash, suffix_dedup, topk, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +86,19 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(masks, table(spark, sf_dir, "labels"))
 
 
+def byte_bpe_digests(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
+    done = byte_bpe.decode(byte_bpe.encode(docs, ranks, pattern), ranks)
+    spelled = F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(spelled, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = Path(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).read_bytes()
+    return byte_bpe_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
@@ -97,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_topk": op9_topk,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_filter_audit": op11_filter_audit,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {
