@@ -43,7 +43,7 @@ OUT_ROWS = 256
 PLANES = ("b0", "b1", "b2", "b3")
 _SPLIT = "kind string, chunk long, bucket int, n int, docs array<long>, counts array<int>, buckets array<int>, " + ", ".join(f"{p} binary" for p in PLANES) + ", words binary"
 _SPLIT_TYPES = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.binary()] * 5)
-_WORDS = "of long, bucket int, lengths array<int>, ids array<int>"
+_WORDS = "of long, bucket int, lengths binary, ids binary"
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -65,6 +65,15 @@ def _numbers(planes: list[bytes]) -> np.ndarray:
     return np.ascontiguousarray(np.stack([np.frombuffer(p, dtype=np.uint8) for p in planes], axis=1)).view("<u4").ravel()
 
 
+def _squeeze(numbers: np.ndarray) -> bytes:
+    return zstandard.compress(b"".join(_planes(numbers)), 3)
+
+
+def _unsqueeze(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 class _Numbering(dict):
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
@@ -139,11 +148,11 @@ def _encode_words(ranks):
                 words = _unpack(packed, n)
                 for w in words:
                     if w not in known:
-                        known[w] = np.array(encode(w.decode()), dtype=np.int32)
+                        known[w] = np.array(encode(w.decode()), dtype=np.uint32)
                 found = [known[w] for w in words]
-                out.append((chunk, b, np.fromiter(map(len, found), dtype=np.int32, count=n), np.concatenate(found)))
+                out.append((chunk, b, _squeeze(np.fromiter(map(len, found), dtype=np.uint32, count=n)), _squeeze(np.concatenate(found))))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())))], names=["of", "bucket", "lengths", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["of", "bucket", "lengths", "ids"])
 
     return run
 
@@ -165,7 +174,9 @@ def _lay_out(positions: pa.Table, encoded: pa.Table) -> pa.Table:
     if not positions.num_rows:
         return schema.empty_table()
     encoded = encoded.sort_by("bucket")
-    lengths_back, flat = _flat(encoded.column("lengths")).astype(np.int64), _flat(encoded.column("ids"))
+    none = [np.zeros(0, dtype=np.uint32)]
+    lengths_back = np.concatenate([_unsqueeze(x) for x in encoded.column("lengths").to_pylist()] or none).astype(np.int64)
+    flat = np.concatenate([_unsqueeze(x) for x in encoded.column("ids").to_pylist()] or none)
     order = np.argsort(_flat(positions.column("buckets")), kind="stable")
     lengths, starts = np.empty_like(lengths_back), np.empty_like(lengths_back)
     lengths[order], starts[order] = lengths_back, np.cumsum(lengths_back) - lengths_back
