@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, byte_bpe, decontaminate, filter_audit, line_dedup, quality, sharding, simhash, suffix_dedup, topk, toxicity, url_filter
+from quillspark.llm import alignment, bpe, byte_bpe, decontaminate, filter_audit, line_dedup, quality, sharding, simhash, suffix_dedup, topk, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +86,19 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(masks, table(spark, sf_dir, "labels"))
 
 
+def alignment_digests(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    a, b = (Path(public_tokenizers.path(name)).read_bytes() for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    done = alignment.align(docs, a.decode(), b, public_tokenizers.PATTERN)
+    digest = F.when(F.col("n_groups") == 0, "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return done.withColumn("groups_sha256", digest).drop("groups")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_digests(table(spark, sf_dir, "documents"))
+
+
 def byte_bpe_digests(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     done = byte_bpe.decode(byte_bpe.encode(docs, ranks, pattern), ranks)
     spelled = F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")
@@ -111,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_topk": op9_topk,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_filter_audit": op11_filter_audit,
+    "op12_alignment": op12_alignment,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
