@@ -7,8 +7,8 @@ group links each of its A tokens with each of its B tokens.
 1. Align: an Arrow batch's tokens are laid end to end, documents after one another, so a running sum
    of token lengths gives every token's end in the batch. One ``bincount`` of A's and B's ends
    together has 2 where both end; running sums of these cuts number the groups, and differences of
-   running sums at the documents' bounds give each document's own figures. Tokens and the groups'
-   sizes go to a table bucketed by chunk (about ``CHUNK_BYTES`` of text).
+   running sums at the documents' bounds give each document's own figures. Tokens go to a table
+   bucketed by chunk (about ``CHUNK_BYTES`` of text); their ends are summed up again where they are read.
 2. Count: a chunk sends each linked pair of ids once, with the number of its documents that hold it;
    the sums are a pair's count, and the greatest count of an A id is broadcast (no more entries than
    A's vocabulary).
@@ -35,14 +35,14 @@ from pyspark.sql import functions as F
 from quillspark.llm.byte_bpe import ragged, splitter
 from quillspark.llm.common import durable, durable_bucketed, lean, text_batches
 
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 #: Bytes of texts that are aligned at once, and links of a group that are listed one by one; larger groups go by distinct ids.
-STEP_BYTES, MANY_LINKS = 1_000_000, 1 << 16
+STEP_BYTES, MANY_LINKS = 500_000, 1 << 16
 #: Characters from which a text is split into matches before it is encoded: the tokenizer's own
 #: engine gives up on very long runs of white space.
 LONG_TEXT = 100_000
-_ALIGNED = "kind string, chunk long, doc_id long, a array<int>, b array<int>, a_sizes array<int>, b_sizes array<int>, pairs array<long>, docs array<int>"
-_ALIGNED_SCHEMA = pa.schema({"kind": pa.string(), "chunk": pa.int64(), "doc_id": pa.int64(), **{c: pa.list_(pa.int32()) for c in ("a", "b", "a_sizes", "b_sizes")}, "pairs": pa.list_(pa.int64()), "docs": pa.list_(pa.int32())})
+_ALIGNED = "kind string, chunk long, doc_id long, a array<int>, b array<int>, pairs array<long>, docs array<int>"
+_ALIGNED_SCHEMA = pa.schema({"kind": pa.string(), "chunk": pa.int64(), "doc_id": pa.int64(), "a": pa.list_(pa.int32()), "b": pa.list_(pa.int32()), "pairs": pa.list_(pa.int64()), "docs": pa.list_(pa.int32())})
 _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 _RESULT_SCHEMA = pa.schema({"doc_id": pa.int64(), **{c: pa.int64() for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")}, "groups": pa.string()})
 
@@ -180,7 +180,7 @@ def _align(shared, pattern: str):
                 n_groups = np.diff(upto[ends], prepend=0)
                 held.append(_held(a, b, a_sizes, b_sizes, np.repeat(np.arange(end - start), n_groups), pair.sizes))
                 n, small = end - start, pa.int32()
-                yield _filled({"kind": pa.array(["tokens"] * n), "chunk": pa.array([chunk] * n), "doc_id": ids[start:end], "a": _lists(a, n_a, small), "b": _lists(b, n_b, small), "a_sizes": _lists(a_sizes, n_groups, small), "b_sizes": _lists(b_sizes, n_groups, small)}, n)
+                yield _filled({"kind": pa.array(["tokens"] * n), "chunk": pa.array([chunk] * n), "doc_id": ids[start:end], "a": _lists(a, n_a, small), "b": _lists(b, n_b, small)}, n)
                 size += int(ends[-1]) + 64 * n
                 if size >= CHUNK_BYTES:
                     yield counted()
@@ -202,7 +202,7 @@ def _spelled(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndar
     return "".join(out.tolist())[:-1]
 
 
-def _sum_up(sizes: tuple[int, int]):
+def _sum_up(lengths):
     """A chunk's tokens and the counts of its pairs to the documents' results."""
 
     def run(tokens: pa.Table, counts: pa.Table) -> pa.Table:
@@ -210,13 +210,15 @@ def _sum_up(sizes: tuple[int, int]):
             return _RESULT_SCHEMA.empty_table()
         counts = counts.sort_by("pair")
         pairs, count, best = (counts.column(c).to_numpy().astype(np.int64) for c in ("pair", "count", "best"))
-        decimals = [str(i) for i in range(max(sizes))]
+        width = len(lengths.value[1])
+        decimals = [str(i) for i in range(max(map(len, lengths.value)))]
         names = [np.array([d + mark for d in decimals], dtype=object) for mark in (",", "|", ";")]
         out = []
-        for doc_id, *lists in zip(*(tokens.column(c) for c in ("doc_id", "a", "b", "a_sizes", "b_sizes"))):
-            a, b, a_sizes, b_sizes = (x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists)
+        for doc_id, *lists in zip(*(tokens.column(c) for c in ("doc_id", "a", "b"))):
+            a, b = (x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists)
+            a_sizes, b_sizes, _ = cut((a, b), lengths.value)
             n_best = count_sum = 0
-            for _, pair, times in links(a, b, a_sizes, b_sizes, sizes[1]):
+            for _, pair, times in links(a, b, a_sizes, b_sizes, width):
                 order = np.argsort(pair)
                 at = np.searchsorted(pairs, pair[order])
                 n_best += int(best[at] @ times[order])
@@ -240,7 +242,9 @@ def align(docs: DataFrame, a_json: str, b_model: bytes, pattern: str) -> DataFra
     spark = docs.sparkSession
     text_batches(spark)
     tokens = byte_level_tokens(a_json)
-    sizes = (max(tokens.values()) + 1, sentencepiece.SentencePieceProcessor(model_proto=b_model).get_piece_size())
+    pieces = piece_bytes(sentencepiece.SentencePieceProcessor(model_proto=b_model))
+    by_id = {i: t for t, i in tokens.items()}
+    lengths = spark.sparkContext.broadcast([np.array([len(by_id.get(i, b"")) for i in range(max(by_id) + 1)]), np.array(list(map(len, pieces)))])
     shared = spark.sparkContext.broadcast((tokens, b_model))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"))
     aligned = durable_bucketed(texts.mapInArrow(lean(_align(shared, pattern)), _ALIGNED), "aligned", "chunk", "kind")
@@ -248,8 +252,8 @@ def align(docs: DataFrame, a_json: str, b_model: bytes, pattern: str) -> DataFra
     # A pair has a row a chunk at most, so summing up over its rows where they meet needs no second shuffle.
     total = F.sum("docs").over(Window.partitionBy("pair")).alias("count")
     counted = durable(listed.select("chunk", "pair", total), "pair-counts")
-    a_id = F.expr(f"pair div {sizes[1]}")
+    a_id = F.expr(f"pair div {len(pieces)}")
     most = F.broadcast(counted.groupBy(a_id.alias("a")).agg(F.max("count").alias("most")))
     judged = counted.withColumn("a", a_id).join(most, "a").select(F.col("chunk").alias("of"), "pair", "count", (F.col("count") == F.col("most")).alias("best"))
-    kept = aligned.where("kind = 'tokens'").select("chunk", "doc_id", "a", "b", "a_sizes", "b_sizes")
-    return kept.groupBy("chunk").cogroup(judged.groupBy("of")).applyInArrow(_sum_up(sizes), _RESULT)
+    kept = aligned.where("kind = 'tokens'").select("chunk", "doc_id", "a", "b")
+    return kept.groupBy("chunk").cogroup(judged.groupBy("of")).applyInArrow(_sum_up(lengths), _RESULT)
