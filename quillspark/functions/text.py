@@ -70,11 +70,11 @@ def year_or(year: Column, date: Column, prior: Column) -> Column:
 
 
 def year_decay(year: Column, origin: Column, offset: float = 1, scale: float = 9, decay: float = 0.5, weight: float = 0.1) -> Column:
-    """Factor of 1 to 1 + weight that halves its bonus every ``scale`` years beyond ``offset``."""
+    """Factor of 1 to 1 + weight that halves its bonus every ``scale`` years beyond ``offset``; no bonus without both years."""
     from math import log
 
     away = F.greatest(F.lit(0.0), F.abs(year - origin).cast("double") - offset)
-    return F.coalesce(1 + weight * F.exp(log(decay) / scale * away), F.lit(1.0))
+    return F.when(year.isNotNull() & origin.isNotNull(), 1 + weight * F.exp(log(decay) / scale * away)).otherwise(1.0)
 
 
 def qualified_label(scheme: Column, label: Column) -> Column:
@@ -145,7 +145,7 @@ def demojibake_fields(df: DataFrame, names: tuple[str, ...] = ("title", "publish
 
 #: Keys of linked data whose texts are mended.
 TEXT_KEYS = ("name", "description", "supportingText", "@value")
-_SUSPECT = re.compile("[\u00c2-\u00f4][\u0080-\u00bf]|[\u0080-\u009f]")
+_SUSPECT = re.compile(re.sub(r"\\x\{(\w+)\}", r"\\x\1", MOJIBAKE))
 
 
 def _mend(text: str) -> str:
@@ -155,10 +155,13 @@ def _mend(text: str) -> str:
         return text
 
 
-def _walk(node):
+def _walk(node, is_text: bool = False):
+    """``node`` with its texts mended that lie under a text key, by themselves or in lists."""
     if isinstance(node, dict):
-        return {k: _mend(v) if k in TEXT_KEYS and isinstance(v, str) else _walk(v) for k, v in node.items()}
-    return [_walk(x) for x in node] if isinstance(node, list) else node
+        return {k: _walk(v, k in TEXT_KEYS) for k, v in node.items()}
+    if isinstance(node, list):
+        return [_walk(x, is_text) for x in node]
+    return _mend(node) if is_text and isinstance(node, str) else node
 
 
 @F.pandas_udf(T.StringType())

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import author_terms, sampled, tokens, year_decay
+from quillspark.operators import nearwords
 
 #: BM25 constants, title boost, share of title words that must match, tie breaker.
 K1, B, TITLE_BOOST, MIN_MATCH, TIE = 1.2, 0.75, 2.0, 0.5, 0.1
@@ -139,38 +140,60 @@ def shortcut(matches: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class TextStatistics:
+    """Postings (id, word, tf, dl) of a text field, documents by word (word, df), and n_docs and avgdl in one row."""
+
+    postings: DataFrame
+    df: DataFrame
+    totals: DataFrame
+
+
+def count_words(docs: DataFrame, id_col: str, text_col: str) -> TextStatistics:
+    index = inverted_index(docs, id_col, text_col)
+    totals = docs.select(F.size(tokens(F.col(text_col))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    return TextStatistics(index, index.groupBy("word").agg(F.count(F.lit(1)).alias("df")), totals)
+
+
 def inverted_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, word, tf, dl for every distinct word of a document."""
     words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("ws"))
     return words.select("id", F.size("ws").alias("dl"), F.explode("ws").alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
-def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "id", text_col: str = "title", boost: float = TITLE_BOOST, year_col: str | None = None, max_share: float = 1.0) -> DataFrame:
+def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "id", text_col: str = "title", boost: float = TITLE_BOOST, year_col: str | None = None, fuzzy: bool = False, index: TextStatistics | None = None) -> DataFrame:
     """query_id, id, score (6 decimals), rank: the best documents by title words for each query.
 
     ``queries``: query_id (unique), text (and year); a document needs half of the query's distinct
     words, rounded down, but one at least. Documents are found by a query's rarest words alone, by
     one more than may be missing, which loses none; only to those the other words' scores are added.
-    Words in more than ``max_share`` of documents count as in none.
+    With ``fuzzy`` a word is met by any of its near forms (:func:`nearwords.expansions`), whose scores add
+    up; without, by itself. ``index`` has the documents' postings and statistics ready, else they
+    are counted here.
     """
-    index = inverted_index(docs, id_col, text_col)
-    stats = docs.select(F.size(tokens(F.col(text_col))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    df = index.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    index = index or count_words(docs, id_col, text_col)
+    postings, df, stats = index.postings.withColumnRenamed("word", "variant"), index.df, index.totals
     year = ["year"] if year_col else []
     asked = queries.select("query_id", *year, F.array_distinct(tokens(F.col("text"))).alias("ws"))
     need = F.greatest(F.lit(1), F.floor(MIN_MATCH * F.size("ws")))
     words = asked.select("query_id", *year, need.alias("need"), (F.size("ws") - need + 1).alias("probes"), F.explode("ws").alias("word"))
-    known = words.join(df, "word", "left").crossJoin(F.broadcast(stats)).withColumn("df", F.when(F.col("df") <= F.col("n_docs") * max_share, F.col("df")))
-    rarest = Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "word")
-    weighted = known.withColumn("probe", F.row_number().over(rarest) <= F.col("probes")).where("df is not null")
+    if fuzzy:
+        forms = nearwords.expansions(words.select("word").distinct(), df)
+        found = words.join(forms.groupBy("word").agg(F.sum("own_df").alias("cost")), "word", "left")
+    else:
+        found = words.join(df, "word", "left").withColumns({"cost": F.col("df"), "boost": F.lit(1.0), "variant": F.col("word")})
+    rarest = Window.partitionBy("query_id").orderBy(F.coalesce("cost", F.lit(0)), "word")
+    ranked = found.withColumn("probe", F.row_number().over(rarest) <= F.col("probes")).where("cost is not null").crossJoin(F.broadcast(stats))
+    weighted = ranked.join(forms, "word") if fuzzy else ranked
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = boost * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    cols = ["query_id", "id", part.alias("part"), "need", *year]
-    met = weighted.where("probe").join(index, "word").where(~F.col("query_id").eqNullSafe(F.col("id"))).select(*cols)
+    part = boost * F.col("boost") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    cols = ["query_id", "id", "word", part.alias("part"), "need", *year]
+    met = weighted.where("probe").join(postings, "variant").where(~F.col("query_id").eqNullSafe(F.col("id"))).select(*cols)
     pairs = met.select(F.col("query_id").alias("q_"), F.col("id").alias("id_")).distinct()
-    others = weighted.where("not probe").join(pairs, F.col("query_id").eqNullSafe(F.col("q_"))).withColumnRenamed("word", "word_")
-    added = others.join(index, (F.col("word") == F.col("word_")) & F.col("id").eqNullSafe(F.col("id_"))).select(*cols)
-    scored = met.unionByName(added).groupBy("query_id", "id").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("matched"), F.first("need").alias("need"), *([F.first("year").alias("year")] if year_col else [])).where("matched >= need")
+    others = weighted.where("not probe").join(pairs, F.col("query_id").eqNullSafe(F.col("q_"))).withColumnRenamed("variant", "variant_")
+    added = others.join(postings, (F.col("variant") == F.col("variant_")) & F.col("id").eqNullSafe(F.col("id_"))).select(*cols)
+    matched = F.size(F.collect_set("word")) if fuzzy else F.count(F.lit(1))
+    scored = met.unionByName(added).groupBy("query_id", "id").agg(F.sum("part").alias("score"), matched.alias("matched"), F.first("need").alias("need"), *([F.first("year").alias("year")] if year_col else [])).where("matched >= need")
     if year_col:
         years = docs.select(F.col(id_col).alias("id"), F.col(year_col).alias("doc_year"))
         scored = scored.join(years, "id").withColumn("score", F.col("score") * year_decay(F.col("doc_year"), F.col("year")))
@@ -225,18 +248,19 @@ def _author_scores(pairs: DataFrame, asked: DataFrame, docs: DataFrame, most: in
     return by_clause.groupBy("query_id", "id").agg((F.max("s") + TIE * (F.sum("s") - F.max("s"))).alias("author_score"))
 
 
-def ranked_candidates(inputs: DataFrame, docs: DataFrame, asked: CandidateSearch) -> DataFrame:
+def ranked_candidates(inputs: DataFrame, docs: DataFrame, asked: CandidateSearch, index: TextStatistics | None = None) -> DataFrame:
     """query_id, id, score, rank of the best candidates of every input that can be looked for.
 
     ``inputs``: query_id, title, authors, year (and excluded_id, unless stored); ``docs``: id,
-    title, authors, year, determination. Half of the title's distinct words must match, authors
-    add to the score, and the year does as the policy says: within one year only, not at all, or a
-    bonus that fades. Only canonicals are candidates. Word statistics are of all of ``docs``.
+    title, authors, year, determination. Half of the title's distinct words must match, near words
+    too if the policy is fuzzy; authors add to the score, and the year does as the policy says: within
+    one year only, not at all, or a bonus that fades. A bonus needs both years. Only canonicals
+    are candidates. Word statistics are of all of ``docs``, or those of a stored ``index`` of their titles.
     """
     usable = asked.usable(inputs).where(F.size("reasons") == 0)
-    titles = bm25_top_k(usable.select("query_id", F.col("title").alias("text")), docs, k=1 << 30)
+    titles = bm25_top_k(usable.select("query_id", F.col("title").alias("text")), docs, k=1 << 30, fuzzy=asked.policy.fuzzy_title, index=index)
     facts = docs.where("determination = 'canonical'").select("id", F.col("year").alias("doc_year"))
-    own = usable.select("query_id", "year", (F.col("query_id") if asked.stored else F.col("excluded_id")).alias("not_id"))
+    own = usable.select("query_id", F.nullif("year", F.lit(0)).alias("year"), (F.col("query_id") if asked.stored else F.col("excluded_id")).alias("not_id"))
     met = titles.select("query_id", "id", F.col("score").alias("title_score")).join(facts, "id").join(own, "query_id").where(~F.col("id").eqNullSafe(F.col("not_id")))
     if asked.policy.year_strategy == "hard_window":
         met = met.where(F.abs(F.col("doc_year") - F.col("year")) <= 1)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import identifiers, text
-from quillspark.operators import linkage, records, relational, search, vocabulary, workqueue
+from quillspark.operators import linkage, nearwords, records, relational, search, vocabulary, workqueue
 from quillspark.plans import corpus
 from quillspark.plans.record_queries import ORACLE, QUERIES
 from quillspark.plans.search_queries import TOKENS, query
@@ -402,21 +402,38 @@ def available_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders(spark, sf_dir).select("o_orderkey", F.size(records.available_fields(fields)).alias("n"))
 
 
-def _papers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Benchmark items as records to look for, and documents as the corpus."""
+def _papers(spark: SparkSession, sf_dir: str, undated: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Benchmark items as records to look for, some without a year if ``undated``, and documents as the corpus."""
     docs = corpus.document_refs(spark, sf_dir).select("id", "title", F.array(F.col("source"), F.concat_ws(" ", "lang", "source")).alias("authors"), (1990 + F.col("id") % 4).alias("year"), F.when(F.col("id") % 7 == 0, "duplicate").otherwise("canonical").alias("determination"))
     item = F.col("item_id")
-    asked = corpus.table(spark, sf_dir, "benchmark").select(item.alias("query_id"), F.col("text").alias("title"), F.array(F.lit("fr anna"), F.lit("en bob")).alias("authors"), (1990 + item % 4).alias("year"))
+    year = 1990 + item % 4
+    asked = corpus.table(spark, sf_dir, "benchmark").select(item.alias("query_id"), F.col("text").alias("title"), F.array(F.lit("fr anna"), F.lit("en bob")).alias("authors"), (F.when(item % 5 != 0, year) if undated else year).alias("year"))
     return asked, docs
 
 
-def _candidates_sql(window: str, factor: str) -> str:
+#: DuckDB's edit distances count bytes, so the letters of two bytes in the test tables stand as capitals there.
+_ONE_BYTE = "translate({}, 'ñèéêíçóüöäß', 'ABCDEFGHIJK')"
+#: Letters that changed places with a letter put in between them, which its distance takes for two edits.
+_BETWEEN = """length({1}) = length({0}) + 1 AND coalesce(list_bool_or(list_transform(range(1, length({0})), lambda i:
+            starts_with({1}, {0}[:i - 1] || {0}[i + 1]) AND ends_with({1}, {0}[i] || {0}[i + 2:]))), false)"""
+_FORMS_SQL = f"""near AS (
+        SELECT word, variant, edits, df FROM (
+          SELECT v.word, d.word AS variant, {_ONE_BYTE.format('v.word')} AS a, {_ONE_BYTE.format('d.word')} AS b, damerau_levenshtein(a, b) AS edits, df
+          FROM (SELECT DISTINCT word FROM q) v JOIN df d ON abs(length(v.word) - length(d.word)) <= 2
+            AND damerau_levenshtein({_ONE_BYTE.format('v.word')}, {_ONE_BYTE.format('d.word')}) <= CASE WHEN length(v.word) <= 2 THEN 0 WHEN length(v.word) <= 5 THEN 1 ELSE 2 END)
+        WHERE levenshtein(a, b) <= 2 OR NOT ({_BETWEEN.format('a', 'b')} OR {_BETWEEN.format('b', 'a')})),
+      forms AS (SELECT word, variant, boost, max(df) OVER (PARTITION BY word) AS df FROM (
+        SELECT *, 1 - edits / least(length(word), length(variant)) AS boost FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY boost DESC, variant) <= 50))"""
+
+
+def _candidates_sql(window: str, factor: str, fuzzy: bool = False, asked: str = "true", year: str = "1990 + item_id % 4") -> str:
     return f"""WITH {corpus.REFS_SQL}, docs AS (SELECT id, {TOKENS.format('title')} AS ws, 1990 + id % 4 AS y FROM refs),
       stats AS (SELECT count(*) AS n_docs, avg(len(ws)) AS avgdl FROM docs), idx AS (SELECT id, word, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, len(ws) AS dl, unnest(ws) AS word FROM docs) GROUP BY id, word),
       df AS (SELECT word, count(*) AS df FROM idx GROUP BY word),
-      q AS (SELECT item_id AS query_id, 1990 + item_id % 4 AS qy, greatest(1, floor(0.5 * len(ws))) AS need, unnest(ws) AS word FROM (SELECT item_id, list_distinct({TOKENS.format('text')}) AS ws FROM benchmark)),
-      s AS (SELECT q.query_id, idx.id, any_value(qy) AS qy, round(sum(2.0 * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS title_score
-        FROM q JOIN df USING (word) CROSS JOIN stats JOIN idx USING (word) WHERE q.query_id <> idx.id GROUP BY q.query_id, idx.id HAVING count(*) >= any_value(need)),
+      q AS (SELECT item_id AS query_id, {year} AS qy, greatest(1, floor(0.5 * len(ws))) AS need, unnest(ws) AS word FROM (SELECT item_id, list_distinct({TOKENS.format('text')}) AS ws FROM benchmark) WHERE {asked}),
+      {_FORMS_SQL if fuzzy else "forms AS (SELECT word, word AS variant, 1.0 AS boost, df FROM df)"},
+      s AS (SELECT q.query_id, idx.id, any_value(qy) AS qy, round(sum(2.0 * boost * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS title_score
+        FROM q JOIN forms USING (word) CROSS JOIN stats JOIN idx ON idx.word = forms.variant WHERE q.query_id <> idx.id GROUP BY q.query_id, idx.id HAVING count(DISTINCT q.word) >= any_value(need)),
       aw AS (SELECT id, word, count(*) AS tf FROM (SELECT doc_id AS id, unnest([source, lang, source]) AS word FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL) GROUP BY ALL), adf AS (SELECT word, count(*) AS df FROM aw GROUP BY word),
       clause AS (SELECT unnest([0, 0, 1, 1]) AS c, unnest(['fr', 'anna', 'en', 'bob']) AS word),
       cs AS (SELECT s.query_id, s.id, c, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * 3 / 3.0))) AS v FROM s, stats, clause JOIN adf USING (word) JOIN aw USING (word) WHERE aw.id = s.id GROUP BY ALL),
@@ -425,17 +442,32 @@ def _candidates_sql(window: str, factor: str) -> str:
       SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM f QUALIFY rank <= 10"""
 
 
-def _candidates(policy: str):
+def _candidates(policy: str, undated: bool = False):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        asked, docs = _papers(spark, sf_dir)
+        asked, docs = _papers(spark, sf_dir, undated)
         return linkage.ranked_candidates(asked, docs, linkage.CandidateSearch(linkage.POLICIES[policy]))
 
     return run
 
 
-query("d03_candidates_soft_decay", _candidates_sql("true", "(1 + 0.1 * exp(ln(0.5) / 9 * greatest(0.0, abs(y - qy) - 1)))"))(_candidates("candidate_selection_v1"))
-query("d04_candidates_no_year_filter", _candidates_sql("true", "1"))(_candidates("no_year_filter_v1"))
-query("d06_candidates_hard_window", _candidates_sql("abs(y - qy) <= 1", "1"))(_candidates("current_fuzzy_v1"))
+_FADING = "CASE WHEN qy IS NULL THEN 1 ELSE 1 + 0.1 * exp(ln(0.5) / 9 * greatest(0.0, abs(y - qy) - 1)) END"
+_DATED, _SOME_YEARS = "item_id % 5 <> 0", "CASE WHEN item_id % 5 <> 0 THEN 1990 + item_id % 4 END"
+query("d03_candidates_soft_decay", _candidates_sql("true", _FADING))(_candidates("candidate_selection_v1"))
+query("d04_candidates_no_year_filter", _candidates_sql("true", "1", fuzzy=True))(_candidates("no_year_filter_v1"))
+query("d06_candidates_hard_window", _candidates_sql("abs(y - qy) <= 1", "1", fuzzy=True))(_candidates("current_fuzzy_v1"))
+query("d04_candidates_soft_year_decay", _candidates_sql("true", _FADING, fuzzy=True, asked=_DATED))(_candidates("soft_year_decay_v1", undated=True))
+query("d04_candidates_nonfuzzy_probe", _candidates_sql("true", _FADING, asked=_DATED))(_candidates("soft_year_decay_nonfuzzy_probe_v1", undated=True))
+query("d04_candidates_year_optional", _candidates_sql("true", "1", fuzzy=True, year=_SOME_YEARS))(_candidates("no_year_filter_year_optional_v1", undated=True))
+query("d04_candidates_decay_year_optional", _candidates_sql("true", _FADING, fuzzy=True, year=_SOME_YEARS))(_candidates("soft_year_decay_year_optional_v1", undated=True))
+
+
+@query("d03_near_words", f"""WITH {corpus.REFS_SQL}, df AS (SELECT word, count(DISTINCT id) AS df FROM (SELECT id, unnest({TOKENS.format('title')}) AS word FROM refs) GROUP BY word),
+      q AS (SELECT DISTINCT unnest({TOKENS.format('text')}) AS word FROM benchmark), {_FORMS_SQL}
+      SELECT word, variant, round(boost, 6) AS boost, df FROM forms""")
+def near_title_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = linkage.count_words(corpus.document_refs(spark, sf_dir), "id", "title").df
+    words = corpus.table(spark, sf_dir, "benchmark").select(F.explode(text.tokens(F.col("text"))).alias("word")).distinct()
+    return nearwords.expansions(words, vocabulary).select("word", "variant", F.round("boost", 6).alias("boost"), "df")
 
 
 @query("d05_searchable_reasons", """SELECT o_orderkey AS query_id, array_to_string(list_filter([CASE WHEN o_orderkey % 2 = 0 THEN 'no title' END, CASE WHEN o_orderkey % 3 = 0 THEN 'no authors' END, CASE WHEN o_orderkey % 5 = 0 THEN 'no year' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM orders""")

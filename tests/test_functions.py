@@ -25,6 +25,8 @@ def test_newlines_and_mojibake(spark):
     assert values(spark, text.demojibake, ["cafÃ©", "café", "Ã", "日本", None, wrong]) == ["café", "café", "Ã", "日本", None, wrong]
     frame = spark.createDataFrame([("cafÃ©", ["Ã©a", "b"], 1)], "title string, authors array<string>, abstract int")
     assert text.demojibake_fields(frame).first() == ("café", ["éa", "b"], 1)
+    listed = json.dumps({"name": ["Ã©", ["Ã©"], {"x": "Ã©", "name": "Ã©"}], "x": ["Ã©"]})
+    assert json.loads(values(spark, text.demojibake_json, [listed])[0]) == {"name": ["é", ["é"], {"x": "Ã©", "name": "é"}], "x": ["Ã©"]}
     nested = json.dumps({"name": "Ã©", "other": "Ã©", "x": [{"@value": "Ã©", "description": 3}]})
     got = values(spark, text.demojibake_json, [nested, "no json", None])
     assert json.loads(got[0]) == {"name": "é", "other": "Ã©", "x": [{"@value": "é", "description": 3}]} and got[1:] == ["no json", None]
