@@ -161,14 +161,15 @@ def inverted_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return words.select("id", F.size("ws").alias("dl"), F.explode("ws").alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
-def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "id", text_col: str = "title", boost: float = TITLE_BOOST, year_col: str | None = None, fuzzy: bool = False, index: TextStatistics | None = None) -> DataFrame:
+def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "id", text_col: str = "title", boost: float = TITLE_BOOST, year_col: str | None = None, fuzzy: bool = False, index: TextStatistics | None = None, skip_own: bool = True) -> DataFrame:
     """query_id, id, score (6 decimals), rank: the best documents by title words for each query.
 
     ``queries``: query_id (unique), text (and year); a document needs half of the query's distinct
     words, rounded down, but one at least. Documents are found by a query's rarest words alone, by
     one more than may be missing, which loses none; only to those the other words' scores are added.
     With ``fuzzy`` a word is met by any of its near forms (:func:`nearwords.expansions`), whose scores add
-    up; without, by itself. ``index`` has the documents' postings and statistics ready, else they
+    up; without, by itself. A query doesn't find the document of its own id, unless ``skip_own`` is
+    false. ``index`` has the documents' postings and statistics ready, else they
     are counted here.
     """
     index = index or count_words(docs, id_col, text_col)
@@ -188,7 +189,8 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = boost * F.col("boost") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     cols = ["query_id", "id", "word", part.alias("part"), "need", *year]
-    met = weighted.where("probe").join(postings, "variant").where(~F.col("query_id").eqNullSafe(F.col("id"))).select(*cols)
+    own = F.col("query_id").eqNullSafe(F.col("id")) & F.lit(skip_own)
+    met = weighted.where("probe").join(postings, "variant").where(~own).select(*cols)
     pairs = met.select(F.col("query_id").alias("q_"), F.col("id").alias("id_")).distinct()
     others = weighted.where("not probe").join(pairs, F.col("query_id").eqNullSafe(F.col("q_"))).withColumnRenamed("variant", "variant_")
     added = others.join(postings, (F.col("variant") == F.col("variant_")) & F.col("id").eqNullSafe(F.col("id_"))).select(*cols)
@@ -258,7 +260,7 @@ def ranked_candidates(inputs: DataFrame, docs: DataFrame, asked: CandidateSearch
     are candidates. Word statistics are of all of ``docs``, or those of a stored ``index`` of their titles.
     """
     usable = asked.usable(inputs).where(F.size("reasons") == 0)
-    titles = bm25_top_k(usable.select("query_id", F.col("title").alias("text")), docs, k=1 << 30, fuzzy=asked.policy.fuzzy_title, index=index)
+    titles = bm25_top_k(usable.select("query_id", F.col("title").alias("text")), docs, k=1 << 30, fuzzy=asked.policy.fuzzy_title, index=index, skip_own=asked.stored)
     facts = docs.where("determination = 'canonical'").select("id", F.col("year").alias("doc_year"))
     own = usable.select("query_id", F.nullif("year", F.lit(0)).alias("year"), (F.col("query_id") if asked.stored else F.col("excluded_id")).alias("not_id"))
     met = titles.select("query_id", "id", F.col("score").alias("title_score")).join(facts, "id").join(own, "query_id").where(~F.col("id").eqNullSafe(F.col("not_id")))

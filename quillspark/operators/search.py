@@ -71,12 +71,36 @@ def fuzzy(column: str, word: str, edits: int | None = None) -> Column:
     return sure(F.exists(tokens(F.col(column)), close))
 
 
+def in_phrase(positions: dict[str, Column], words: list[str], slop: int) -> Column:
+    """Whether one occurrence of each word lies at most ``slop`` places, over the whole phrase, off its order.
+
+    ``positions`` has each distinct word's ascending positions in a text. A word's displacement is its position less its
+    place in the phrase; the phrase fits if all displacements lie within ``slop`` of each other, so a
+    word in between costs one, and neighbours that change places cost two. A word that the phrase
+    has twice needs two occurrences.
+    """
+    places = {w: [i for i, x in enumerate(words) if x == w] for w in words}
+
+    def from_low(low: Column) -> Column:
+        def last(w: str) -> Column:
+            # Places ascend and their ranges are equally long, so the first free position is the best for each.
+            taken = lambda before, i: F.array_min(F.filter(positions[w], lambda p: (p > before) & (p >= low + i) & (p <= low + i + slop)))
+            return F.aggregate(F.array(*map(F.lit, places[w])), F.lit(-1), taken)
+
+        return reduce(lambda a, b: a & b, (last(w).isNotNull() for w in places))
+
+    lows = F.array_distinct(F.flatten(F.transform(positions[words[0]], lambda p: F.sequence(p - slop, p))))
+    return sure(F.exists(lows, from_low))
+
+
 def phrase(column: str, words: str, slop: int = 0) -> Column:
-    """The words in order and adjacent; with slop, with up to so many other words among them."""
+    """The words in order and adjacent; with slop, within so many moves over the whole phrase (:func:`in_phrase`)."""
     wanted = [w.lower() for w in re.findall(r"\w+", words)]
-    between = r"(?: \S+){0,%d} " % slop if slop else " "
-    regex = r"(?:^|\s)" + between.join(re.escape(w) for w in wanted) + r"(?:\s|$)"
-    return sure(F.array_join(tokens(F.col(column)), " ").rlike(regex))
+    if not slop:
+        regex = r"(?:^|\s)" + " ".join(re.escape(w) for w in wanted) + r"(?:\s|$)"
+        return sure(F.array_join(tokens(F.col(column)), " ").rlike(regex))
+    places = lambda w: F.array_compact(F.transform(tokens(F.col(column)), lambda t, i: F.when(t == w, i)))
+    return in_phrase({w: places(w) for w in wanted}, wanted, slop)
 
 
 def exists(column: str) -> Column:

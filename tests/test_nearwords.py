@@ -79,12 +79,9 @@ DOCS = [
     [
         ("current_fuzzy_v1", 2000, {1}),
         ("no_year_filter_v1", 2000, {1, 2, 3, 6}),
-        ("no_year_filter_year_optional_v1", None, {1, 2, 3, 6}),
         ("soft_year_decay_v1", 2000, {1, 2, 3, 6}),
         ("soft_year_decay_year_optional_v1", None, {1, 2, 3, 6}),
         ("soft_year_decay_nonfuzzy_probe_v1", 2000, set()),
-        ("candidate_selection_v1", 2000, set()),
-        ("soft_year_decay_v1", None, set()),
         ("current_fuzzy_v1", None, set()),
     ],
 )
