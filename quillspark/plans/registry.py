@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.plans.index_queries import ORACLE, QUERIES
+from quillspark.plans.stream_queries import ORACLE, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
 
