@@ -305,18 +305,6 @@ def recorded(assessments: DataFrame, before: DataFrame, key: str, bits: int | No
     return add_or_find(before, assessments.withColumn("payload", F.when(keep, F.col("payload"))), key)
 
 
-def decide_in_turn(active: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Active decisions after manual ones were made in the order of ``place``; later ones win.
-
-    Both: reference_id, determination, canonical_id. Manual decisions override; whoever pointed to a
-    reference that became a duplicate now points to that one's canonical.
-    """
-    last = decisions.groupBy("reference_id").agg(F.max_by(F.struct("determination", "canonical_id"), "place").alias("d")).select("reference_id", "d.*")
-    merged = active.join(last.select("reference_id"), "reference_id", "left_anti").unionByName(last)
-    moved = last.where("determination = 'duplicate'").select(F.col("reference_id").alias("canonical_id"), F.col("canonical_id").alias("next_id"))
-    return merged.join(moved, "canonical_id", "left").select("reference_id", "determination", F.coalesce("next_id", "canonical_id").alias("canonical_id"))
-
-
 def merge_candidates(by_identifier: DataFrame, ranked: DataFrame) -> DataFrame:
     """One row a canonical: those found by identifier only first, then by score; with all routes."""
     a = by_identifier.select("query_id", "canonical_id", F.lit(True).alias("by_identifier"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import identifiers, text
-from quillspark.operators import linkage, nearwords, records, relational, search, vocabulary, workqueue
+from quillspark.operators import decisions, linkage, nearwords, records, relational, search, vocabulary, workqueue
 from quillspark.plans import corpus
 from quillspark.plans.record_queries import ORACLE, QUERIES
 from quillspark.plans.search_queries import TOKENS, query
@@ -506,15 +506,31 @@ def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.recorded(new, before, "k")
 
 
-@query("d18_manual_decisions", f"""WITH {corpus.DECISIONS_SQL}, m AS (SELECT c_custkey AS reference_id, c_custkey + 1 AS c FROM customer WHERE c_custkey % 10 = 3), a AS (
-    SELECT reference_id, duplicate_determination AS d, canonical_reference_id AS c FROM decisions WHERE reference_id NOT IN (SELECT reference_id FROM m) UNION ALL SELECT reference_id, 'duplicate', c FROM m)
-  SELECT a.reference_id, a.d AS determination, coalesce(m.c, a.c) AS canonical_id FROM a LEFT JOIN m ON m.reference_id = a.c""")
+_MANUAL_SQL = f"""WITH {corpus.DECISIONS_SQL}, m AS (SELECT c_custkey AS r, d.duplicate_determination = 'canonical' AND c_custkey NOT IN (SELECT canonical_reference_id FROM decisions WHERE canonical_reference_id IS NOT NULL) AS moves
+    FROM customer LEFT JOIN decisions d ON d.reference_id = c_custkey + 1 WHERE c_custkey % 10 = 3)"""
+
+
+def _manual(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every tenth customer's order becomes canonical, then a duplicate of the next order."""
+    active = corpus.order_decisions(spark, sf_dir).select("reference_id", F.col("duplicate_determination").alias("determination"), F.col("canonical_reference_id").alias("canonical_id"), F.lit("system").alias("authority"))
+    chosen = customer(spark, sf_dir).where("c_custkey % 10 = 3").select(F.col("c_custkey").alias("reference_id"), F.lit("person").alias("authority"))
+    first = chosen.select("*", F.lit("canonical").alias("determination"), F.lit(None).cast("long").alias("canonical_id"), (F.col("reference_id") * 2).alias("place"))
+    then = chosen.select("*", F.lit("duplicate").alias("determination"), (F.col("reference_id") + 1).alias("canonical_id"), (F.col("reference_id") * 2 + 1).alias("place"))
+    return decisions.decide_in_turn(active, first.unionByName(then))
+
+
+@query("d18_manual_decisions", f"""{_MANUAL_SQL}
+  SELECT reference_id, duplicate_determination AS determination, canonical_reference_id AS canonical_id FROM decisions WHERE reference_id NOT IN (SELECT r FROM m)
+  UNION ALL SELECT r, CASE WHEN moves THEN 'duplicate' ELSE 'canonical' END, CASE WHEN moves THEN r + 1 END FROM m""")
 def manual_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    active = corpus.order_decisions(spark, sf_dir).select("reference_id", F.col("duplicate_determination").alias("determination"), F.col("canonical_reference_id").alias("canonical_id"))
-    chosen = customer(spark, sf_dir).where("c_custkey % 10 = 3").select(F.col("c_custkey").alias("reference_id"))
-    first = chosen.select("reference_id", F.lit("canonical").alias("determination"), F.lit(None).cast("long").alias("canonical_id"), F.lit(1).alias("place"))
-    then = chosen.select("reference_id", F.lit("duplicate").alias("determination"), (F.col("reference_id") + 1).alias("canonical_id"), F.lit(2).alias("place"))
-    return linkage.decide_in_turn(active, first.unionByName(then))
+    return _manual(spark, sf_dir)[0].drop("authority")
+
+
+@query("d18_manual_outcomes", f"""{_MANUAL_SQL}, d AS (SELECT r, d.duplicate_determination IS NOT DISTINCT FROM 'canonical' AS was, n.duplicate_determination IS NOT DISTINCT FROM 'canonical' AS fits, moves FROM m LEFT JOIN decisions d ON d.reference_id = r LEFT JOIN decisions n ON n.reference_id = r + 1)
+  SELECT r * 2 AS place, 'canonical' AS determination, true AS activate, NOT was AS changed, NULL AS reason FROM d
+  UNION ALL SELECT r * 2 + 1, CASE WHEN fits THEN CASE WHEN moves THEN 'duplicate' ELSE 'decoupled' END END, coalesce(moves, false), fits, CASE WHEN NOT fits THEN 'the canonical is none' END FROM d""")
+def manual_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _manual(spark, sf_dir)[1].drop("reference_id")
 
 
 def _import_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
