@@ -206,20 +206,27 @@ ORACLE: dict[str, str] = {
           SELECT url, host, path, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*(?:rel\\s*=\\s*["'']?canonical|http-equiv\\s*=\\s*["'']?refresh)[^>]*>')) AS tag
           FROM p
         ), targets AS (
-          SELECT url, host, path, regexp_extract(tag, '(?is)(?:href\\s*=\\s*["'']?|content\\s*=\\s*["'']?[^"''>]*url\\s*=\\s*''?)([^"''>\\s]+)', 1) AS t
+          SELECT url, path, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS site,
+            replace(regexp_extract(tag, '(?is)(?:href\\s*=\\s*["'']?|content\\s*=\\s*["'']?[^"''>]*url\\s*=\\s*''?)([^"''>\\s]+)', 1), '&amp;', '&') AS t
           FROM tags WHERE contains(url, '://')
-        ), links AS (
-          SELECT host, path, CASE WHEN starts_with(t, '//') THEN 'http:' || t
-            WHEN starts_with(t, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t ELSE t END AS t
-          FROM targets
+        ), joined AS (
+          SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t
+            WHEN starts_with(t, '/') THEN site || t WHEN starts_with(t, '?') THEN site || path || t
+            ELSE site || CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || t END AS t, starts_with(t, '?') AS same_path
+          FROM targets WHERE t <> '' AND NOT starts_with(t, '#') AND (regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') OR NOT regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:'))
+        ), parts AS (
+          SELECT url, same_path, regexp_extract(t, '(?s)^.*?://([^/?#]*)', 1) AS h, regexp_extract(t, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS raw, regexp_extract(t, '(?s)^.*?://[^/?#]*[^?#]*(\\?[^#]*)?', 1) AS q
+          FROM joined
+        ), undotted AS (
+          SELECT url, h, q, CASE WHEN same_path OR raw = '' THEN raw ELSE list_reduce(string_split(raw, '/'), lambda done, x: CASE WHEN x = '.' THEN done WHEN x = '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || x END)
+            || CASE WHEN regexp_matches(raw, '/\\.\\.?$') THEN '/' ELSE '' END END AS path FROM parts
         ), edges AS (
-          SELECT host || chr(10) || path AS a,
-            translate(regexp_extract(t, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
-              || chr(10) || regexp_extract(t, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS b
-          FROM links WHERE contains(t, '://')
+          SELECT translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || chr(10) || coalesce(nullif(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), ''), '/') || regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*(\\?[^#]*)?', 1) AS a,
+            translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || chr(10) || coalesce(nullif(path, ''), '/') || q AS b
+          FROM undotted
         ), both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
         reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
-        nodes AS (SELECT b AS node, split_part(b, chr(10), 1) AS host, substr(b, instr(b, chr(10)) + 1) AS path FROM (SELECT DISTINCT b FROM reach)),
+        nodes AS (SELECT b AS node, split_part(b, chr(10), 1) AS host, split_part(substr(b, instr(b, chr(10)) + 1), '?', 1) AS path FROM (SELECT DISTINCT b FROM reach)),
         judged AS (
           SELECT host, path, rhost || rpath AS rule, verdict FROM (SELECT host, path FROM p UNION SELECT host, path FROM nodes) u
           JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
@@ -230,6 +237,6 @@ ORACLE: dict[str, str] = {
         )
         SELECT p.page_id, p.host, p.path, j.rule, coalesce(j.verdict, a.verdict, 'allow') AS verdict
         FROM p LEFT JOIN judged j ON j.host = p.host AND j.path = p.path
-        LEFT JOIN passed a ON a.a = p.host || chr(10) || p.path
+        LEFT JOIN passed a ON contains(p.url, '://') AND a.a = p.host || chr(10) || coalesce(nullif(p.path, ''), '/') || regexp_extract(p.url, '(?s)^.*?://[^/?#]*[^?#]*(\\?[^#]*)?', 1)
     """,
 }

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, decontaminate, line_dedup, queries, sharding, simhash, suffix_dedup, topk, url_filter
-from tests.conftest import DATA
+from tests.conftest import DATA, TABLES
 
 SF = f"{DATA}/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -247,11 +247,69 @@ def test_url_filter_rules_and_aliases(spark):
             (10, "fr.example.net", "/de/7", "net/de/", "allow"),
         ]
     )
-    redirects = spark.createDataFrame([("w.org", "/fr/9", "p.net", "/de/2")], "host string, path string, to_host string, to_path string")
+    redirects = spark.createDataFrame([("http://w.org/fr/9", "http://p.net/de/2"), (None, "http://p.net/de/2")], "url string, to string")
     judged = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), queries.URL_RULES, redirects)
     assert {r["verdict"] for r in judged.where("page_id = 5").collect()} == {"allow"}
 
 
+LINKS = [
+    # page's url, link, what it leads to
+    ("http://e.io/dir/a", "b", "http://e.io/dir/b"),
+    ("http://e.io/dir/a?x=1#f", "../b/./c?y=2#g", "http://e.io/b/c?y=2"),
+    ("http://e.io/dir/a/", "..", "http://e.io/dir/"),
+    ("http://e.io/dir/a", "../../../b", "http://e.io/b"),
+    ("http://e.io/dir/a", "./", "http://e.io/dir/"),
+    ("http://e.io", "b", "http://e.io/b"),
+    ("http://e.io/p?id=1", "?id=2&amp;z=3", "http://e.io/p?id=2&z=3"),
+    ("http://e.io/dir/a", "/x/../y", "http://e.io/y"),
+    ("http://e.io/dir/a", "//F.io", "http://F.io/"),
+    ("http://e.io/dir/a", "https://f.io?u=http://g.io/", "https://f.io/?u=http://g.io/"),
+    ("http://e.io/dir/a", "b?u=http://g.io/", "http://e.io/dir/b?u=http://g.io/"),
+    ("http://e.io/dir/a", "#top", None),
+    ("http://e.io/dir/a", "", None),
+    ("http://e.io/dir/a", "mailto:a@b.io", None),
+    ("no scheme", "b", None),
+    ("http://e.io/a//b", "c", "http://e.io/a//c"),
+]
+
+
+def test_links_are_resolved_against_their_page(spark):
+    rows = spark.createDataFrame([(u, t) for u, t, _ in LINKS], "url string, link string")
+    found = rows.select(url_filter.resolved(F.col("url"), F.col("link")).alias("to")).collect()
+    assert [r["to"] for r in found] == [to for _, _, to in LINKS]
+
+
+def test_links_carry_decisions_to_their_own_urls_only(spark):
+    pages = [
+        (1, "http://e.io/dir/a", '<link rel="canonical" href="b">'),
+        (2, "http://e.io/dir/b", '<meta http-equiv="refresh" content="0; url=http://x.org/es/1">'),
+        (3, "http://b.io/p?id=1", '<link rel="canonical" href="http://x.org/es/2">'),
+        (4, "http://b.io/p?id=2", None),
+        (5, "https://B.io/p?id=1#top", None),
+    ]
+    found = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), queries.URL_RULES)
+    assert {r["page_id"]: r["verdict"] for r in found.collect()} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "block"}
+
+
+def test_generated_links_give_the_rows_of_recursive_sql(spark, compare, tmp_path):
+    rng = random.Random(77)
+    hosts = ["a.com", "x.net", "fr.y.org", "Example.com", "z.io", "example.net"]
+    paths = ["", "/", "/en/1", "/en/7", "/de/8", "/es/1", "/es/2/x", "/fr/1", "/fr/2?id=1", "/fr/2?id=2#f", "/d/e/f"]
+    links = ["b", "../en/1", "?id=2", "/es/1", "//x.net/de/1", "#top", "mailto:x@y", "./../fr/2?id=1&amp;z=2", "http://a.com/en/1", "http://example.net/de/8", "HTTP://Z.io/fr/1"]
+    rows = []
+    for i in range(160):
+        link = rng.choice([*links, rng.choice(["http://", "https://"]) + rng.choice(hosts) + rng.choice(paths)])
+        tag = rng.choice([f'<link rel="canonical" href="{link}">', f"<meta http-equiv=refresh content='0; url={link}'>", "<p>none</p>", None, f'<a href="{link}">'])
+        rows.append((i, rng.choice(["http://", "https://"]) + rng.choice(hosts) + rng.choice(paths) if i % 20 else rng.choice([None, "no scheme"]), tag))
+    for name in TABLES:
+        (tmp_path / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    (tmp_path / "pages.parquet").unlink()
+    spark.createDataFrame(rows, "page_id long, url string, html string").toPandas().to_parquet(tmp_path / "pages.parquet")
+    found = queries.op7_url_filter(spark, str(tmp_path))
+    assert found.where("rule is null and verdict = 'block'").count() > 3
+    compare(found, queries.ORACLE["op7_url_filter"], str(tmp_path))
+
+
 def test_sharding_counts_slots_and_digests(spark, tmp_path):
     docs = queries.table(spark, SF, "documents").unionByName(documents(spark, AWKWARD).select("doc_id", "text", "lang", "source", "n_chars"))
     n, rows = docs.count(), sharding.shard(docs, 24).collect()
