@@ -188,13 +188,97 @@ def scheme_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.members(_nation_triples(spark, sf_dir)).withColumn("members", F.array_join("members", ","))
 
 
-@query("v05_scheme_properties", "SELECT r_name AS scheme, 'property ' || r_name AS property FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)")
+def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vocabulary: regions are schemes of nations, with properties of each kind and some that only look like one.
+
+    The last region's annotation class is no coding annotation; every even one has a second restriction; the second
+    and third regions' classes lie below the class of concepts.
+    """
+    v, regions, key = vocabulary, corpus.table(spark, sf_dir, "region"), F.col("r_regionkey")
+    row = lambda s, p, o, where="true": regions.where(where).select((F.concat(F.lit(s), "r_name") if s else F.col("r_name")).alias("s"), F.lit(p).alias("p"), o.alias("o"))
+    of = lambda text: F.concat(F.lit(text), "r_name")
+    rows = [
+        row("property ", v.TYPE, F.lit(v.OBJECT_PROPERTY)),
+        row("property ", v.RANGE, of("annotation ")),
+        row("annotation ", v.SUB_CLASS_OF, F.when(key < 4, v.CODING_ANNOTATION).otherwise("something")),
+        row("annotation ", v.SUB_CLASS_OF, of("node ")),
+        row("node ", v.ON_PROPERTY, F.lit(v.CODED_VALUE)),
+        row("node ", v.ALL_VALUES_FROM, of("class ")),
+        row("annotation ", v.SUB_CLASS_OF, of("other node "), "r_regionkey % 2 = 0"),
+        row("other node ", v.ON_PROPERTY, F.lit("other value"), "r_regionkey % 2 = 0"),
+        row("other node ", v.ALL_VALUES_FROM, F.lit("class of nothing"), "r_regionkey % 2 = 0"),
+        row("", v.TYPE, F.lit(v.CONCEPT_SCHEME), "r_regionkey = 0"),
+        row("direct ", v.RANGE, F.col("r_name")),
+        row("direct ", v.TYPE, F.lit(v.OBJECT_PROPERTY)),
+        row("class ", v.SUB_CLASS_OF, F.lit("class in between"), "r_regionkey IN (1, 2)"),
+        row("below ", v.RANGE, of("class ")),
+        row("below ", v.TYPE, F.lit(v.OBJECT_PROPERTY), "r_regionkey < 2"),
+        row("bare ", v.RANGE, F.lit(v.CONCEPT), "r_regionkey = 3"),
+        row("bare ", v.TYPE, F.lit(v.OBJECT_PROPERTY), "r_regionkey = 3"),
+        row("class in between", v.SUB_CLASS_OF, F.lit(v.CONCEPT), "r_regionkey = 0").withColumn("s", F.lit("class in between")),
+        nation(spark, sf_dir).select(F.col("n_name").alias("s"), F.lit(v.TYPE).alias("p"), F.lit(v.CONCEPT).alias("o")),
+    ]
+    out = _nation_triples(spark, sf_dir)
+    for r in rows:
+        out = out.unionByName(r)
+    return out
+
+
+@query("v05_scheme_properties", "SELECT r_name AS scheme, 'property ' || r_name AS property FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation) AND r_regionkey < 4")
 def scheme_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    regions = corpus.table(spark, sf_dir, "region").select("r_name")
-    row = lambda s, p, o: regions.select(F.concat(F.lit(s), "r_name").alias("s"), F.lit(p).alias("p"), F.concat(F.lit(o), "r_name").alias("o"))
-    owl = "http://www.w3.org/2002/07/owl#"
-    shapes = row("shape ", vocabulary.SUB_CLASS_OF, "node ").unionByName(row("node ", owl + "onProperty", "property ")).unionByName(row("node ", owl + "allValuesFrom", "class "))
-    return vocabulary.properties(_nation_triples(spark, sf_dir).unionByName(shapes))
+    return vocabulary.properties(_vocabulary(spark, sf_dir))
+
+
+@query("v06_unwrapped_properties", "SELECT CASE r_regionkey WHEN 0 THEN 'direct ' WHEN 1 THEN 'below ' WHEN 3 THEN 'bare ' END || r_name AS property FROM region WHERE r_regionkey IN (0, 1, 3)")
+def unwrapped_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.unwrapped_properties(_vocabulary(spark, sf_dir))
+
+
+@query("v04_discovered_concepts", """WITH c AS (SELECT c_custkey, n_name, r_name, r_regionkey, c_custkey % 10 <> 0 AS valid, c_custkey % 4 = 0 AS bare, (SELECT r_name FROM region WHERE r_regionkey = 0) AS first FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)
+  SELECT c_custkey AS reference_id, CASE WHEN bare OR (valid AND c_custkey % 3 <> 1) THEN n_name ELSE '' END AS concepts, CASE WHEN bare OR (valid AND c_custkey % 3 <> 1) THEN 'label of ' || n_name ELSE '' END AS labels,
+    concat_ws(',', CASE WHEN bare THEN 'direct ' || first END, CASE WHEN valid AND r_regionkey < 4 THEN 'property ' || r_name END) AS evaluated FROM c""")
+def discovered_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    rows = customer(spark, sf_dir).join(nation(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
+    first = F.broadcast(corpus.table(spark, sf_dir, "region").where("r_regionkey = 0").select(F.concat(F.lit("direct "), "r_name").alias("first")))
+    status = F.when(key % 3 == 0, "coded").when(key % 3 == 1, "not_coded")
+    wrapped = F.struct(status.alias("status"), F.struct(F.when(key % 10 == 0, "nowhere").otherwise(F.col("n_name")).alias("@id")).alias("value"))
+    alone = F.to_json(F.struct(F.col("n_name").alias("@id")))
+    whole = F.concat(F.lit('{"topic":'), F.to_json(wrapped), F.lit(',"'), F.when(key % 4 == 0, F.col("first")).otherwise("unknown"), F.lit('":'), alone, F.lit("}"))
+    values = vocabulary.coded_rows(rows.join(first).select(key.alias("reference_id"), whole.alias("data")))
+    found = vocabulary.project_discovered(values, _vocabulary(spark, sf_dir))
+    return found.select("reference_id", *(F.array_join(c, ",").alias(c) for c in ("concepts", "labels", "evaluated")))
+
+
+@query("v07_shape_violations", """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders)
+  SELECT c AS graph, 'f' || k AS s, NULL AS path, 'or' AS kind, 1 AS n FROM o WHERE k % 4 = 0 UNION ALL
+  SELECT c, 'f' || k, 'hasContext', 'class', 1 FROM o WHERE k % 4 <> 0 AND k % 3 = 0 UNION ALL
+  SELECT c, 'i' || c, 'hasFinding', 'class', count(*) FROM o WHERE k % 7 = 0 GROUP BY c UNION ALL
+  SELECT c, 'i' || c, 'hasAppliedConcept', 'nodeKind', count(*) FROM o WHERE k % 5 = 0 GROUP BY c UNION ALL
+  SELECT c, 'i' || c, 'hasAppliedConcept', 'class', count(*) FROM o WHERE k % 5 = 0 GROUP BY c UNION ALL
+  SELECT DISTINCT c, 'e' || c, 'hasInvestigation', 'minCount', 1 FROM o WHERE c % 2 = 1""")
+def shape_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders as findings of one investigation, with faults of every kind."""
+    v, rows = vocabulary, orders(spark, sf_dir).select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c))
+    row = lambda where, s, p, o, iri=True: rows.where(where).select(F.col("c").alias("graph"), s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(iri).alias("iri")).distinct()
+    e = v.EVIDENCE
+    parts = [
+        row("true", name("f", "k"), v.TYPE, F.lit(e + "Finding")),
+        row("k % 4 <> 0", name("f", "k"), e + "hasContext", name("x", "k")),
+        row("k % 3 <> 0", name("x", "k"), v.TYPE, F.lit("special context")),
+        row("true", name("i", "c"), v.TYPE, F.lit(e + "Investigation")),
+        row("true", name("i", "c"), e + "hasFinding", F.when(F.col("k") % 7 == 0, name("g", "k")).otherwise(name("f", "k"))),
+        row("k % 5 = 0", name("i", "c"), e + "hasAppliedConcept", name("text ", "k"), False),
+        row("k % 5 <> 0", name("i", "c"), e + "hasAppliedConcept", F.lit("a concept")),
+        row("true", name("e", "c"), v.TYPE, F.lit(e + "LinkedDataEnhancement")),
+        row("c % 2 = 0", name("e", "c"), e + "hasInvestigation", name("i", "c")),
+    ]
+    data = parts[0]
+    for p in parts[1:]:
+        data = data.unionByName(p)
+    ontology = spark.createDataFrame([("special context", v.SUB_CLASS_OF, e + "Context"), ("a concept", v.TYPE, "kind of concept"), ("kind of concept", v.SUB_CLASS_OF, v.CONCEPT)], "s string, p string, o string")
+    return v.shape_violations(data, ontology)
 
 
 @query("v07_violations", "SELECT s_name AS s, p FROM supplier, (VALUES ('name'), ('balance')) t(p) WHERE p = 'balance' AND s_nationkey % 2 = 1")
