@@ -96,6 +96,13 @@ def release(written: DataFrame | str, spark: SparkSession | None = None) -> None
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that fit the pattern, in any store that Spark reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return [f.getPath().toString() for f in found or []]
+
+
 def drop_table(df: DataFrame) -> None:
     """Drop the table behind a frame of :func:`durable_bucketed`, and its files."""
     spark, table = df.sparkSession, getattr(df, "_quill_table", None)

@@ -38,11 +38,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import durable, new_path, release, text_batches
+from quillspark.llm.common import durable, listed, new_path, release, text_batches
 
 WINDOW, GRAM = 400, 64
 #: Bytes of text in a chunk, bytes hashed at a time, windows of a bucket, batches of the index.
@@ -207,24 +206,38 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class SuffixIndex:
-    """Levels of suffix arrays in a folder; a level of rank r holds 2**r batches."""
+    """Levels of suffix arrays in a folder; a level of rank r holds 2**r batches.
+
+    Numbered states list the files that count. A call's files are all written before its state is, and
+    what that state leaves out is deleted only afterwards, so a call that fails at any write leaves the
+    index as it was before.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
         self.spark, self.path = spark, path or new_path(spark, "suffix-index")
-        try:
-            rows = spark.read.schema("kind string, rank int, path string").json(f"{self.path}/manifest").collect()
-        except AnalysisException:
-            rows = []
+        self._open()
+
+    def _open(self) -> None:
+        """The last state that was written whole."""
+        self.number = max((int(p.split("/")[-2]) for p in listed(self.spark, f"{self.path}/states/*/_SUCCESS")), default=0)
+        rows = self.spark.read.schema("kind string, rank int, path string").json(f"{self.path}/states/{self.number:08d}").collect() if self.number else []
         self.levels = sorted(((r["rank"], r["path"]) for r in rows if r["kind"] == "level"), reverse=True)
         self.found = [r["path"] for r in rows if r["kind"] == "matches"]
         self.samples = [r["path"] for r in rows if r["kind"] == "samples"]
+        self.published, self.stale = {p for _, p in self.levels}, []
 
     def _kept(self, df: DataFrame, name: str) -> str:
         return durable(df, name, folder=self.path)._quill_path
 
     def _note(self) -> None:
+        """Write the next state, then delete what only the ones before it name."""
         rows = [("level", r, p) for r, p in self.levels] + [("matches", 0, p) for p in self.found] + [("samples", 0, p) for p in self.samples]
-        self.spark.createDataFrame(rows, "kind string, rank int, path string").coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest")
+        self.spark.createDataFrame(rows, "kind string, rank int, path string").coalesce(1).write.json(f"{self.path}/states/{self.number + 1:08d}")
+        for old in self.stale:
+            release(old, self.spark)
+        if self.number:
+            release(f"{self.path}/states/{self.number:08d}", self.spark)
+        self.number, self.published, self.stale = self.number + 1, {p for _, p in self.levels}, []
 
     def _array(self, entries: DataFrame) -> str:
         grouped = entries.groupBy("key", "cover").agg(F.sum("n").alias("n"), F.first("chunk").alias("chunk"), F.first("place").alias("place"), F.first("windows").alias("windows"))
@@ -234,7 +247,14 @@ class SuffixIndex:
         return self.spark.read.parquet(*paths)
 
     def add(self, docs: DataFrame, batches: int = 1) -> None:
-        """Take documents in, as so many batches."""
+        """Take documents in, as so many batches, all of them or, if anything fails, none."""
+        try:
+            self._add(docs, batches)
+        except BaseException:
+            self._open()
+            raise
+
+    def _add(self, docs: DataFrame, batches: int) -> None:
         text_batches(self.spark)
         slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         path = durable(slim.mapInArrow(_sample(len(self.samples)), _SAMPLED), "suffix-samples", "kind", folder=self.path)._quill_path
@@ -253,7 +273,10 @@ class SuffixIndex:
             _, level = self.levels.pop()
             merged, rank = self._array(self._read([level, new])), rank + 1
             for old in (level, new):
-                release(old, self.spark)
+                if old in self.published:
+                    self.stale.append(old)
+                else:
+                    release(old, self.spark)
             new = merged
         self.levels.append((rank, new))
 

@@ -427,6 +427,43 @@ def test_an_index_takes_later_batches_in(spark, tmp_path):
     assert Counter(map(tuple, found)) == Counter(without_repeats(rows))
 
 
+def test_a_failed_batch_leaves_the_index_as_it_was(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    rng = random.Random(15)
+    text = lambda n: "".join(rng.choice("abcdeé \n") for _ in range(n))
+    shared = text(700)
+    rows = [(i, text(100) + shared[rng.randint(0, 99) :]) for i in range(6)]
+    schema, folder = "doc_id long, text string", str(tmp_path / "index")
+    suffix_dedup.SuffixIndex(spark, folder).add(spark.createDataFrame(rows[:3], schema))
+    kept = lambda n: Counter(map(tuple, suffix_dedup.without_repeats(suffix_dedup.SuffixIndex(spark, folder)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect())) == Counter(without_repeats(rows[:n]))
+    writes = []
+
+    def failing(real, at):
+        def write(self, path, *args, **kwargs):
+            writes.append(path)
+            if len(writes) == at:
+                raise OSError(path)
+            return real(self, path, *args, **kwargs)
+
+        return write
+
+    # The second batch writes its sample, its array, two lists of matches, the merged array and the state.
+    for at in range(1, 7):
+        writes.clear()
+        with monkeypatch.context() as broken:
+            for name in ("parquet", "json"):
+                broken.setattr(DataFrameWriter, name, failing(getattr(DataFrameWriter, name), at))
+            with pytest.raises(OSError):
+                suffix_dedup.SuffixIndex(spark, folder).add(spark.createDataFrame(rows[3:], schema))
+        if at > 4:
+            assert kept(3)
+    assert "states" in writes[-1]
+    index = suffix_dedup.SuffixIndex(spark, folder)
+    index.add(spark.createDataFrame(rows[3:], schema))
+    assert [rank for rank, _ in index.levels] == [1] and kept(6)
+
+
 def test_neighbours_in_key_order_over_batches():
     import numpy as np
     import pyarrow as pa
