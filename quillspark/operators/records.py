@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators import vocabulary
+
 
 def truthy(name: str, kind: str) -> Column:
     """The column, or null where it is empty: 0, '' and [] count as absent."""
@@ -173,6 +175,37 @@ def search_documents(layers: DataFrame, annotations: DataFrame, decisions: DataF
     return out.withColumns({c: F.coalesce(c, none) for c in ("annotations", "evaluated_schemes")}).withColumnRenamed("canonical_id", "id")
 
 
+def projected_scores(annotations: DataFrame, decisions: DataFrame, scores: dict[str, tuple[str, str | None]]) -> DataFrame:
+    """(id, and a score by name) of canonical-like references: that of the last annotation of a scheme, or of a scheme and label.
+
+    ``annotations``: reference_id, created_at, tie, position, scheme, label, annotation_type, value, score, data_score. The
+    last one counts outright (see :func:`inclusion_score`), a canonical's own after its duplicates'.
+    """
+    rows = star(annotations, decisions).withColumn("score_", inclusion_score(F.col("annotation_type"), F.col("value"), F.col("score"), F.col("data_score")))
+    rank = F.struct("own", "created_at", "tie", "position")
+    of = lambda scheme, label: (F.col("scheme") == scheme) & (F.lit(True) if label is None else F.col("label") == label)
+    last = [F.max_by("score_", F.when(of(*key), rank)).alias(name) for name, key in scores.items()]
+    return rows.groupBy(F.col("canonical_id").alias("id")).agg(*last)
+
+
+def linked_fields(layers: DataFrame, decisions: DataFrame, triples: DataFrame, country_properties: list[str], regions: DataFrame) -> DataFrame:
+    """(id, concepts, labels, evaluated, countries, regions) of canonical-like references with linked data.
+
+    ``layers``: reference_id, created_at, tie, data (linked-data JSON), of which the last one of a star counts outright;
+    ``triples`` is the vocabulary, ``regions`` a table (country, region).
+    """
+    last = last_wins(star(layers, decisions).drop("reference_id"), "canonical_id", ["own", "created_at", "tie"], "data")
+    values = vocabulary.coded_rows(last.select(F.col("canonical_id").alias("reference_id"), "data"))
+    found = vocabulary.project_discovered(values, triples)
+    there = vocabulary.countries(values, country_properties)
+    out = last.select(F.col("canonical_id").alias("reference_id"))
+    for part in (found, there, vocabulary.regions_of(there, regions)):
+        out = out.join(part, "reference_id", "left")
+    none = F.array().cast("array<string>")
+    fields = ("concepts", "labels", "evaluated", "countries", "regions")
+    return out.select(F.col("reference_id").alias("id"), *(F.coalesce(c, none).alias(c) for c in fields))
+
+
 def resync(documents: DataFrame, changed: DataFrame, decisions: DataFrame, fresh: DataFrame) -> DataFrame:
     """``documents`` after some references changed: those of their canonicals are replaced by
     ``fresh`` ones, and those of references that now are duplicates go."""

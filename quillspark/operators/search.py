@@ -99,8 +99,12 @@ def phrase(column: str, words: str, slop: int = 0) -> Column:
     if not slop:
         regex = r"(?:^|\s)" + " ".join(re.escape(w) for w in wanted) + r"(?:\s|$)"
         return sure(F.array_join(tokens(F.col(column)), " ").rlike(regex))
-    places = lambda w: F.array_compact(F.transform(tokens(F.col(column)), lambda t, i: F.when(t == w, i)))
-    return in_phrase({w: places(w) for w in wanted}, wanted, slop)
+    distinct = list(dict.fromkeys(wanted))
+    places = lambda t, w: F.array_compact(F.transform(t, lambda x, i: F.when(x == w, i)))
+    # Arrays of one item bind the words, then their places, to names, so that neither is worked out again.
+    fits = lambda s: in_phrase({w: s[f"p{i}"] for i, w in enumerate(distinct)}, wanted, slop)
+    placed = lambda t: F.exists(F.array(F.struct(*(places(t, w).alias(f"p{i}") for i, w in enumerate(distinct)))), fits)
+    return sure(F.exists(F.array(tokens(F.col(column))), placed))
 
 
 def exists(column: str) -> Column:

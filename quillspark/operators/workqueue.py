@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators.relational import bulk_update, first_of_each
+from quillspark.operators.relational import bulk_update, first_of_each, insert_ignore
+from quillspark.operators.search import Query, scan
 
 #: The states that a state may change to.
 TRANSITIONS = {
@@ -20,6 +21,8 @@ TRANSITIONS = {
     "indexing_failed": [],
 }
 MAX_RETRIES = 3
+#: Fixed value: hits of a search request that are taken in at once.
+PAGE_SIZE = 10_000
 
 
 def allowed(before: Column, after: Column) -> Column:
@@ -39,6 +42,23 @@ def claim(pending: DataFrame, robot, n: int) -> DataFrame:
     return oldest.orderBy("created_at", "id").limit(n)
 
 
+def request_pages(existing: DataFrame, docs: DataFrame, query: Query, request, robot, key: str, size: int = PAGE_SIZE, after=None) -> DataFrame:
+    """New pending rows of a search request for hits beyond ``after``, with the page that each is of.
+
+    Hits come in the order of their unique numeric key, ``size`` a page. A reference that the request asks for already,
+    other than as a retry, is left out, so pages may be taken in again. Pages that are taken in in order leave a
+    point to go on from: :func:`resume_key`.
+    """
+    found = scan(docs if after is None else docs.where(F.col(key) > F.lit(after)), query, key, size)
+    new = found.select(F.lit(request).alias("request_id"), F.col(key).alias("reference_id"), F.lit(robot).alias("robot_id"), F.lit("pending").alias("status"), "page")
+    return insert_ignore(existing.where("retry_of is null"), new, ["request_id", "reference_id"])
+
+
+def resume_key(existing: DataFrame, request):
+    """The last reference of a request that was taken in, or None."""
+    return existing.where((F.col("request_id") == F.lit(request)) & F.col("retry_of").isNull()).agg(F.max("reference_id")).first()[0]
+
+
 def lease(pending: DataFrame, claimed: DataFrame, now: Column, minutes: int) -> DataFrame:
     """The queue with the claimed rows in processing until the lease ends."""
     if minutes <= 0:

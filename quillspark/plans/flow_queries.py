@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import identifiers, text
-from quillspark.operators import decisions, linkage, nearwords, records, relational, search, vocabulary, workqueue
+from quillspark.operators import decisions, lineage, linkage, nearwords, records, relational, search, vocabulary, workqueue
 from quillspark.plans import corpus
 from quillspark.plans.record_queries import ORACLE, QUERIES
 from quillspark.plans.search_queries import TOKENS, query
@@ -455,6 +455,34 @@ def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("id", "quantity", "part", "abstract", F.array_join("annotations", ",").alias("annotations"), F.array_join("evaluated_schemes", ",").alias("evaluated"))
 
 
+@query("p02_linked_fields", f"""WITH {corpus.DECISIONS_SQL}, o AS (SELECT o_orderkey AS r, n_name, r_name, r_regionkey, o_orderkey % 3 AS status FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE o_orderkey % 5 <> 0),
+  l AS (SELECT coalesce(canonical_reference_id, reference_id) AS id, o.* FROM decisions JOIN o ON o.r = reference_id QUALIFY row_number() OVER (PARTITION BY id ORDER BY r = id DESC, r DESC) = 1)
+  SELECT id, CASE WHEN status <> 1 THEN n_name ELSE '' END AS concepts, CASE WHEN status <> 1 THEN 'label of ' || n_name ELSE '' END AS labels, CASE WHEN r_regionkey < 4 THEN 'property ' || r_name ELSE '' END AS evaluated,
+    CASE WHEN r % 2 = 0 THEN upper(n_name) ELSE '' END AS countries, CASE WHEN r % 2 = 0 THEN r_name ELSE '' END AS regions FROM l""")
+def linked_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' linked data, four of five have it: their customer's nation as a coded concept, and of even ones as a country."""
+    key = F.col("o_orderkey")
+    places = nation(spark, sf_dir).join(corpus.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = orders(spark, sf_dir).where("o_orderkey % 5 <> 0").join(customer(spark, sf_dir), F.col("c_custkey") == F.col("o_custkey")).join(places, F.col("n_nationkey") == F.col("c_nationkey"))
+    coded = F.struct(F.when(key % 3 == 0, "coded").when(key % 3 == 1, "not_coded").alias("status"), F.struct(F.col("n_name").alias("@id")).alias("value"))
+    place = F.when(key % 2 == 0, F.struct(F.lit("coded").alias("status"), F.struct(F.lower("n_name").alias("@value")).alias("value")))
+    layers = rows.select(key.alias("reference_id"), F.lit(1).alias("created_at"), key.alias("tie"), F.to_json(F.struct(coded.alias("topic"), place.alias("place"))).alias("data"))
+    regions = places.select(F.upper("n_name").alias("country"), F.col("r_name").alias("region"))
+    found = records.linked_fields(layers, corpus.order_decisions(spark, sf_dir), _vocabulary(spark, sf_dir), ["place"], regions)
+    return found.select("id", *(F.array_join(c, ",").alias(c) for c in ("concepts", "labels", "evaluated", "countries", "regions")))
+
+
+@query("p02_projected_scores", f"""WITH {corpus.DECISIONS_SQL}, a AS (SELECT coalesce(d.canonical_reference_id, d.reference_id) AS id, d.canonical_reference_id IS NULL AS own, l_shipdate AS ship, l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(l_quantity AS VARCHAR) AS tie, l_linenumber AS n,
+    l_returnflag = 'R' AS risky, CASE WHEN l_linestatus = 'O' THEN l_discount ELSE 1 - l_discount END AS s FROM lineitem JOIN decisions d ON d.reference_id = l_orderkey)
+  SELECT id, round(arg_max(s, row(own, ship, tie, n)), 6) AS inclusion, round(arg_max(s, row(own, ship, tie, n)) FILTER (risky), 6) AS risk FROM a GROUP BY id""")
+def projected_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as annotations of their order, true where open; the last one of the scheme, and of those labelled R."""
+    none = F.lit(None).cast("double")
+    rows = lineitem(spark, sf_dir).select(F.col("l_orderkey").alias("reference_id"), F.col("l_shipdate").alias("created_at"), F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")]).alias("tie"), F.col("l_linenumber").alias("position"), F.lit("inclusion").alias("scheme"), F.col("l_returnflag").alias("label"), F.lit("boolean").alias("annotation_type"), (F.col("l_linestatus") == "O").alias("value"), F.col("l_discount").alias("score"), none.alias("data_score"))
+    found = records.projected_scores(rows, corpus.order_decisions(spark, sf_dir), {"inclusion": ("inclusion", None), "risk": ("inclusion", "R")})
+    return found.select("id", F.round("inclusion", 6).alias("inclusion"), F.round("risk", 6).alias("risk"))
+
+
 @query("p04_inclusion_score", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag = 'A' THEN 0.5 WHEN l_returnflag = 'R' THEN CASE WHEN l_linestatus = 'O' THEN l_discount ELSE 1 - l_discount END ELSE l_discount END AS score FROM lineitem""")
 def inclusion_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = F.col("l_returnflag")
@@ -563,13 +591,13 @@ def searchable_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.usable(rows).select("query_id", F.array_join("reasons", "; ").alias("reasons"))
 
 
-@query("d09_merged_candidates", """WITH a AS (SELECT DISTINCT l_orderkey AS q, l_partkey AS c FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT l_orderkey AS q, l_partkey AS c, max(l_discount) AS s FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL),
+@query("d09_merged_candidates", """WITH a AS (SELECT DISTINCT l_orderkey AS q, l_partkey AS c FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT l_orderkey AS q, l_partkey AS c, max(l_discount) AS s FROM lineitem GROUP BY ALL),
   m AS (SELECT coalesce(a.q, b.q) AS query_id, coalesce(a.c, b.c) AS canonical_id, a.q IS NOT NULL AS by_identifier, b.q IS NOT NULL AS by_search, s AS score FROM a FULL JOIN b ON a.q = b.q AND a.c = b.c)
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY by_search, score DESC NULLS FIRST, canonical_id) AS INTEGER) AS place FROM m""")
 def merged_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lineitem(spark, sf_dir).select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("id"), "l_returnflag", "l_discount")
     known = rows.where("l_returnflag = 'R'").select("query_id", F.col("id").alias("canonical_id")).distinct()
-    ranked = rows.where("l_returnflag <> 'N'").groupBy("query_id", "id").agg(F.max("l_discount").alias("score"))
+    ranked = rows.groupBy("query_id", "id").agg(F.max("l_discount").alias("score"))
     return linkage.merge_candidates(known, ranked)
 
 
@@ -643,6 +671,22 @@ def search_to_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.insert_ignore(old, hits, ["reference_id", "robot_id"]).select("reference_id", F.col("robot_id").cast("int").alias("robot_id"))
 
 
+@query("t04_request_pages", "SELECT 7 AS request_id, o_orderkey AS reference_id, 'pending' AS status FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 10 <> 0")
+def request_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search request whose first three pages of a hundred were taken in, gone on with from there; some had been asked for."""
+    docs = orders(spark, sf_dir).withColumnRenamed("o_orderkey", "id")
+    asked = search.Query(F.col("o_orderstatus") == "P")
+    columns = ["request_id", "reference_id", "status", F.lit(None).cast("long").alias("retry_of")]
+    # Every tenth is there from before; a retry of another is no reason to leave it out.
+    early = docs.where("o_orderstatus = 'P' AND id % 10 IN (0, 1)").select(F.lit(7).alias("request_id"), F.col("id").alias("reference_id"), F.lit("early").alias("status"), F.when(F.col("id") % 10 == 1, F.col("id")).alias("retry_of"))
+    first = workqueue.request_pages(early, docs, asked, 7, 1, "id", 100).where("page <= 3").select(*columns)
+    done = lineage.cut(early.where("retry_of is not null").unionByName(first))
+    last = workqueue.resume_key(done, 7)
+    later = workqueue.request_pages(early.unionByName(first), docs, asked, 7, 1, "id", 100, after=last)
+    again = workqueue.request_pages(early.unionByName(first), docs, asked, 7, 1, "id", 100).where("page <= 3")
+    return done.where("retry_of is null").select(*columns[:3]).unionByName(later.select(*columns[:3])).unionByName(again.select(*columns[:3]))
+
+
 @query("t07_lease", f"""WITH {corpus.PENDING_SQL}, c AS (SELECT id FROM (SELECT * FROM pending WHERE robot_id = 7 AND status = 'pending' QUALIFY row_number() OVER (PARTITION BY reference_id ORDER BY created_at, id) = 1) ORDER BY created_at, id LIMIT 20)
   SELECT id, CASE WHEN id IN (SELECT id FROM c) THEN 'processing' ELSE status END AS status, CASE WHEN id IN (SELECT id FROM c) THEN TIMESTAMP '2024-01-15 00:30:00' ELSE expires_at END > TIMESTAMP '2024-01-15 00:00:00' AS live FROM pending""")
 def lease(spark: SparkSession, sf_dir: str) -> DataFrame:

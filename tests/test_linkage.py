@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from quillspark.operators import linkage
 from quillspark.plans import registry
 from tests.conftest import DATA
@@ -71,3 +73,19 @@ def test_exact_supersets_compare_copies_once(spark):
 def test_exact_supersets_of_all_lines(spark, compare):
     name = "d01_exact_supersets"
     compare(registry.QUERIES[name](spark, f"{DATA}/sf0.01"), registry.ORACLE[name], f"{DATA}/sf0.01")
+
+
+def test_request_pages_go_on_where_they_stopped(spark):
+    from quillspark.operators import search, workqueue
+
+    docs = spark.createDataFrame([(i, i % 3) for i in range(40)], "id long, kind long")
+    asked = search.Query(F.col("kind") == 1)
+    none = spark.createDataFrame([(9, 4, "pending", None), (9, 7, "pending", 3)], "request_id int, reference_id long, status string, retry_of long")
+    columns = ["request_id", "reference_id", "status", F.lit(None).cast("long").alias("retry_of")]
+    first = none.unionByName(workqueue.request_pages(none, docs, asked, 9, 1, "id", 4).where("page <= 2").select(*columns))
+    assert workqueue.resume_key(first, 9) == 22 and workqueue.resume_key(first, 8) is None
+    rest = workqueue.request_pages(first, docs, asked, 9, 1, "id", 4, after=22)
+    assert sorted((r["page"], r["reference_id"]) for r in rest.collect()) == [(1, 25), (1, 28), (1, 31), (1, 34), (2, 37)]
+    # What is there already is left out, a retry is no original.
+    assert sorted(r["reference_id"] for r in first.where("retry_of is null").collect()) == [1, 4, 7, 10, 13, 16, 19, 22]
+    assert {r["reference_id"] for r in workqueue.request_pages(first, docs, asked, 9, 1, "id", 4).collect()} == {25, 28, 31, 34, 37}
