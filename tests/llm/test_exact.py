@@ -6,6 +6,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -378,6 +379,30 @@ def test_topk_ties_negatives_and_bad_vectors(spark):
     assert got == want
 
 
+def test_topk_sums_few_scores(spark, monkeypatch):
+    """Rounds and blocks of any size give the same rows; short rows aren't computed, and few pairs are summed."""
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(600, 16)) * rng.choice([0.05, 0.3, 2.0], size=(600, 1), p=[0.5, 0.4, 0.1])
+    rows[::7] = rows[0]
+    whole = np.floor(256 * rows).astype(np.int64)
+    queries = np.arange(0, 600, 50)
+    scores = whole[queries] @ whole.T
+    own = queries[:, None] == np.arange(600)[None, :]
+    order = [sorted((-s, j) for j, s in enumerate(line) if j != i)[:5] for i, line in zip(queries, scores)]
+    want = {(int(i), n + 1, j, -s) for i, line in zip(queries, order) for n, (s, j) in enumerate(line)}
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    for block, numbers, size in ((2048, 1 << 21, 1 << 24), (7, 64, 600)):
+        for name, value in (("BLOCK", block), ("BLOCK_NUMBERS", numbers), ("ROUND_BYTES", size)):
+            monkeypatch.setattr(topk, name, value)
+        got = topk.top_k(frame, F.col("vec_id") % 50 == 0).collect()
+        assert {tuple(map(int, r)) for r in got} == want and len(got) == len(want)
+    heads = topk.heads(whole[queries], whole, own, 5)
+    assert (heads <= [[-s for s, _ in line] for line in order]).all()
+    at, to, total = topk.entries(whole[queries], whole, heads[:, 4], own)
+    assert (total == scores[at, to]).all() and len(at) < 0.5 * own.size
+    assert {(int(queries[a]), int(b)) for a, b in zip(at, to)} >= {(i, j) for i, _, j, _ in want}
+
+
 def without_repeats(rows, window=400):
     """Brute force: (n_bytes, n_removed, n_spans, kept) by row."""
     bodies = [(t or "").encode() for _, t in rows]
