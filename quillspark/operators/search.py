@@ -236,6 +236,6 @@ def search_ids(docs: DataFrame, query: Query, sort: list[str] = (), id_col: str
 
 
 def hydrate(hits: DataFrame, records: DataFrame, key: str, by: list[Column]) -> DataFrame:
-    """Hits, few by nature, with their rank and records."""
-    ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(*by)))
+    """The first hits of the result window, in order, with their rank and records."""
+    ranked = hits.orderBy(*by).limit(RESULT_WINDOW).withColumn("rank", F.row_number().over(Window.orderBy(*by)))
     return ranked.select(key, "rank").join(records, key)
