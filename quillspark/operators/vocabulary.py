@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators.lineage import new_folder
+from quillspark.operators.lineage import cut
 
 #: Predicates of the vocabularies.
 IN_SCHEME = "http://www.w3.org/2004/02/skos/core#inScheme"
@@ -39,22 +39,18 @@ def members(triples: DataFrame) -> DataFrame:
 def closure(edges: DataFrame) -> DataFrame:
     """(low, high) of the transitive closure of a child-parent relation, by doubling joins.
 
-    A round joins the pairs found last with all known ones, behind them and before them, so paths
-    double in length every round and no two old pairs meet again; it ends, on cycles too, when
-    nothing new is found.
+    Paths double in length every round, so a hierarchy of depth d takes log2(d) rounds; it ends, on
+    cycles too, when nothing new is found.
     """
-    spark, folder = edges.sparkSession, new_folder(edges.sparkSession, "closure")
-    newest, paths = edges.select("low", "high").where("low is not null and high is not null").distinct(), []
-    schema = newest.schema
+    known = edges.select("low", "high").where("low is not null and high is not null").distinct()
+    before = -1
     while True:
-        paths.append(f"{folder}/{len(paths):03}")
-        newest.write.parquet(paths[-1])
-        known, found = (spark.read.schema(schema).parquet(*p) for p in (paths, paths[-1:]))
-        if found.isEmpty():
+        longer = known.alias("a").join(known.alias("b"), F.col("a.high") == F.col("b.low")).select("a.low", "b.high")
+        known = cut(known.unionByName(longer).distinct())
+        now = known.count()
+        if now == before:
             return known
-        after = found.select("low", F.col("high").alias("mid")).join(known.select(F.col("low").alias("mid"), "high"), "mid")
-        before = known.select("low", F.col("high").alias("mid")).join(found.select(F.col("low").alias("mid"), "high"), "mid")
-        newest = after.unionByName(before).select("low", "high").distinct().join(known, ["low", "high"], "left_anti")
+        before = now
 
 
 def project(coded: DataFrame, triples: DataFrame) -> DataFrame:
