@@ -6,7 +6,9 @@ import re
 
 from pyspark.sql import functions as F
 
+from quillspark.functions import identifiers
 from quillspark.operators import linkage
+from quillspark.sources import contents
 
 
 def plan_of(df) -> str:
@@ -21,3 +23,18 @@ def test_pairs_of_queries_and_documents_are_summed_where_the_postings_lie(spark)
         assert not re.search(r"hashpartitioning\(query_id#\d+L?, id#", plan_of(found))
         best = found.where("query_id = 1003 and rank = 1").first()
         assert best["id"] % 7 == 1003 % 7 and found.count() == 200
+
+
+def test_canonical_forms_name_their_text_once_a_step(spark):
+    forms = {kind: identifiers.canonical(kind, F.col("text")) for kind in ("pro_quest", "eric", "open_alex")}
+    shown = spark.createDataFrame([("http://https://search.proquest.com/docview/7",)], "text string")
+    for form in forms.values():
+        assert plan_of(shown.select(form.alias("form"))).count("text#") < 20
+    assert shown.select(forms["pro_quest"].alias("f")).first()["f"] == "7"
+
+
+def test_checks_of_layers_read_a_field_once(spark):
+    rows = spark.createDataFrame([('{"source":"s","visibility":"public","content":{"enhancement_type":"abstract","process":"other"}}',)], "line string").select(F.parse_json("line").alias("layer"))
+    checked = rows.select(contents.fault(F.col("layer")).alias("fault"))
+    assert checked.first()["fault"] == "content.abstract"
+    assert checked._jdf.queryExecution().analyzed().toString().count("variant_get(") < 150
