@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quillspark.functions import identifiers
-from quillspark.operators import linkage
+from quillspark.operators import linkage, trusted
 from quillspark.sources import contents
 
 
@@ -38,3 +39,14 @@ def test_checks_of_layers_read_a_field_once(spark):
     checked = rows.select(contents.fault(F.col("layer")).alias("fault"))
     assert checked.first()["fault"] == "content.abstract"
     assert checked._jdf.queryExecution().analyzed().toString().count("variant_get(") < 150
+
+
+def test_components_of_decisions_cost_no_frame_each():
+    one = lambda c: [(c, "canonical", 10 * c, "a"), (c, "new", 10 * c + 1, "a"), (c, "new", 10 * c + 2, "b")]
+    frame = lambda rows: pd.DataFrame(rows, columns=["component", "kind", "ref", "key"])
+    rows = one(1) + one(2) + one(3)
+    # A component that goes on in the next frame is one.
+    found = list(trusted.decide_each(iter([frame(rows[:4]), frame(rows[4:])])))
+    assert len(found) == 1
+    told = [(r.reference_id, r.determination, None if pd.isna(r.canonical_id) else r.canonical_id) for r in found[0].itertuples()]
+    assert told == [x for c in (1, 2, 3) for x in ((10 * c + 1, "duplicate", 10 * c), (10 * c + 2, "canonical", None))]
