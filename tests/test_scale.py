@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quillspark.functions import identifiers
-from quillspark.operators import linkage, trusted
+from quillspark.operators import docindex, linkage, trusted
 from quillspark.sources import contents
 
 
@@ -50,3 +50,13 @@ def test_components_of_decisions_cost_no_frame_each():
     assert len(found) == 1
     told = [(r.reference_id, r.determination, None if pd.isna(r.canonical_id) else r.canonical_id) for r in found[0].itertuples()]
     assert told == [x for c in (1, 2, 3) for x in ((10 * c + 1, "duplicate", 10 * c), (10 * c + 2, "canonical", None))]
+
+
+def test_an_index_is_written_by_more_tasks_the_more_text_there_is(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(docindex, "CHARS_A_TASK", 2_000, raising=False)
+    docs = spark.range(400).select("id", F.concat_ws(" ", F.lit("red"), F.col("id")).alias("title"), F.repeat(F.lit("word "), 10).alias("abstract"))
+    index = docindex.DocumentIndex(spark, str(tmp_path / "index"), ["title", "abstract"], n_buckets=1)
+    index.sync(docs)
+    for part, least in (("documents", 8), ("postings", 16)):
+        assert len(list(tmp_path.glob(f"index/segments/*/{part}/**/*.parquet"))) >= least
+    assert index.documents().count() == 400 and index.having("title", ["red"]).count() == 400
