@@ -70,21 +70,36 @@ def find_by_identifiers(identifiers: DataFrame, lookups: DataFrame, match: str =
     return found.join(F.broadcast(wanted.agg(F.count(F.lit(1)).alias("n"))), "n").select(key)
 
 
-_CONTENT = ["visibility", "identifiers", "fingerprints"]
+#: A content, its hash first, so that sorting seldom compares the sets themselves.
+_CONTENT = ["mark", "visibility", "identifiers", "fingerprints"]
 
 
 def _contents(df: DataFrame, *cols) -> DataFrame:
-    """``cols`` and the visibility, identifiers and fingerprints as sorted sets; rows that lack one can't match."""
-    sets = [F.array_sort(F.array_distinct(c)).alias(c) for c in _CONTENT[1:]]
-    return df.where("reference_id is not null and visibility is not null and identifiers is not null and fingerprints is not null").select(*cols, "visibility", *sets)
+    """``cols`` and the visibility, identifiers and fingerprints as sorted sets, with a hash; rows that lack one can't match."""
+    whole = df.where("reference_id is not null and visibility is not null and identifiers is not null and fingerprints is not null")
+    sets = whole.select(*cols, "visibility", *(F.sort_array(F.array_distinct(c)).alias(c) for c in _CONTENT[2:]))
+    return sets.withColumn("mark", F.xxhash64(*_CONTENT[1:]))
 
 
-def _best_two(rows: DataFrame) -> DataFrame:
-    """For every content its two first candidates by (place, candidate_id), as the array ``best``."""
-    best = Window.partitionBy(*_CONTENT).orderBy("place", "candidate_id")
-    once = rows.groupBy(*_CONTENT, "candidate_id").agg(F.min("place").alias("place"))
-    top = once.withColumn("r", F.row_number().over(best)).where("r <= 2")
-    return top.groupBy(*_CONTENT).agg(F.collect_list(F.struct("place", "candidate_id")).alias("best"))
+def _keyed(contents: DataFrame, name: str) -> DataFrame:
+    """The contents in files, with a number ``name``, hashes of what they hold, a bit for each of those and a count.
+
+    Whoever holds all of another has all of its bits.
+    """
+    hashed = lambda c, kind: F.transform(c, lambda x: F.xxhash64("visibility", F.lit(kind), x))
+    keys = F.array_distinct(F.concat(hashed("identifiers", 0), hashed("fingerprints", 1)))
+    bits = F.expr("aggregate(keys, 0L, (all, k) -> all | shiftleft(1L, cast(k & 63 AS int)))")
+    size = F.size("identifiers") + F.size("fingerprints")
+    return lineage.stored(contents.withColumn("keys", keys).select(F.monotonically_increasing_id().alias(name), "*", bits.alias("bits"), size.alias("size")), "contents")
+
+
+def _best_two(rows: DataFrame, *of: str) -> DataFrame:
+    """For every group its two first candidates by (place, candidate_id), as the array ``best``."""
+    order = Window.partitionBy(*of).orderBy("place", "candidate_id")
+    once = rows.groupBy(*of, "candidate_id").agg(F.min("place").alias("place"))
+    top = once.withColumn("r", F.row_number().over(order)).where("r <= 2")
+    both = F.struct("place", "candidate_id")
+    return top.groupBy(*of).agg(F.array_distinct(F.array(F.min(both), F.max(both))).alias("best"))
 
 
 def exact_duplicates(incoming: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -96,24 +111,29 @@ def exact_duplicates(incoming: DataFrame, corpus: DataFrame) -> DataFrame:
 
     Records of equal content are compared once, with their two first candidates (a record is none
     of its own), and each content looks up only the identifier or fingerprint that the fewest
-    contents of the corpus hold, as whoever holds all of them holds that one.
+    contents of the corpus hold, as whoever holds all of them holds that one. Only numbers and bits
+    meet there; the sets themselves are compared where the bits of one lie in another's.
     """
     usable = F.size(F.filter("identifiers", lambda x: x["identifier_type"] != "other")) > 0
     new = _contents(incoming, "reference_id").where(usable)
     canonical = F.col("duplicate_determination") == "canonical"
     place = F.when(canonical, 0).when(~canonical, 1).otherwise(2).alias("place")
-    stock = _best_two(_contents(corpus, F.col("reference_id").alias("candidate_id"), place))
     # Hashes only find candidates; those are compared as sets.
-    hashed = lambda name, kind: F.transform(name, lambda x: F.xxhash64("visibility", F.lit(kind), x))
-    each = F.explode(F.array_distinct(F.concat(hashed("identifiers", 0), hashed("fingerprints", 1)))).alias("key")
-    index = stock.select(F.col("visibility").alias("v2"), F.col("identifiers").alias("i2"), F.col("fingerprints").alias("f2"), "best", each)
+    stock = _keyed(_best_two(_contents(corpus, F.col("reference_id").alias("candidate_id"), place), *_CONTENT), "holder")
+    asks = _keyed(new.select(*_CONTENT).distinct(), "asked")
+    each = F.explode("keys").alias("key")
     holders = stock.select(each).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    probe = new.select(*_CONTENT).distinct().select(*_CONTENT, each).join(holders, "key", "left")
-    rarest = probe.groupBy(*_CONTENT).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("rarest"))
-    asked = rarest.where("rarest.n > 0").select(*_CONTENT, F.col("rarest.key").alias("key"))
+    probe = asks.select("asked", "bits", "size", each).join(holders, "key", "left")
+    rarest = probe.groupBy("asked").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("rarest"), *(F.first(c).alias(c) for c in ("bits", "size")))
+    index = stock.select("holder", each, F.col("bits").alias("bits2"), F.col("size").alias("size2"))
+    within = (F.col("size") < F.col("size2")) & (F.col("bits").bitwiseAND(F.bitwise_not("bits2")) == 0)
+    pairs = rarest.where("rarest.n > 0").select("asked", "bits", "size", F.col("rarest.key").alias("key")).join(index, "key").where(within).select("asked", "holder")
     held = (F.col("visibility") == F.col("v2")) & (F.size(F.array_except("identifiers", "i2")) == 0) & (F.size(F.array_except("fingerprints", "f2")) == 0)
-    met = asked.join(index, "key").where(held).select(*_CONTENT, F.explode("best").alias("c")).select(*_CONTENT, "c.*")
-    ranked = new.join(_best_two(met), _CONTENT).select("reference_id", F.explode("best").alias("c")).where("c.candidate_id <> reference_id")
+    sets = stock.select("holder", F.col("visibility").alias("v2"), F.col("identifiers").alias("i2"), F.col("fingerprints").alias("f2"), "best")
+    met = pairs.join(asks.select("asked", *_CONTENT), "asked").join(sets, "holder").where(held).select("asked", F.explode("best").alias("c")).select("asked", "c.*")
+    larger = _best_two(met, "asked").join(asks.select("asked", *_CONTENT), "asked").select(*_CONTENT, "best")
+    # Those of equal content are the corpus's own; whoever holds more was looked up.
+    ranked = new.join(stock.select(*_CONTENT, "best").unionByName(larger), _CONTENT).select("reference_id", F.explode("best").alias("c")).where("c.candidate_id <> reference_id")
     return ranked.groupBy("reference_id").agg(F.min("c").alias("c")).select("reference_id", "c.candidate_id")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import identifiers, text
-from quillspark.operators import linkage, records, relational, vocabulary, workqueue
+from quillspark.operators import lineage, linkage, records, relational, vocabulary, workqueue
 from quillspark.plans import corpus
 from quillspark.plans.search_queries import ORACLE, QUERIES, query
 from quillspark.sources import sinks
@@ -183,7 +183,8 @@ def invalid_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exact_supersets(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.struct(F.lit("doi").alias("identifier_type"), F.col("l_partkey").cast("string").alias("identifier"))
     rows = corpus.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("reference_id")).agg(F.collect_set(one).alias("identifiers"))
-    rows = rows.select("*", F.lit("public").alias("visibility"), F.array().cast("array<string>").alias("fingerprints"))
+    # Written, as both sides read them, more than once.
+    rows = lineage.stored(rows.select("*", F.lit("public").alias("visibility"), F.array().cast("array<string>").alias("fingerprints")), "order-contents")
     return linkage.exact_duplicates(rows, rows.withColumn("duplicate_determination", F.lit("canonical")))
 
 

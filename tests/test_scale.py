@@ -60,3 +60,24 @@ def test_an_index_is_written_by_more_tasks_the_more_text_there_is(spark, tmp_pat
     for part, least in (("documents", 8), ("postings", 16)):
         assert len(list(tmp_path.glob(f"index/segments/*/{part}/**/*.parquet"))) >= least
     assert index.documents().count() == 400 and index.having("title", ["red"]).count() == 400
+
+
+def test_sets_of_a_record_dont_travel_by_each_of_its_identifiers(spark):
+    one = lambda kind, i: F.struct(F.lit(kind).alias("identifier_type"), F.concat(F.lit("k"), i).alias("identifier"))
+    i = F.col("reference_id")
+    rows = spark.range(60).withColumnRenamed("id", "reference_id").select("reference_id", F.lit("public").alias("visibility"), F.array(one("doi", i % 7), one("eric", i % 5)).alias("identifiers"), F.array().cast("array<string>").alias("fingerprints"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = linkage.exact_duplicates(rows, rows.withColumn("duplicate_determination", F.lit("canonical")))
+        todo, dealt = [found._jdf.queryExecution().executedPlan()], []
+        while todo:
+            node = todo.pop()
+            if node.nodeName() == "Exchange" and "hashpartitioning(key#" in node.simpleString(1000):
+                dealt.append(node.output().toString())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        assert dealt and not any(name in out for out in dealt for name in ("identifiers#", "i2#", "fingerprints#"))
+        assert {r["reference_id"]: r["candidate_id"] for r in found.collect()} == {r: r - 35 if r >= 35 else r + 35 for r in range(60) if r >= 35 or r < 25}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
