@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators import lineage
 from quillspark.operators.lineage import cut
 
 #: Predicates of the vocabularies.
@@ -196,25 +197,32 @@ def shape_violations(triples: DataFrame, ontology: DataFrame, shapes: list[Shape
     """(graph, s, path, kind, n) of what nodes lack: kind is minCount, class, nodeKind or or.
 
     ``triples``: graph, s, p, o, iri (whether o is one); ``ontology`` (s, p, o) is part of every graph. A node is of a
-    class if its type is, or lies below it. The shapes are a broadcast table by path; the values of a node's path are
-    counted in one aggregation. ``n`` is the number of values in fault, or of those missing.
+    class if its type is, or lies below it. The shapes are a broadcast table by path, which values meet first, so
+    that a node has a row for each value that some shape asks for and one for each shape that asks for some value;
+    both are counted in one aggregation. ``n`` is the number of values in fault, or of those missing.
     """
     spark = triples.sparkSession
     full = lambda name: name if "://" in name else EVIDENCE + name
     rules = [(i, full(x.target), full(p), x.least, full(x.value_class) if x.value_class else None, x.iri, bool(x.either)) for i, x in enumerate(shapes) for p in (x.either or (x.path,))]
-    table = F.broadcast(spark.createDataFrame(rules, "rule int, target string, path string, least int, value_class string, wants_iri boolean, either boolean"))
+    columns = ["rule", "target", "path", "least", "value_class", "wants_iri", "either"]
+    table = spark.createDataFrame(rules, "rule int, target string, path string, least int, value_class string, wants_iri boolean, either boolean")
+    asking = spark.createDataFrame(list({r[0]: r for r in rules if r[3] > 0 or r[6]}.values()), table.schema)
+    used = spark.createDataFrame(sorted({(k,) for r in rules for k in (r[1], r[4]) if k}), "kind string")
     classes = ontology.where((F.col("p") == SUB_CLASS_OF) & F.col("o").contains("://")).select(F.col("s").alias("low"), F.col("o").alias("high"))
-    above = closure(classes)
-    types = triples.where(F.col("p") == TYPE).select("graph", F.col("s").alias("node"), F.col("o").alias("kind"))
-    types = types.unionByName(types.join(above, types["kind"] == above["low"]).select("graph", "node", F.col("high").alias("kind"))).distinct()
+    # Written, so that their true sizes decide how they are joined.
+    above = lineage.stored(closure(classes), "classes")
     fixed = ontology.where(F.col("p") == TYPE).select(F.col("s").alias("o"), F.col("o").alias("kind"))
-    fixed = fixed.unionByName(fixed.join(above, fixed["kind"] == above["low"]).select("o", F.col("high").alias("kind"))).distinct()
-    asked = types.join(table, types["kind"] == F.col("target")).select("graph", F.col("node").alias("s"), "rule", "path", "least", "value_class", "wants_iri", "either")
-    values = triples.select("graph", "s", F.col("p").alias("path"), "o", "iri").distinct()
-    held = asked.join(values, ["graph", "s", "path"], "left")
+    fixed = lineage.stored(fixed.unionByName(fixed.join(above, fixed["kind"] == above["low"]).select("o", F.col("high").alias("kind"))).distinct(), "typed")
+    types = triples.where(F.col("p") == TYPE).select("graph", F.col("s").alias("node"), F.col("o").alias("kind"))
+    types = types.unionByName(types.join(above, types["kind"] == above["low"]).select("graph", "node", F.col("high").alias("kind")))
+    types = types.join(F.broadcast(used), "kind", "left_semi").distinct()
+    values = triples.where("o is not null").select("graph", "s", F.col("p").alias("path"), "o", "iri").join(F.broadcast(table.select("path")), "path", "left_semi").distinct()
+    nodes = types.select("graph", F.col("node").alias("s"), F.col("kind").alias("target"))
+    held = values.join(F.broadcast(table), "path").join(nodes, ["graph", "s", "target"], "left_semi").select("graph", "s", "o", "iri", *columns)
     own = types.select("graph", F.col("node").alias("o"), F.col("kind").alias("value_class"), F.lit(True).alias("own"))
     known = fixed.select("o", F.col("kind").alias("value_class"), F.lit(True).alias("known"))
     held = held.join(own, ["graph", "o", "value_class"], "left").join(known, ["o", "value_class"], "left")
+    held = held.unionByName(nodes.join(F.broadcast(asking), "target"), allowMissingColumns=True)
     there = F.col("o").isNotNull()
     fits = F.col("value_class").isNull() | F.coalesce("own", "known", F.lit(False))
     group = F.when(~F.col("either"), F.col("path"))
