@@ -13,8 +13,8 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
@@ -73,26 +73,25 @@ class _Leases(StatefulProcessor):
             if after[2]:
                 self.handle.registerTimer(after[2] + 1)
 
-    def _frame(self, key, changes: list[tuple[int, str, int]]) -> pd.DataFrame:
-        rows = [(*key, attempt, status, pd.Timestamp(at, unit="ms")) for attempt, status, at in changes]
-        return pd.DataFrame(rows, columns=["robot_id", "reference_id", "attempt", "status", "at"])
+    def _rows(self, key, changes: list[tuple[int, str, int]]) -> Iterator[Row]:
+        for attempt, status, at in changes:
+            yield Row(robot_id=key[0], reference_id=key[1], attempt=attempt, status=status, ms=at)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(rows).sort_values(["at", "event_id"], kind="stable")
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        events = sorted((r["micros"], r["event_id"], r["kind"], r["minutes"]) for r in rows)
         before = state = self._read()
         changes = []
-        times = events["at"].astype("datetime64[ms]").astype("int64")
-        for at, kind, minutes in zip(times.tolist(), events["kind"].tolist(), events["minutes"].tolist()):
-            state, made = step(state, at, kind, minutes)
+        for micros, _, kind, minutes in events:
+            state, made = step(state, micros // 1000, kind, minutes)
             changes += made
         self._write(before, state)
-        yield self._frame(key, changes)
+        yield from self._rows(key, changes)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         before = self._read()
         after, changes = expire(before, expiredTimerInfo.getExpiryTimeInMs())
         self.state.update(after)
-        yield self._frame(key, changes)
+        yield from self._rows(key, changes)
 
     def close(self) -> None:
         pass
@@ -117,7 +116,10 @@ def queue_changes(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     youngest event of earlier batches, come too late and are dropped. Rows with a null among them are left out.
     """
     rows = events.select("event_id", "at", "robot_id", "reference_id", "kind", "minutes").dropna().withWatermark("at", late)
-    return rows.groupBy("robot_id", "reference_id").transformWithStateInPandas(_Leases(), CHANGES, "Append", "EventTime")
+    # Times go to Python as numbers, and a state's few events as plain rows: a frame for each would cost more than they do.
+    timed = rows.withColumn("micros", F.unix_micros("at")).groupBy("robot_id", "reference_id")
+    found = timed.transformWithState(_Leases(), "robot_id long, reference_id long, attempt int, status string, ms long", "Append", "EventTime")
+    return found.select("robot_id", "reference_id", "attempt", "status", F.timestamp_millis("ms").alias("at"))
 
 
 def run_queue(events: DataFrame, folder: str, checkpoint: str, late: str = "10 minutes") -> StreamingQuery:

@@ -72,3 +72,19 @@ def test_query_of_the_events_is_the_fold(spark):
     rows = spark.read.parquet(f"{DATA}/sf0.001/events.parquet").select("event_id", "ts", "user_id", "event_type").collect()
     events = [(i, t, u, i % 4, stream_queries._KINDS[k], 12 * 60) for i, t, u, k in rows]
     assert Counter(map(tuple, found)) == folded(events, max(t for _, t, *_ in events) - timedelta(minutes=10))
+
+
+def test_leases_of_a_session_far_from_utc(spark, tmp_path):
+    """Timers and changes keep to the instants of the events, and no state's events travel as a frame."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        rows = spark.sql("SELECT * FROM VALUES (1L, timestamp_millis(1700000000000), 1L, 1L, 'requested', 60), (2L, timestamp_millis(1700000060000), 1L, 1L, 'claimed', 60), (3L, timestamp_millis(1700018000000), 2L, 1L, 'requested', 60) t(event_id, at, robot_id, reference_id, kind, minutes)")
+        rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+        events = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        leases.run_queue(events, str(tmp_path / "out"), str(tmp_path / "checkpoint"), "0 seconds").awaitTermination()
+        found = spark.read.schema(leases.CHANGES).parquet(str(tmp_path / "out")).selectExpr("robot_id", "attempt", "status", "unix_millis(at) AS ms").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    start, lease_end = 1_700_000_000_000, 1_700_003_660_000
+    assert sorted(map(tuple, found)) == sorted([(1, 0, "pending", start), (1, 0, "processing", start + 60_000), (1, 0, "expired", lease_end), (1, 1, "pending", lease_end), (2, 0, "pending", start + 18_000_000)])
