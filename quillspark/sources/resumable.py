@@ -21,6 +21,8 @@ from quillspark.sources.lines import allowed_url
 
 #: Bytes of a range, and of a block that is read at once; times that a broken read is taken up again.
 RANGE_BYTES, BLOCK_BYTES, TRIES = 64 << 20, 1 << 20, 3
+#: Bytes that are read at once beyond a range's end, for the rest of its last line.
+TAIL_BYTES = 16 << 10
 
 
 def _remote(url: str) -> bool:
@@ -48,14 +50,14 @@ def size_of(url: str) -> int:
         return stream.size()
 
 
-def blocks(url: str, start: int, size: int) -> Iterator[bytes]:
-    """Bytes from ``start`` to the file's end; a read that breaks goes on where it stopped."""
-    left = TRIES
+def blocks(url: str, start: int, size: int, end: int | None = None) -> Iterator[bytes]:
+    """Bytes from ``start`` to the file's end, less at once beyond ``end``; a read that breaks goes on where it stopped."""
+    left, end = TRIES, size if end is None else end
     while start < size:
         try:
             with _opened(url, start) as stream:
                 while start < size:
-                    block = stream.read(min(BLOCK_BYTES, size - start))
+                    block = stream.read(min(BLOCK_BYTES, size - start, end - start if start < end else TAIL_BYTES))
                     if not block:
                         raise OSError(f"{url} ended at byte {start} of {size}")
                     start, left = start + len(block), TRIES
@@ -70,14 +72,16 @@ def lines_in(url: str, start: int, end: int, size: int) -> Iterator[bytes]:
     """The lines that begin in bytes ``start`` to ``end``, without their line ends."""
     # The byte before tells whether a line begins at the first one.
     at, skipping, rest = max(0, start - 1), start > 0, b""
-    for block in blocks(url, at, size):
-        rest += block
-        while (cut := rest.find(b"\n")) >= 0:
+    for block in blocks(url, at, size, end):
+        # Lines are cut by their places, as what is left would be copied for each.
+        rest, here = rest + block, 0
+        while (cut := rest.find(b"\n", here)) >= 0:
             if not skipping:
-                yield rest[:cut]
-            skipping, at, rest = False, at + cut + 1, rest[cut + 1 :]
+                yield rest[here:cut]
+            skipping, at, here = False, at + cut + 1 - here, cut + 1
             if at >= end:
                 return
+        rest = rest[here:]
         if skipping:
             at, rest = at + len(rest), b""
             if at >= end:

@@ -77,3 +77,27 @@ def test_http_goes_on_after_breaks_and_skips_what_was_read(spark, server):
     assert {(r["line_no"], r["line"]) for r in found} == {(i, x) for i, x in enumerate(lines, 1) if x.strip() and i > 250}
     with pytest.raises(ValueError):
         resumable.read_numbered(spark, [f"{base}/a.jsonl"], hosts=["example.org"])
+
+
+def test_a_range_reads_little_beyond_its_end(tmp_path, monkeypatch):
+    path = tmp_path / "long.txt"
+    path.write_bytes(b"".join(b"%d words of a line\n" % i for i in range(100_000)))
+    size, read, opened = path.stat().st_size, [], resumable._opened
+
+    class Counting:
+        def __init__(self, stream):
+            self.stream = stream
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.stream.close()
+
+        def read(self, n):
+            read.append(n)
+            return self.stream.read(n)
+
+    monkeypatch.setattr(resumable, "_opened", lambda url, start: Counting(opened(url, start)))
+    found = [x for s in range(0, size, 50_000) for x in resumable.lines_in(str(path), s, min(s + 50_000, size), size)]
+    assert found == path.read_bytes().splitlines() and sum(read) < 2 * size
