@@ -16,7 +16,8 @@ aggregation. Large groups of near
 copies would still make all pairs of their bucket, so links are found in rounds: first every
 member of a bucket is compared with one pivot, then components are formed, and only buckets that
 still hold several components go on; in the last round all pairs across components of a bucket
-are compared, inside the join condition. Links within a component are implied by it.
+are compared, inside the join condition. Fingerprints meet their keys once: rounds read the members
+of buckets of more than two only. Links within a component are implied by it.
 
 Null doc_ids are ignored as smallest ids unless a component has no other; repeated rows are kept
 row by row; extra columns are ignored; an empty table gives no rows.
@@ -104,28 +105,31 @@ def link_components(fps: DataFrame) -> DataFrame:
     """(fp, component) for a frame of distinct fingerprints ``fp``; components are named by a member."""
     fps = fps.select("fp").repartition("fp")
     masks = block_masks(max(fps.count(), 1))
-    edges, labelled = None, fps.withColumn("component", F.col("fp"))
+    met = _bucketed(fps, masks).groupBy("choice", "key").agg(F.count(F.lit(1)).alias("many"), F.min("fp").alias("low"), F.max("fp").alias("high"))
+    met = durable(met.where("many > 1"), "fingerprint-buckets")
+    # Most buckets hold two by chance: these are compared as they are, once.
+    two = met.where("many = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).where(_close(F.col("a"), F.col("b")))
+    # Only members of larger buckets go on; files of their own tell Spark how few these are.
+    large = durable(met.where("many > 2").drop("many"), "fingerprint-buckets")
+    members = durable(_bucketed(fps, masks).join(large, ["choice", "key"]), "fingerprint-members")
+    rows, edges, labelled = members, two, None
     for step in range(PIVOT_ROUNDS + 1):
-        rows = _bucketed(labelled, masks)
-        buckets = rows.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("many"), F.min("fp").alias("low"), F.max("fp").alias("high"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-        buckets = durable(buckets.where("c0 <> c1").drop("c0", "c1"), "fingerprint-buckets")
-        # Most buckets hold two by chance: these are compared as they are.
-        two = buckets.where("many = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).where(_close(F.col("a"), F.col("b")))
-        mixed = buckets.where("many > 2")
+        if step:
+            rows = members.select("choice", "key", "fp").join(labelled, "fp")
+            mixed = rows.groupBy("choice", "key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+            rows = rows.join(mixed.where("c0 <> c1").drop("c0", "c1"), ["choice", "key"])
         if step < PIVOT_ROUNDS:
-            with_pivot = rows.join(mixed.select("choice", "key", F.col("high" if step % 2 else "low").alias("pivot")), ["choice", "key"])
-            found = with_pivot.where((F.col("fp") != F.col("pivot")) & _close(F.col("fp"), F.col("pivot"))).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
+            rows = rows.withColumn("pivot", F.col("high" if step % 2 else "low"))
+            found = rows.where((F.col("fp") != F.col("pivot")) & _close(F.col("fp"), F.col("pivot"))).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
         else:
-            left = rows.join(mixed.select("choice", "key"), ["choice", "key"], "left_semi")
+            left = durable(rows.select("choice", "key", "fp", "component"), "fingerprint-members")
             right = left.select("choice", "key", F.col("fp").alias("fp2"), F.col("component").alias("component2"))
-            met = (left["choice"] == right["choice"]) & (left["key"] == right["key"]) & (F.col("component") < F.col("component2")) & _close(F.col("fp"), F.col("fp2"))
-            found = left.join(right, met).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
-        found = durable(found.unionByName(two).distinct(), "fingerprint-links")
-        edges = found if edges is None else edges.unionByName(found)
+            apart = (F.col("component") < F.col("component2")) & _close(F.col("fp"), F.col("fp2"))
+            found = left.join(right, ["choice", "key"]).where(apart).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
+        edges = edges.unionByName(durable(found.distinct(), "fingerprint-links"))
         tied = connected_components(edges)
         labelled = durable(fps.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component")), "fingerprint-labels")
-        labelled = labelled.repartition("fp")
-    return labelled
+    return labelled.repartition("fp")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -149,5 +153,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     marked = durable(slim.mapInArrow(lean(_fingerprints), "key long, doc_id long, fp long"), "fingerprints")
     firsts = marked.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "key")).alias("first"))
     labels = link_components(firsts.select("fp"))
-    stay = durable(firsts.join(labels, "fp").groupBy("component").agg(F.min("first").alias("first")).select("first.key"), "kept-documents")
-    return keyed.join(stay, "key", "left_semi").select("row.*")
+    stay = firsts.join(labels, "fp").groupBy("component").agg(F.min("first").alias("first")).select("first.key")
+    # The rows that go are fewer than those that stay, so that the texts seldom have to move for them.
+    gone = durable(marked.select("key").join(stay, "key", "left_anti"), "dropped-documents")
+    return keyed.join(gone, "key", "left_anti").select("row.*")

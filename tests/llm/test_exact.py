@@ -144,6 +144,22 @@ def test_simhash_chains_and_dense_groups(spark):
     assert len(found) == len(fps) and all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want.values()))
 
 
+def test_simhash_meets_all_keys_once_and_moves_no_texts_for_few_copies(spark, monkeypatch):
+    met, bucketed = [], simhash._bucketed
+    monkeypatch.setattr(simhash, "_bucketed", lambda fps, masks: met.append(1) or bucketed(fps, masks))
+    texts = [" ".join(hashlib.md5(f"{i} {j}".encode()).hexdigest() for j in range(9)) for i in range(4000)]
+    # One text has a copy, so a single row goes; those that stay are too many for a broadcast.
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[5]])], "doc_id long, text string").repartition(2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")
+    try:
+        kept = simhash.one_of_each(docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == list(range(4000))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(met) <= 2 and "hashpartitioning" not in plan, plan
+
+
 def test_one_of_each_keeps_a_row_of_every_group(spark):
     rng = random.Random(6)
     a, b, c, d, e = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(80)) for _ in range(5))
