@@ -128,3 +128,21 @@ def test_rows_without_a_parent_meet_none(spark):
             assert all(n <= 30 for n in joined(found._jdf.queryExecution().executedPlan()))
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_holders_of_an_identifier_are_met_as_their_canonicals(spark):
+    # 120 references share a doi: half of them stand for 1, a third for 2, the rest for themselves; 500 is alone.
+    refs = [*range(1, 121), 500]
+    ids = spark.createDataFrame([(r, "doi", "x" if r < 500 else "y") for r in refs], "reference_id long, identifier_type string, identifier string")
+    canonical = {r: 1 if r % 2 else 2 if r % 3 else r for r in range(3, 119)}
+    decisions = spark.createDataFrame([(r, True, c) for r, c in canonical.items() if r != c], "reference_id long, active_decision boolean, canonical_reference_id long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = linkage.identifier_candidates(ids.withColumn("query_id", F.col("reference_id")), ids, decisions)
+        told = {(r["query_id"], r["canonical_id"]) for r in found.collect()}
+        made = joined(found._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    of = lambda r: canonical.get(r, r)
+    assert told == {(q, of(r)) for q in refs for r in refs if q != r and q != of(r) and max(q, r) < 500}
+    assert max(made) <= len(told) < 120 * 119 / 3
