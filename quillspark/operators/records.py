@@ -38,8 +38,9 @@ def last_wins(rows: DataFrame, key: str, priority: list[str], field: str) -> Dat
 def annotations_by_scheme(rows: DataFrame, key: str, priority: list[str]) -> DataFrame:
     """Rows (key, scheme, label, value, ...) of the last layer that mentions the scheme, per key and scheme."""
     rank = F.struct(*[F.col(p) for p in priority])
-    best = F.max(rank).over(Window.partitionBy(key, "scheme"))
-    return rows.withColumn("best_", best).where(rank.eqNullSafe(F.col("best_"))).drop("best_")
+    # The rank as a column: where the caller drops what it is made of, that doesn't travel beside it.
+    ranked = rows.withColumn("rank_", rank).withColumn("best_", F.max("rank_").over(Window.partitionBy(key, "scheme")))
+    return ranked.where(F.col("rank_").eqNullSafe(F.col("best_"))).drop("rank_", "best_")
 
 
 def positive_labels(annotations: DataFrame, key: str) -> DataFrame:
@@ -165,8 +166,10 @@ def search_documents(layers: DataFrame, annotations: DataFrame, decisions: DataF
     whole = star(layers, decisions).drop("reference_id")
     fresh = last_values(whole.where("enhancement_type = 'bibliographic'"), "canonical_id", priority, fields)
     abstracts = last_wins(whole.where("enhancement_type = 'abstract'"), "canonical_id", priority, "abstract")
-    noted = annotations_by_scheme(star(annotations, decisions).drop("reference_id"), "canonical_id", priority)
-    evaluated = noted.groupBy("canonical_id").agg(F.array_sort(F.collect_set("scheme")).alias("evaluated_schemes"))
+    notes = star(annotations, decisions).drop("reference_id")
+    noted = annotations_by_scheme(notes, "canonical_id", priority)
+    # Every scheme has a last layer, so which ones there are needs no ranks.
+    evaluated = notes.groupBy("canonical_id").agg(F.array_sort(F.collect_set("scheme")).alias("evaluated_schemes"))
     ids = canonical_of(layers.select("reference_id").unionByName(annotations.select("reference_id")).distinct(), decisions).select("canonical_id").distinct()
     out = ids
     for part in (fresh, abstracts, positive_labels(noted, "canonical_id"), evaluated):

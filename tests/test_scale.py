@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quillspark.functions import identifiers
-from quillspark.operators import docindex, linkage, relational, trusted, vocabulary
+from quillspark.operators import docindex, linkage, records, relational, trusted, vocabulary
 from quillspark.sources import contents
 
 
@@ -146,3 +146,22 @@ def test_holders_of_an_identifier_are_met_as_their_canonicals(spark):
     of = lambda r: canonical.get(r, r)
     assert told == {(q, of(r)) for q in refs for r in refs if q != r and q != of(r) and max(q, r) < 500}
     assert max(made) <= len(told) < 120 * 119 / 3
+
+
+def test_annotations_are_ranked_once_and_by_their_rank_alone(spark):
+    rows = spark.createDataFrame([(1, "bibliographic", 1, "a", None, 5, "s", True), (1, "annotation", 2, "b", None, 0, "s", False), (2, "abstract", 3, "c", "x", 0, "t", True), (2, "abstract", 3, "d", "y", 0, "u", False)], "reference_id long, enhancement_type string, created_at long, tie string, abstract string, quantity long, scheme string, value boolean")
+    notes = rows.select("reference_id", "created_at", "tie", "scheme", F.lit("x").alias("label"), F.lit("boolean").alias("annotation_type"), "value")
+    decisions = spark.createDataFrame([(2, True, 1)], "reference_id long, active_decision boolean, canonical_reference_id long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = records.search_documents(rows, notes, decisions, ["quantity"])
+        assert [tuple(r) for r in found.select("id", "quantity", "abstract", "annotations", "evaluated_schemes").collect()] == [(1, 5, "y", ["t/x"], ["s", "t", "u"])]
+        todo, windows = [found._jdf.queryExecution().executedPlan()], []
+        while todo:
+            node = todo.pop()
+            if node.nodeName() == "Window":
+                windows.append(node.output().toString())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(windows) == 1 and "tie#" not in windows[0]
