@@ -13,7 +13,8 @@ that line removed itself or not. Lines without words stay.
    only, so a group of near copies costs a comparison a line and round, however large it is.
 4. Prefix join: the lines not yet settled meet all earlier lines that share a prefix word, under
    the length filter, the positional filter, and a filter on the parity bitmaps of both sets
-   (a differing bit proves a differing word), all inside the join condition.
+   (a differing bit proves a differing word), all inside the join condition. A line's likeliest
+   partner is verified first, and the rest only of lines that are not similar to it.
 5. Every round verifies the Jaccard similarity of the word sets themselves.
 
 Rows are numbered in the order of (doc_id, row), so repeated ids and null ids, which come last,
@@ -67,10 +68,10 @@ class Rows:
 
     def __init__(self, docs: DataFrame) -> None:
         self.docs = docs
-        keyed = docs.select(F.monotonically_increasing_id().alias("key"), F.struct("*").alias("row"))
+        keyed = docs.select(F.monotonically_increasing_id().alias("key"), F.octet_length(F.col("text").cast("string")).alias("size"), F.struct("*").alias("row"))
         # Dealt by key first, each task writes one bucket's file instead of one for every bucket.
         self.store = durable_bucketed(keyed.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key"), "line-store", "key")
-        narrow = self.store.select("key", F.col("row.doc_id").cast("long").alias("doc_id"), F.octet_length(F.col("row.text").cast("string")).alias("size"))
+        narrow = self.store.select("key", F.col("row.doc_id").cast("long").alias("doc_id"), "size")
         ordered = narrow.repartitionByRange(F.col("doc_id").asc_nulls_last(), "key").sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "key")
         self.written = durable(ordered.select("key", "size", F.monotonically_increasing_id().alias("m")), "line-rows")
         at = F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
@@ -167,7 +168,9 @@ def _verified(pairs: DataFrame, rows: Rows) -> DataFrame:
 def _grouped(lines: DataFrame) -> DataFrame:
     """A row for each line and each of its groups that holds another line; written."""
     pairs = lambda words: F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1)))
-    groups = F.array_distinct(F.concat(pairs(F.slice("prefix", 1, GROUP_WORDS)), pairs(F.col("often"))))
+    word = lambda i: F.get("prefix", F.lit(i))
+    first = F.array_compact(F.array(*(F.when(word(i + 1).isNotNull(), F.xxhash64(word(i), word(i + 1))) for i in range(GROUP_WORDS - 1))))
+    groups = F.array_distinct(F.when(F.size("often") > 1, F.concat(first, pairs(F.col("often")))).otherwise(first))
     members = lines.select("place", *FACTS, F.explode(groups).alias("group"))
     shared = members.groupBy("group").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("group")
     return durable(members.join(shared, "group"), "line-groups")
@@ -177,12 +180,17 @@ def _pivot_pairs(members: DataFrame) -> DataFrame:
     """Pairs (a, b) of a line and the likeliest of the first lines of its groups."""
     pivots = members.groupBy("group").agg(F.min("place").alias("b"), *(F.min_by(c, "place").alias(f"b_{c}") for c in FACTS))
     met = members.select("group", F.col("place").alias("a"), *(F.col(c).alias(f"a_{c}") for c in FACTS)).join(pivots, "group")
-    likely = met.where((F.col("a") > F.col("b")) & _alike("a_", "b_")).groupBy("a")
-    return likely.agg(F.min_by("b", F.struct(_differing("a_", "b_"), "b")).alias("b"))
+    likely = met.where((F.col("a") > F.col("b")) & _alike("a_", "b_"))
+    return _likeliest(likely.select("a", "b", _differing("a_", "b_").alias("differing")))
+
+
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """(a, b) with the b of each a that the fewest bits tell from it."""
+    return pairs.groupBy("a").agg(F.min_by("b", F.struct("differing", "b")).alias("b"))
 
 
 def _prefix_pairs(lines: DataFrame, settled: DataFrame, rows: Rows) -> DataFrame:
-    """Pairs (a, b) of an open line and an earlier one that share a prefix word and pass all filters."""
+    """(a, b, differing bits) of an open line and an earlier one that share a prefix word and pass all filters."""
     # One signed number for place and state, so that both sides of the join read one exchange:
     # positive for open lines, negative for settled ones.
     marked = lines.join(settled.distinct().withColumn("settled", F.lit(True)), "place", "left")
@@ -200,7 +208,7 @@ def _prefix_pairs(lines: DataFrame, settled: DataFrame, rows: Rows) -> DataFrame
         & _alike("l.", "r.")
     )
     place = lambda c: (F.abs(col(c)) - 1).cast(rows.kind)
-    return left.join(right, met).select(place("l.code").alias("a"), place("r.code").alias("b")).distinct()
+    return left.join(right, met).select(place("l.code").alias("a"), place("r.code").alias("b"), _differing("l.", "r.").alias("differing")).distinct()
 
 
 def _staying(rows: Rows) -> DataFrame:
@@ -214,8 +222,14 @@ def _staying(rows: Rows) -> DataFrame:
         release(pairs)
         settled = found if settled is None else settled.unionByName(found)
     release(members)
+    # A line that is similar to the likeliest line before it needs no other: one comparison each, however many it meets.
     pairs = durable(_prefix_pairs(lines, settled, rows), "line-pairs")
-    gone = settled.unionByName(_verified(pairs, rows))
+    likeliest = durable(_likeliest(pairs), "likely-pairs")
+    found = _verified(likeliest, rows)
+    rest = pairs.select("a", "b").join(found.withColumnRenamed("place", "a"), "a", "left_anti").join(likeliest, ["a", "b"], "left_anti")
+    gone = settled.unionByName(found).unionByName(_verified(durable(rest, "other-pairs"), rows))
+    release(pairs)
+    release(likeliest)
     return lines.select("place").join(gone, "place", "left_anti")
 
 

@@ -90,6 +90,28 @@ def test_line_dedup_of_a_large_group_of_near_copies(spark):
     assert {(r["doc_id"], i) for r in found.collect() for i in r["removed"]} == similar_lines(rows)
 
 
+def test_line_dedup_compares_a_line_once_where_its_likeliest_is_similar(spark, monkeypatch):
+    # Four words of each line are its own and the rarest, so no pivot group holds two lines, but all share a prefix word.
+    base = [f"common{i}" for i in range(36)]
+    rows = [(i, " ".join([*base, *(f"own{i}x{j}" for j in range(4))])) for i in range(120)]
+    compared, verified = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, rows: compared.append(pairs.count()) or verified(pairs, rows))
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], i) for r in found for i in r["removed"]} == similar_lines(rows) == {(i, 0) for i in range(1, 120)}
+    assert sum(compared) <= 2 * len(rows)
+
+
+def test_line_dedup_of_similar_lines_of_different_sizes(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(150):
+        line = rng.sample(words, rng.randint(4, 70))
+        rows += [(1000 * rng.randint(0, 9) + 2 * i, " ".join(line)), (1000 * rng.randint(0, 9) + 2 * i + 1, " ".join(rng.sample(line, len(line) * 4 // 5)) + " \t\x0b" * (i % 3))]
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r["doc_id"], i) for r in found.collect() for i in r["removed"]} == similar_lines(rows)
+
+
 def reference_fingerprint(text):
     words = (text or "").encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))).split()
     shingles = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
