@@ -195,10 +195,10 @@ def pending_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("j07_retry_depth", f"""WITH RECURSIVE {corpus.PENDING_SQL},
   up AS (SELECT id, retry_of, CASE WHEN retry_of IS NULL THEN 0 ELSE 1 END AS depth FROM pending
-    UNION ALL SELECT up.id, p.retry_of, depth + 1 FROM up JOIN pending p ON p.id = up.retry_of WHERE depth < 3 AND p.retry_of IS NOT NULL)
+    UNION ALL SELECT up.id, p.retry_of, depth + 1 FROM up JOIN pending p ON p.id = up.retry_of WHERE p.retry_of IS NOT NULL)
   SELECT id, max(depth) AS depth FROM up GROUP BY id""")
 def retry_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.retry_depths(corpus.pending(spark, sf_dir), "id", "retry_of", 3)
+    return relational.retry_depths(corpus.pending(spark, sf_dir), "id", "retry_of")
 
 
 @query("t06_claim", f"""WITH {corpus.PENDING_SQL} SELECT id, reference_id FROM

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import identifiers
 from quillspark.operators import docindex, linkage, records, relational, trusted, vocabulary
+from quillspark.plans import registry
 from quillspark.sources import contents
 
 
@@ -130,6 +132,21 @@ def test_rows_without_a_parent_meet_none(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_chains_are_followed_to_their_roots(spark, tmp_path, compare):
+    # In each chain of 20 rows 1 retries 0, 2 retries 1 and so on; 500 retries what isn't there.
+    i = F.col("id")
+    rows = spark.range(200).withColumn("up", F.when(i % 20 > 0, i - 1)).unionByName(spark.createDataFrame([(500, 499)], "id long, up long"))
+    assert sorted(map(tuple, relational.retry_depths(rows, "id", "up").collect())) == [*((n, n % 20) for n in range(200)), (500, 1)]
+    with pytest.raises(ValueError, match="no end"):
+        relational.retry_depths(spark.range(3).withColumn("up", (i + 1) % 3), "id", "up")
+    # Seven failures of a user in a row.
+    events = spark.range(9).select(i.alias("event_id"), F.lit(1).cast("long").alias("user_id"), F.when(i < 7, "error").otherwise("view").alias("event_type"), F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, id)").alias("ts"))
+    events.coalesce(1).write.parquet(str(tmp_path / "written"))
+    (tmp_path / "events.parquet").write_bytes(next((tmp_path / "written").glob("part-*.parquet")).read_bytes())
+    found = registry.QUERIES["j07_retry_depth"](spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [*((n, n) for n in range(8)), (8, 0)]
+
+
 def test_holders_of_an_identifier_are_met_as_their_canonicals(spark):
     # 120 references share a doi: half of them stand for 1, a third for 2, the rest for themselves; 500 is alone.
     refs = [*range(1, 121), 500]
