@@ -12,6 +12,7 @@ from quillspark.functions import identifiers
 from quillspark.operators import docindex, linkage, records, relational, trusted, vocabulary
 from quillspark.plans import registry
 from quillspark.sources import contents
+from tests.conftest import DATA
 
 
 def plan_of(df) -> str:
@@ -165,6 +166,48 @@ def test_holders_of_an_identifier_are_met_as_their_canonicals(spark):
     assert max(made) <= len(told) < 120 * 119 / 3
 
 
+def test_pairs_of_a_frequent_identifier_are_dealt_to_tasks(spark):
+    # All 400 share a pm_id, each two a doi; 3 of each ten stand for the one before them.
+    refs = spark.range(400).withColumnRenamed("id", "reference_id")
+    one = lambda kind, c: refs.select("reference_id", F.lit(kind).alias("identifier_type"), c.cast("string").alias("identifier"))
+    ids = one("pm_id", F.lit("x")).unionByName(one("doi", F.expr("reference_id div 2")))
+    decisions = refs.where("reference_id % 10 in (1, 4, 7)").select("reference_id", F.lit(True).alias("active_decision"), (F.col("reference_id") - 1).alias("canonical_reference_id"))
+    of = lambda r: r - 1 if r % 10 in (1, 4, 7) else r
+    want = {}
+    for q in range(400):
+        for r in range(400):
+            if q != r and q != of(r):
+                want.setdefault((q, of(r)), set()).update({"pm_id:x"} | ({f"doi:{r // 2}"} if q // 2 == r // 2 else set()))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = linkage.identifier_candidates(ids.withColumn("query_id", F.col("reference_id")), ids, decisions, a_task=50).collect()
+        met = linkage.identifier_candidates(ids.withColumn("query_id", F.col("reference_id")), ids, decisions, a_task=50)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in (("adaptive.enabled", None), ("autoBroadcastJoinThreshold", None), ("shuffle.partitions", "4")):
+            spark.conf.unset(f"spark.sql.{name}") if value is None else spark.conf.set(f"spark.sql.{name}", value)
+    assert {(r["query_id"], r["canonical_id"]): set(r["matched"]) for r in found} == want
+    assert re.search(r"hashpartitioning\(identifier_type#\d+, identifier#\d+, row#\d+, column#\d+", met)
+
+
+def test_candidates_of_orders_use_all_their_identifiers(spark):
+    found = registry.QUERIES["d08_identifier_candidates_of_orders"](spark, f"{DATA}/sf0.001")
+    orders = spark.read.parquet(f"{DATA}/sf0.001/orders.parquet").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus").collect()
+    top = {}
+    for o in orders:
+        key = (o["o_custkey"], o["o_orderpriority"])
+        top[key] = min(top.get(key, o["o_orderkey"]), o["o_orderkey"])
+    of_status = {}
+    for o in orders:
+        of_status.setdefault(o["o_orderstatus"], set()).add(top[o["o_custkey"], o["o_orderpriority"]])
+    told = {}
+    for r in found.collect():
+        told.setdefault(r["query_id"], set()).add(r["canonical_id"])
+    # Orders of other customers are met by their status.
+    assert all(c in told[o["o_orderkey"]] for o in orders[:50] for c in of_status[o["o_orderstatus"]] - {o["o_orderkey"], top[o["o_custkey"], o["o_orderpriority"]]})
+
+
 def test_annotations_are_ranked_once_and_by_their_rank_alone(spark):
     rows = spark.createDataFrame([(1, "bibliographic", 1, "a", None, 5, "s", True), (1, "annotation", 2, "b", None, 0, "s", False), (2, "abstract", 3, "c", "x", 0, "t", True), (2, "abstract", 3, "d", "y", 0, "u", False)], "reference_id long, enhancement_type string, created_at long, tie string, abstract string, quantity long, scheme string, value boolean")
     notes = rows.select("reference_id", "created_at", "tie", "scheme", F.lit("x").alias("label"), F.lit("boolean").alias("annotation_type"), "value")
